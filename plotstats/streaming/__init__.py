@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The surveyed workflow is batch only — survey sheets are loaded whole, once
+per report — and has no stream, watermark, window or state.  Nothing is
+built here; see README ("Not built").
+"""
