@@ -6,9 +6,12 @@ operator's lazy result over the whole tables.  Parameters follow the
 fixture: base year 1996, target year 2000, size classes 3 cm wide, focus
 site NATION_8, focus year 2000, island levels AFRICA / AMERICA / ASIA.
 
-``comparable`` rounds double columns to 6 decimals (and turns -0.0 into
-0.0) so that results can be compared with an independent SQL engine whose
-floating-point summation order differs in the last bits.
+``comparable`` rounds double columns to 6 decimals as ``round(x·1e6)/1e6``
+(and turns -0.0 into 0.0) so that results can be compared with an
+independent SQL engine whose floating-point summation order differs in the
+last bits.  Scaling first makes ties break identically in both engines:
+``round(x, 6)`` rounds the decimal text half-up in Spark but the scaled
+double in DuckDB, which disagree on values such as 605.3602375.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = (F.round(c, digits) + F.lit(0.0)).alias(f.name)
+            scale = float(10 ** digits)
+            c = (F.round(c * scale) / scale + F.lit(0.0)).alias(f.name)
         cols.append(c)
     return df.select(*cols)
 
