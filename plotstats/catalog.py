@@ -6,12 +6,12 @@ operator's lazy result over the whole tables.  Parameters follow the
 fixture: base year 1996, target year 2000, size classes 3 cm wide, focus
 site NATION_8, focus year 2000, island levels AFRICA / AMERICA / ASIA.
 
-``comparable`` rounds double columns to 6 decimals as ``round(x·1e6)/1e6``
-(and turns -0.0 into 0.0) so that results can be compared with an
-independent SQL engine whose floating-point summation order differs in the
-last bits.  Scaling first makes ties break identically in both engines:
-``round(x, 6)`` rounds the decimal text half-up in Spark but the scaled
-double in DuckDB, which disagree on values such as 605.3602375.
+``comparable`` rounds double columns to 6 decimals (and turns -0.0 into
+0.0) so that results can be compared with an independent SQL engine whose
+floating-point summation order differs in the last bits.  Values are first
+snapped to 9 decimals, which maps neighbours one ulp apart to the same
+double, and then rounded as ``round(x·1e6)/1e6`` — the same IEEE steps in
+both engines, so a value on a tie such as 605.3602375 rounds the same way.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotstats.functions.aggregates import n_rows, standard_error
-from plotstats.functions.expr import basal_area, mean_se_text, species_display_name
+from plotstats.functions.expr import SNAP_DIGITS, basal_area, mean_se_text, species_display_name
 from plotstats.operators import canopy, regen, sites, sizes, stand, water
 from plotstats.plans.session import scratch_path
 from plotstats.sources import fixtures as fx
@@ -40,7 +40,7 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
             scale = float(10 ** digits)
-            c = (F.round(c * scale) / scale + F.lit(0.0)).alias(f.name)
+            c = (F.round(F.round(c, SNAP_DIGITS) * scale) / scale + F.lit(0.0)).alias(f.name)
         cols.append(c)
     return df.select(*cols)
 
@@ -237,9 +237,10 @@ def q_rescale_to_axis(spark, sf):
 @register("rescale_inverse")
 def q_rescale_inverse(spark, sf):
     d = q_seedling_density(spark, sf)
-    d = regen.rescale_to_axis(d, "height_site", "mean_site", "count_SE", "height_scaled")
-    d = regen.rescale_inverse(d, "height_scaled", "height_site", "mean_site", "count_SE", "height_back")
-    d = regen.rescale_inverse(d, "mean_site", "height_site", "mean_site", "count_SE", "axis_height")
+    s = regen.axis_scalars(d, "height_site", "mean_site", "count_SE")
+    d = regen.rescale_to_axis(d, "height_site", "mean_site", "count_SE", "height_scaled", s)
+    d = regen.rescale_inverse(d, "height_scaled", "height_site", "mean_site", "count_SE", "height_back", s)
+    d = regen.rescale_inverse(d, "mean_site", "height_site", "mean_site", "count_SE", "axis_height", s)
     return d.select("SY", "Site", "height_site", "height_scaled", "height_back", "axis_height")
 
 

@@ -76,11 +76,21 @@ def as_level(c: Column | str, levels: Sequence[str]) -> Column:
     return F.when(c.isin(list(levels)), c)
 
 
+# Values are snapped to this many decimals before report rounding, so that a
+# last-bit difference (summation order varies with partitioning) cannot flip
+# a value that sits on a rounding tie such as 2.75 → 2.8.
+SNAP_DIGITS = 9
+
+
+def report_round(c: Column | str, digits: int) -> Column:
+    """Half-even rounding to ``digits`` after snapping away last-bit noise."""
+    return F.bround(F.round(col(c), SNAP_DIGITS), digits)
+
+
 def num_text(c: Column | str, digits: int) -> Column:
     """Half-even rounding to ``digits`` and plain decimal text without
     trailing zeros ("3", "12.5", "-0.25"); NULL stays NULL."""
-    c = col(c)
-    s = F.bround(c, digits).cast(f"decimal(38,{digits})").cast("string")
+    s = report_round(c, digits).cast(f"decimal(38,{digits})").cast("string")
     if digits > 0:
         s = F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")
     return s

@@ -135,17 +135,20 @@ def axis_scalars(df: DataFrame, y: str, mean: str, se: str) -> Column:
         (F.max(mean) + F.max(se)).alias("max_m"))).scalar()
 
 
-def rescale_to_axis(df: DataFrame, y: str, mean: str, se: str, out: str) -> DataFrame:
+def rescale_to_axis(df: DataFrame, y: str, mean: str, se: str, out: str,
+                    scalars: Column | None = None) -> DataFrame:
     """Map ``y`` linearly from [min y, max y] onto the primary axis range
-    [min mean, max mean + max SE]; NULL when y has no spread."""
-    s = axis_scalars(df, y, mean, se)
+    [min mean, max mean + max SE]; NULL when y has no spread.  Pass
+    ``scalars`` (from ``axis_scalars``) to share one subquery between calls."""
+    s = axis_scalars(df, y, mean, se) if scalars is None else scalars
     span = F.try_divide(F.col(y) - s["min_h"], s["max_h"] - s["min_h"])
     return df.withColumn(out, span * (s["max_m"] - s["min_m"]) + s["min_m"])
 
 
-def rescale_inverse(df: DataFrame, p: str, y: str, mean: str, se: str, out: str) -> DataFrame:
+def rescale_inverse(df: DataFrame, p: str, y: str, mean: str, se: str, out: str,
+                    scalars: Column | None = None) -> DataFrame:
     """Inverse of ``rescale_to_axis``: primary-axis value ``p`` → ``y`` units."""
-    s = axis_scalars(df, y, mean, se)
+    s = axis_scalars(df, y, mean, se) if scalars is None else scalars
     span = F.try_divide(F.col(p) - s["min_m"], s["max_m"] - s["min_m"])
     return df.withColumn(out, span * (s["max_h"] - s["min_h"]) + s["min_h"])
 

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotstats.functions.aggregates import n_rows, standard_error, sum_skip
-from plotstats.functions.expr import DEAD, LIVE, PLOT_AREA_HA, SPECIES, basal_area, mean_se_text, num_text
+from plotstats.functions.expr import (DEAD, LIVE, PLOT_AREA_HA, SPECIES, basal_area, mean_se_text,
+                                      num_text, report_round)
 from plotstats.plans.merge import merge_outer
 from plotstats.plans.nested import Measure, nested_stats
 
@@ -224,10 +225,10 @@ def tree_summary(trees: DataFrame, heights: DataFrame) -> DataFrame:
 def tree_summary_display(summary: DataFrame) -> DataFrame:
     """Report form: numbers to 1 decimal (half-even), density then to 0;
     Height / Basal_Area / Density as "mean ± SE" text."""
-    r1 = {c: F.bround(F.col(c), 1) for c in TREE_SUMMARY_COLUMNS[2:]}
+    r1 = {c: report_round(c, 1) for c in TREE_SUMMARY_COLUMNS[2:]}
     s = summary.withColumns(r1).withColumns({
-        "mean_stem_density": F.bround("mean_stem_density", 0),
-        "mean_stem_density_SE": F.bround("mean_stem_density_SE", 0)})
+        "mean_stem_density": report_round("mean_stem_density", 0),
+        "mean_stem_density_SE": report_round("mean_stem_density_SE", 0)})
     return s.select(
         "SY", "Site",
         mean_se_text("mean_height", "mean_height_SE", 1).alias("Height"),

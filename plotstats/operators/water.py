@@ -4,9 +4,8 @@ report table (1 decimal; salinity and TDS then to 0 decimals)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plotstats.functions.expr import mean_se_text
+from plotstats.functions.expr import mean_se_text, report_round
 from plotstats.plans.nested import Measure, nested_stats
 
 # output name → reading column
@@ -37,7 +36,7 @@ def water_quality_table(ysi: DataFrame) -> DataFrame:
     """SY, Site, Depth, Temp, DO, SAL, TDS as "mean ± SE" text.  Everything is
     first rounded to 1 decimal, salinity and TDS then again to 0."""
     stats = mean_water_quality(ysi)
-    r1 = {c: F.bround(F.col(c), 1) for name in WATER_MEASURES for c in (name, f"{name}_SE")}
+    r1 = {c: report_round(c, 1) for name in WATER_MEASURES for c in (name, f"{name}_SE")}
     stats = stats.withColumns(r1)
     return stats.select("SY", "Site", *[
         mean_se_text(m, f"{m}_SE", d).alias(label) for label, (m, d) in WATER_REPORT.items()])

@@ -7,9 +7,10 @@ semantics directly — chained NULL-matching full outer joins where the Spark
 side merges with union + group by, pivots as filtered aggregates, and so
 on — so agreement is evidence, not tautology.
 
-Double columns are rounded to 6 decimals as round(x·1e6)/1e6 (and -0.0
-folded to 0.0) exactly like ``plotstats.catalog.comparable`` on the Spark
-side.
+Double columns are snapped to 9 decimals and rounded to 6 as
+round(x·1e6)/1e6 (and -0.0 folded to 0.0) exactly like
+``plotstats.catalog.comparable`` on the Spark side; report text rounds
+half-even after the same 9-decimal snap.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def ba(x: str) -> str:
 
 
 def num(x: str, d: int) -> str:
-    s = f"CAST(CAST(round_even({x}, {d}) AS DECIMAL(38,{d})) AS VARCHAR)"
+    s = f"CAST(CAST(round_even(round({x}, 9), {d}) AS DECIMAL(38,{d})) AS VARCHAR)"
     if d > 0:
         s = f"regexp_replace(regexp_replace({s}, '0+$', ''), '\\.$', '')"
     return s
@@ -333,14 +334,14 @@ reg("tree_summary", query(["trees", "heights"], _TS, "SELECT * FROM ts"), tuple(
 
 
 def _r1(c: str) -> str:
-    return f"round_even({c}, 1)"
+    return f"round_even(round({c}, 9), 1)"
 
 
 _SHARES = [f"{s}_alive" for s in SPECIES] + [f"{s}_dead" for s in SPECIES]
 reg("tree_summary_display", query(["trees", "heights"], _TS, f"""SELECT SY, Site,
   {txt(_r1('mean_height'), _r1('mean_height_SE'), 1)} AS Height,
   {txt(_r1('mean_basal_area'), _r1('mean_basal_area_SE'), 1)} AS Basal_Area,
-  {txt(f"round_even({_r1('mean_stem_density')}, 0)", f"round_even({_r1('mean_stem_density_SE')}, 0)", 0)} AS Density,
+  {txt(f"round_even(round({_r1('mean_stem_density')}, 9), 0)", f"round_even(round({_r1('mean_stem_density_SE')}, 9), 0)", 0)} AS Density,
   {", ".join(f"{_r1(c)} AS {c}" for c in _SHARES)}
 FROM ts"""), tuple(_SHARES))
 
@@ -566,7 +567,7 @@ def rounded(name: str) -> str:
     sql, doubles = Q[name]
     if not doubles:
         return sql
-    repl = ", ".join(f'round("{c}" * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0 AS "{c}"'
+    repl = ", ".join(f'round(round("{c}", 9) * 1000000.0::DOUBLE) / 1000000.0::DOUBLE + 0.0 AS "{c}"'
                      for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n)"
 
