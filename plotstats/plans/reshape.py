@@ -67,6 +67,8 @@ def pivot_fixed(df: DataFrame, keys: Sequence[str], pivot_col: str, values: Sequ
         for c in value_cols:
             cell = F.col(f"`{v}_{c}`")
             if fill_absent is not None:
-                cell = F.when(F.col(f"`{v}___n`") == 0, F.lit(float(fill_absent))).otherwise(cell)
+                # pivot yields NULL (not 0) for the count of a value with no rows
+                absent = F.coalesce(F.col(f"`{v}___n`"), F.lit(0)) == 0
+                cell = F.when(absent, F.lit(float(fill_absent))).otherwise(cell)
             out.append(cell.alias(name.format(value=v, col=c)))
     return wide.select(*out)
