@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from plotstats.functions.aggregates import n_rows, standard_error
 from plotstats.functions.expr import SNAP_DIGITS, basal_area, mean_se_text, species_display_name
 from plotstats.operators import canopy, regen, sites, sizes, stand, water
+from plotstats.plans import report
 from plotstats.plans.session import scratch_path
 from plotstats.sources import fixtures as fx
 from plotstats.sources import io
@@ -311,26 +312,16 @@ def q_load_tables(spark, sf):
     return _counts(io.load_tables(spark, root), "table_name")
 
 
-EXPORTED = {
-    "tree_summary": q_tree_summary,
-    "tree_summary_display": q_tree_summary_display,
-    "canopy_cover_table": q_canopy_cover_table,
-    "canopy_cover_series": q_canopy_cover_series,
-    "seedling_density": q_seedling_density,
-    "seedling_table": q_seedling_table,
-    "sapling_density": q_sapling_density,
-    "sapling_table": q_sapling_table,
-    "water_quality_table": q_water_quality_table,
-    "size_freq_all": q_size_freq_all,
-}
-
-
 @register("export_results")
 def q_export_results(spark, sf):
-    """Write the report tables (size frequencies one folder per Site) to a
-    fresh folder under the shared checkpoint folder and count what was
-    written, read back from storage."""
-    out = scratch_path(spark, "results")
-    results = {name: fn(spark, sf) for name, fn in EXPORTED.items()}
-    paths = io.export_results(results, out, partition_by={"size_freq_all": ["Site"]})
+    """The batch report: survey tables are materialised once (written to a
+    fresh folder under the shared checkpoint folder and loaded back with
+    declared schemas), every result table is written by ``export_report``
+    (size frequencies one folder per Site), and the rows written are counted
+    from storage."""
+    root = scratch_path(spark, "report")
+    io.write_survey_tables(fx.survey_tables(spark, sf), f"{root}/survey")
+    tables = io.load_tables(spark, f"{root}/survey")
+    paths = report.export_report(spark, tables, f"{root}/results", bin_size=fx.SIZE_BIN,
+                                 island_levels=fx.ISLANDS)
     return _counts(io.read_results(spark, paths), "result")

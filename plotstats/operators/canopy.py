@@ -39,20 +39,18 @@ def canopy_cover(densio: DataFrame) -> DataFrame:
                         [Measure("perc", "value", ("mean", "mean"), se="skip")])
 
 
-def canopy_cover_table(densio: DataFrame) -> DataFrame:
-    """SY, Site, <Type>_perc, <Type>_perc_SE for Veg/Wood/Open (absent → 0),
-    and "mean ± SE" text columns Alive, Dead, Open."""
-    wide = pivot_fixed(canopy_cover(densio), ["SY", "Site"], "Type", COVER_TYPES,
-                       ["perc", "perc_SE"], fill_absent=0.0)
+def cover_table(cover: DataFrame) -> DataFrame:
+    """Report table from a ``canopy_cover`` result (see ``canopy_cover_table``)."""
+    wide = pivot_fixed(cover, ["SY", "Site"], "Type", COVER_TYPES, ["perc", "perc_SE"],
+                       fill_absent=0.0)
     return wide.select(
         "*", *[mean_se_text(f"{t}_perc", f"{t}_perc_SE", 1).alias(COVER_LABELS[t])
                for t in COVER_TYPES])
 
 
-def canopy_cover_series(densio: DataFrame) -> DataFrame:
-    """SY, Site, Alive (= Veg), Dead (= −Wood), Open; absent cells 0, values
-    outside the plotted range [−50, 100] set to NULL."""
-    cover = canopy_cover(densio).where(F.col("Type").isin(*COVER_TYPES))
+def cover_series(cover: DataFrame) -> DataFrame:
+    """Plot series from a ``canopy_cover`` result (see ``canopy_cover_series``)."""
+    cover = cover.where(F.col("Type").isin(*COVER_TYPES))
     wide = pivot_fixed(cover, ["SY", "Site"], "Type", COVER_TYPES, ["perc"],
                        name="{value}", fill_absent=0.0)
     lo, hi = SERIES_RANGE
@@ -62,3 +60,15 @@ def canopy_cover_series(densio: DataFrame) -> DataFrame:
 
     return wide.select("SY", "Site", clip(F.col("Veg")).alias("Alive"),
                        clip(-F.col("Wood")).alias("Dead"), clip(F.col("Open")).alias("Open"))
+
+
+def canopy_cover_table(densio: DataFrame) -> DataFrame:
+    """SY, Site, <Type>_perc, <Type>_perc_SE for Veg/Wood/Open (absent → 0),
+    and "mean ± SE" text columns Alive, Dead, Open."""
+    return cover_table(canopy_cover(densio))
+
+
+def canopy_cover_series(densio: DataFrame) -> DataFrame:
+    """SY, Site, Alive (= Veg), Dead (= −Wood), Open; absent cells 0, values
+    outside the plotted range [−50, 100] set to NULL."""
+    return cover_series(canopy_cover(densio))

@@ -32,11 +32,15 @@ def mean_water_quality(ysi: DataFrame) -> DataFrame:
         Measure(name, value, ("mean", "mean"), se="skip") for name, value in WATER_MEASURES.items()])
 
 
-def water_quality_table(ysi: DataFrame) -> DataFrame:
-    """SY, Site, Depth, Temp, DO, SAL, TDS as "mean ± SE" text.  Everything is
-    first rounded to 1 decimal, salinity and TDS then again to 0."""
-    stats = mean_water_quality(ysi)
+def water_table(stats: DataFrame) -> DataFrame:
+    """Report table from a ``mean_water_quality`` result."""
     r1 = {c: report_round(c, 1) for name in WATER_MEASURES for c in (name, f"{name}_SE")}
     stats = stats.withColumns(r1)
     return stats.select("SY", "Site", *[
         mean_se_text(m, f"{m}_SE", d).alias(label) for label, (m, d) in WATER_REPORT.items()])
+
+
+def water_quality_table(ysi: DataFrame) -> DataFrame:
+    """SY, Site, Depth, Temp, DO, SAL, TDS as "mean ± SE" text.  Everything is
+    first rounded to 1 decimal, salinity and TDS then again to 0."""
+    return water_table(mean_water_quality(ysi))

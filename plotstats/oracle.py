@@ -556,9 +556,9 @@ _SURVEY = ("trees", "heights", "coordinates", "densiometer", "regeneration", "sa
 reg("load_tables", query(list(_SURVEY), [], "\nUNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _SURVEY)))
 
-_EXPORTED = ("tree_summary", "tree_summary_display", "canopy_cover_table", "canopy_cover_series",
-             "seedling_density", "seedling_table", "sapling_density", "sapling_table",
-             "water_quality_table", "size_freq_all")
+_EXPORTED = ("tree_summary", "canopy_cover", "seedling_density", "seedling_table", "sapling_density",
+             "sapling_table", "mean_water_quality", "size_freq_all", "tree_summary_display",
+             "canopy_cover_table", "canopy_cover_series", "water_quality_table")
 reg("export_results", "\nUNION ALL ".join(
     f"SELECT '{n}' AS result, count(*) AS n_rows FROM ({Q[n][0]})" for n in _EXPORTED))
 
