@@ -26,6 +26,24 @@ ADAPTIVE_CONF = {
 }
 
 
+# Settings for a large cluster (hundreds of TB in, ~1000 executors).  The
+# first shuffle of every statistic carries partial aggregates (one row per
+# plot and task), so shuffles are small next to the scan; the scan split size
+# and AQE's target partition size matter most.  Start with many shuffle
+# partitions and let AQE coalesce them to the advisory size.
+CLUSTER_CONF = {
+    **ADAPTIVE_CONF,
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    # static broadcast only below 10 MB by the planner's estimate; larger sides
+    # are broadcast only by AQE after measuring them (ADAPTIVE_CONF)
+    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    "spark.sql.files.maxRecordsPerFile": "50000000",
+}
+
+
 def tuned_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "plotstats") -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")

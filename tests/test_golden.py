@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotstats.functions.expr import (mean_se_text, safe_number, sign_class, size_class_index,
-                                      size_class_label, species_display_name)
+from plotstats.functions.expr import (mean_se_text, num_text, safe_number, sign_class,
+                                      size_class_index, size_class_label, species_display_name)
 from plotstats.operators import canopy, regen, sites, sizes, stand, water
 from plotstats.plans.merge import merge_outer
 
@@ -296,3 +296,15 @@ def test_overview_and_map_layers(trees, frames):
     assert got["Tree Height Change"].fill_color == "#FF0000"
     assert got["Dead Basal Change"].popup == (
         "<strong>Site:</strong> A<br><strong>Change:</strong> " + str(round(-ba(10), 2)))
+
+
+def test_numbers_print_like_r(spark):
+    cases = [(100000.0, 0, "1e+05"), (120000.0, 0, "120000"), (-100000.0, 1, "-1e+05"),
+             (1100000.0, 0, "1100000"), (300000.04, 1, "3e+05"), (0.0, 1, "0"), (3.0, 1, "3"),
+             (12.25, 1, "12.2"), (-0.04, 1, "0"), (None, 1, None), (1234.5, 0, "1234")]
+    df = spark.createDataFrame([(v,) for v, _, _ in cases], "v double")
+    for d in (0, 1):
+        got = [r.t for r in df.select(num_text("v", d).alias("t")).collect()]
+        for (v, dd, want), g in zip(cases, got):
+            if dd == d:
+                assert g == want, (v, d, g)
