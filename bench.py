@@ -7,7 +7,11 @@ then the operator — and is forced with Spark's ``noop`` sink (the full plan
 executes, nothing is collected to the driver).  One warm-up pass of the
 flagship query, then ``BENCH_REPS`` (default 3) timed runs per query; the
 median is reported.  Prints one JSON line; ``value`` is the sum of medians.
-Event logs go to a fresh scratch folder when ``BENCH_EVENT_LOG=1``.
+
+Shuffle bytes per query come from Spark's event log, written to a fresh
+scratch folder (``BENCH_EVENT_LOG=0`` turns it off): each run of a query is
+tagged with a job group, and the shuffle bytes written by the tasks of that
+group's jobs are summed and divided by the number of runs.
 """
 
 from __future__ import annotations
@@ -23,6 +27,39 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 
+def _open_log(path: str):
+    if path.endswith(".zstd"):
+        import io
+
+        import zstandard
+        return io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(open(path, "rb")))
+    return open(path)
+
+
+def shuffle_bytes(log_dir: str) -> dict[str, int]:
+    """Shuffle bytes written per job group, read from the event log files."""
+    stage_group: dict[int, str | None] = {}
+    total: dict[str, int] = {}
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(log_dir) for f in fs)
+    for path in files:
+        if path.endswith((".inprogress", ".crc")) or "appstatus" in os.path.basename(path):
+            continue
+        with _open_log(path) as f:
+            for line in f:
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    g = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                    for sid in ev.get("Stage IDs", []):
+                        stage_group[sid] = g
+                elif kind == "SparkListenerTaskEnd":
+                    g = stage_group.get(ev.get("Stage ID"))
+                    m = (ev.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                    if g:
+                        total[g] = total.get(g, 0) + int(m.get("Shuffle Bytes Written", 0))
+    return total
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -41,37 +78,45 @@ def main() -> None:
          .config("spark.sql.shuffle.partitions", str(cpus)))
     for k, v in ADAPTIVE_CONF.items():
         b = b.config(k, v)
-    if os.environ.get("BENCH_EVENT_LOG") == "1":
+    log_dir = None
+    if os.environ.get("BENCH_EVENT_LOG", "1") == "1":
         log_dir = tempfile.mkdtemp(prefix="plotstats-events-", dir="/tmp")
-        b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
+        b = (b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
+             .config("spark.eventLog.compress", "false"))
         print(f"event log: {log_dir}", file=sys.stderr)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
 
-    def run(name: str) -> float:
+    def run(name: str, group: str) -> float:
+        spark.sparkContext.setJobGroup(group, name)
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    run("tree_summary")  # warm-up: JVM, codegen, file listing caches
+    run("tree_summary", "warmup")  # warm-up: JVM, codegen, file listing caches
     timings = {}
     for name in QUERIES:
         if only and name not in only:
             continue
-        timings[name] = round(statistics.median(run(name) for _ in range(reps)), 3)
+        timings[name] = round(statistics.median(run(name, f"q:{name}") for _ in range(reps)), 3)
         print(f"{name:24s} {timings[name]:7.3f}s", file=sys.stderr)
     sf = os.path.basename(sf_dir).replace("sf", "")
-    print(json.dumps({
+    version = spark.version
+    spark.stop()
+    out = {
         "metric": "sum_of_median_query_sec",
         "value": round(sum(timings.values()), 3),
         "unit": "sec",
         "queries": timings,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
-        "config": {"cpus": cpus, "reps": reps, "spark": spark.version,
+        "config": {"cpus": cpus, "reps": reps, "spark": version,
                    "shuffle_partitions": cpus, "aqe": True},
-    }))
-    spark.stop()
+    }
+    if log_dir:
+        shuffle = shuffle_bytes(log_dir)
+        out["shuffle_bytes_per_run"] = {n: shuffle.get(f"q:{n}", 0) // reps for n in timings}
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
