@@ -43,6 +43,14 @@ def site_islands(densio: DataFrame) -> DataFrame:
     return densio.select("Island", "Site").distinct()
 
 
+def site_island_conflicts(densio: DataFrame) -> DataFrame:
+    """Sites listed under more than one Island: Site, n_islands.  Such a Site
+    yields one row per Island wherever results are labelled with their
+    Island (seedling and sapling density); this check makes that visible."""
+    return (site_islands(densio).groupBy("Site").agg(F.count(F.lit(1)).alias("n_islands"))
+            .where(F.col("n_islands") > 1))
+
+
 def sites_of_island(densio: DataFrame, island: str) -> DataFrame:
     return densio.where(F.col("Island") == island).select("Site").distinct()
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plotstats.functions.aggregates import n_rows, standard_error, sum_skip
 from plotstats.functions.expr import (DEAD, LIVE, PLOT_AREA_HA, SPECIES, basal_area, mean_se_text,
-                                      num_text, report_round)
+                                      report_round)
 from plotstats.plans.merge import merge_outer
 from plotstats.plans.nested import Measure, nested_stats
 
@@ -264,5 +264,5 @@ __all__ = [
     "mean_basal_area", "mean_basal_area_dead", "species_share", "mean_stem_density",
     "mean_tree_height", "pct_basal_area_change", "basal_area_change", "basal_area_change_dead",
     "tree_height_change", "stem_density_change", "tree_site_stats", "tree_summary",
-    "tree_summary_display", "tree_site_change", "year_change", "num_text",
+    "tree_summary_display", "tree_site_change", "year_change",
 ]

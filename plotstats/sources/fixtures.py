@@ -133,15 +133,34 @@ def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
         _null_if(F.col("p_size") == 50, F.col("p_size") / 2.0).alias("Tree_Height_m"))
 
 
+def _quadrat_aggregate(spark: SparkSession, sf_dir: str, *aggs: Column) -> DataFrame:
+    """Aggregate lineitem per (SY, Plot, Quadrat) *before* attaching the site.
+
+    Island and Site are functions of the supplier (Plot), so grouping by
+    (SY, Island, Site, Plot, Quadrat) over lineitem⋈supplier⋈nation⋈region
+    equals grouping lineitem by (SY, Plot, Quadrat) and joining the result to
+    the supplier dimension (inner joins keep the same groups).  The fact
+    table is then shuffled once, as partial aggregates, and only one row per
+    plot, quadrat and year meets the joins.
+    """
+    li = read(spark, sf_dir, "lineitem")
+    g = li.groupBy(F.year("l_shipdate").cast("int").alias("SY"), F.col("l_suppkey").alias("Plot"),
+                   F.col("l_linenumber").alias("Quadrat")).agg(*aggs)
+    sup = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nr = _nation_region(spark, sf_dir)
+    j = g.join(sup, g.Plot == sup.s_suppkey)
+    return j.join(F.broadcast(nr), j.s_nationkey == nr.n_nationkey).drop(
+        "s_suppkey", "s_nationkey", "n_nationkey")
+
+
 def regeneration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = base(spark, sf_dir)
     flag, stage = F.col("l_returnflag"), F.col("l_linestatus")
     counts = []
     for code, f in (("RHMA", "R"), ("LARA", "N"), ("AVGE", "A")):
         for name, s in (("seedlings", "F"), ("saplings", "O")):
             counts.append(F.count(F.when((flag == f) & (stage == s), 1)).cast("double")
                           .alias(f"{code}_{name}"))
-    g = b.groupBy(*KEY_COLS).agg(*counts, F.max("l_quantity").alias("Tall_seedling_cm"))
+    g = _quadrat_aggregate(spark, sf_dir, *counts, F.max("l_quantity").alias("Tall_seedling_cm"))
     return g.select(
         *KEY_COLS,
         _null_if((F.col("Quadrat") == 7) & (F.col("Plot") % 5 == 0), F.col("RHMA_seedlings"))
@@ -159,8 +178,7 @@ def saplings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def densiometer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = base(spark, sf_dir)
-    g = b.groupBy(*KEY_COLS).agg(F.sum("l_quantity").cast("int").alias("q"))
+    g = _quadrat_aggregate(spark, sf_dir, F.sum("l_quantity").cast("int").alias("q"))
     cols = []
     for d, direction in enumerate("NSEW"):
         qd = F.col("q") + d

@@ -308,3 +308,15 @@ def test_numbers_print_like_r(spark):
         for (v, dd, want), g in zip(cases, got):
             if dd == d:
                 assert g == want, (v, d, g)
+
+
+def test_site_island_conflicts(frames):
+    d = frames("densiometer", [dict(Island="X", Site="A"), dict(Island="Y", Site="A"),
+                               dict(Island="X", Site="B"), dict(Island="X", Site="B")],
+               SY=2022, Plot="p1", Quadrat=1)
+    got = [(r.Site, r.n_islands) for r in regen.site_island_conflicts(d).collect()]
+    assert got == [("A", 2)]
+    rg = frames("regeneration", [dict(Site="A", Plot="p1", Quadrat=1, RHMA_seedlings=1.0,
+                                      LARA_seedlings=1.0, AVGE_seedlings=1.0)], SY=2022, Island="X")
+    # the duplication is kept, as in the survey workflow: one row per island
+    assert regen.seedling_density(rg, d, ("X", "Y")).count() == 2
