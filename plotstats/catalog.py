@@ -17,6 +17,7 @@ both engines, so a value on a tie such as 605.3602375 rounds the same way.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,24 @@ def register(name: str):
     return deco
 
 
+_STORED: dict[str, DataFrame] | None = None
+
+
+@contextmanager
+def stored_tables(tables: dict[str, DataFrame]):
+    """Run the registered queries over already-stored survey tables (e.g.
+    from ``io.load_tables``) instead of deriving them from the test tables."""
+    global _STORED
+    prev, _STORED = _STORED, dict(tables)
+    try:
+        yield
+    finally:
+        _STORED = prev
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    if _STORED is not None:
+        return _STORED[name]
     return fx.BUILDERS[name](spark, sf)
 
 
