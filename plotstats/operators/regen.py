@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plotstats.functions.aggregates import standard_error
 from plotstats.functions.expr import DEFAULT_ISLANDS, SPECIES, as_level, level_ordinal, mean_se_text
-from plotstats.plans.merge import left_join_nullsafe, merge_outer
+from plotstats.plans.merge import left_join_nullsafe, left_merge, merge_outer
 from plotstats.plans.nested import Measure, nested_stats
 
 REGEN_PATTERN = r"([A-Z]+)_(seedlings|saplings)"
@@ -89,13 +89,15 @@ def sapling_density(regen: DataFrame, saplings: DataFrame, densio: DataFrame,
     """SY, Site, Species, mean_dens, mean_dens_SE, mean_ht, Island, Island_order.
 
     Heights join the counts by (SY, Site, Plot, Species) as a left join, so a
-    height group without counts is dropped.  ``species`` filters last.
+    height group without counts is dropped; both sides are plot-level
+    aggregates on those keys, so the join is a co-partitioned merge with no
+    exchange.  ``species`` filters last.
     """
     dens = _sapling_plot_density(regen)
     ht = nested_stats(saplings, [["SY", "Site", "Plot", "Quadrat", "Species"],
                                  ["SY", "Site", "Plot", "Species"]], [
         Measure("plot_ht", "Height_cm", ("mean", "mean"), se=None)])
-    plot = left_join_nullsafe(dens, ht, ["SY", "Site", "Plot", "Species"])
+    plot = left_merge(dens, ht, ["SY", "Site", "Plot", "Species"])
     site = plot.groupBy("SY", "Site", "Species").agg(
         F.avg("plot_dens").alias("mean_dens"),
         standard_error("plot_dens").alias("mean_dens_SE"),

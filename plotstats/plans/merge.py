@@ -40,3 +40,21 @@ def left_join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -
                      *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
     return left.join(r, cond, "left").drop(*[f"__r_{k}" for k in keys])
+
+
+def left_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` of two inputs that are each unique on ``keys``
+    (NULL keys match), as union + groupBy + a presence filter.
+
+    When both inputs are aggregates keyed by ``keys`` they are already
+    hash-partitioned on them, so this needs no exchange at all — a
+    NULL-safe join would re-shuffle both sides on coalesce/isnull keys.
+    """
+    keys = list(keys)
+    lcols = [c for c in left.columns if c not in keys]
+    rcols = [c for c in right.columns if c not in keys and c not in lcols]
+    flagged = left.withColumn("__left", F.lit(1)).unionByName(
+        right.select(*keys, *rcols), allowMissingColumns=True)
+    merged = flagged.groupBy(*keys).agg(
+        F.max("__left").alias("__left"), *[F.max(c).alias(c) for c in lcols + rcols])
+    return merged.where(F.col("__left") == 1).select(*keys, *lcols, *rcols)
