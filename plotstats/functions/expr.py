@@ -89,37 +89,36 @@ def report_round(c: Column | str, digits: int) -> Column:
 
 def _fixed_text(v: Column, digits: int) -> Column:
     s = v.cast(f"decimal(38,{digits})").cast("string")
-    if digits > 0:
-        s = F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")
+    if digits > 0:  # the text always has a '.', so trimming zeros stops there
+        s = F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))
     return s
 
 
-def _shortest_text(fixed: Column) -> Column:
-    """Print like R: scientific notation ("1e+05", "2.5e-05") when it is
-    narrower than the fixed form, which happens only for round numbers with
-    many zeros."""
-    neg = fixed.startswith("-")
-    a = F.regexp_replace(fixed, "^-", "")
-    int_part = F.regexp_extract(a, r"^(\d*)", 1)
-    frac = F.regexp_extract(a, r"\.(\d*)$", 1)
-    sig = F.regexp_replace(F.regexp_replace(F.concat(int_part, frac), "^0+", ""), "0+$", "")
-    lead = F.length(frac) - F.length(F.regexp_replace(frac, "^0+", ""))
-    exp = F.when(int_part != "0", F.length(int_part) - 1).otherwise(-(lead + 1))
+def _shortest_text(v: Column, fixed: Column) -> Column:
+    """Print like R: scientific notation when it is narrower than the fixed
+    form.  With at most 3 decimals that happens only for |v| >= 1e5 (100000
+    → "1e+05", but 120000 stays), so the exponent is the integer-part length
+    minus one and the mantissa digits are the fixed digits without trailing
+    zeros."""
+    a = F.ltrim(fixed, F.lit("-"))
+    sig = F.rtrim(F.translate(a, ".", ""), F.lit("0"))
+    exp = F.instr(F.concat(a, F.lit(".")), ".") - 2
     sci = F.concat(
-        F.when(neg, F.lit("-")).otherwise(F.lit("")),
+        F.when(v < 0, F.lit("-")).otherwise(F.lit("")),
         F.substring(sig, 1, 1),
-        F.when(F.length(sig) > 1, F.concat(F.lit("."), F.substring(sig, 2, 64)))
-        .otherwise(F.lit("")),
-        F.lit("e"), F.when(exp >= 0, F.lit("+")).otherwise(F.lit("-")),
-        F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    return F.when((sig == "") | (F.length(fixed) <= F.length(sci)), fixed).otherwise(sci)
+        F.when(F.length(sig) > 1, F.concat(F.lit("."), F.substring(sig, 2, 64))).otherwise(F.lit("")),
+        F.lit("e+"), F.lpad(exp.cast("string"), 2, "0"))
+    return F.when((F.abs(v) >= 1e5) & (F.length(sci) < F.length(fixed)), sci).otherwise(fixed)
 
 
 def num_text(c: Column | str, digits: int) -> Column:
-    """Half-even rounding to ``digits``, printed the way R prints a number:
-    no trailing zeros ("3", "12.5", "-0.25"), scientific notation when that is
-    shorter ("1e+05"); NULL stays NULL."""
-    return _shortest_text(_fixed_text(report_round(c, digits), digits))
+    """Half-even rounding to ``digits`` (0–3), printed the way R prints a
+    number: no trailing zeros ("3", "12.5", "-0.25"), scientific notation when
+    that is shorter ("1e+05"); NULL stays NULL."""
+    if not 0 <= digits <= 3:
+        raise ValueError("digits must be between 0 and 3")
+    v = report_round(c, digits)
+    return _shortest_text(v, _fixed_text(v, digits))
 
 
 def mean_se_text(mean: Column | str, se: Column | str, digits: int = 1) -> Column:

@@ -65,10 +65,12 @@ def _text(c: Column) -> Column:
 
 def map_layers(overview: DataFrame) -> DataFrame:
     """Long marker table: one row per site × layer with position, radius,
-    popup HTML and colours.  A narrow generator over the overview — no
-    shuffle."""
+    popup HTML and colours.  Narrow (no shuffle): the per-layer values are
+    computed in a projection, then one generator stacks the layers; keeping
+    the expressions out of the generator lets Spark split their generated
+    code into methods."""
     site_html = F.concat(F.lit("<strong>Site:</strong> "), _text(F.col("Site")))
-    rows = []
+    per_layer, rows = [], []
     for order, (name, value, klass, kind) in enumerate(MAP_LAYERS, start=1):
         if kind == "typology":
             v = F.lit(None).cast("double")
@@ -82,10 +84,12 @@ def map_layers(overview: DataFrame) -> DataFrame:
             popup = F.concat(site_html, F.lit("<br><strong>Change:</strong> "), _text(num_text(v, 2)))
             color = F.lit(STROKE)
             fill = _lookup(F.col(klass), CHANGE_COLORS)
-        rows.append(F.struct(
-            F.lit(order).alias("layer_order"), F.lit(name).alias("layer"),
-            v.alias("value"), radius.cast("double").alias("radius"), popup.alias("popup"),
-            color.alias("color"), fill.alias("fill_color")))
-    return overview.select("Site", "Longitude", "Latitude", F.inline(F.array(*rows))).select(
+        fields = {"value": v, "radius": radius.cast("double"), "popup": popup, "color": color,
+                  "fill_color": fill}
+        per_layer += [e.alias(f"__{k}{order}") for k, e in fields.items()]
+        rows.append(F.struct(F.lit(order).alias("layer_order"), F.lit(name).alias("layer"),
+                             *[F.col(f"__{k}{order}").alias(k) for k in fields]))
+    wide = overview.select("Site", "Longitude", "Latitude", *per_layer)
+    return wide.select("Site", "Longitude", "Latitude", F.inline(F.array(*rows))).select(
         "layer_order", "layer", "Site", "Longitude", "Latitude", "value", "radius", "popup",
         "color", "fill_color")

@@ -143,26 +143,20 @@ def ba(x: str) -> str:
     return f"(pi() * pow(({x} / 100.0::DOUBLE) / 2.0::DOUBLE, 2.0::DOUBLE) / 0.01::DOUBLE)"
 
 
-def _shortest(s: str) -> str:
-    """R-style printing: scientific notation when it is narrower (1e+05)."""
-    a = "regexp_replace(s, '^-', '')"
-    ip = f"regexp_extract({a}, '^(\\d*)', 1)"
-    fr = f"regexp_extract({a}, '\\.(\\d*)$', 1)"
-    sig = f"regexp_replace(regexp_replace({ip} || {fr}, '^0+', ''), '0+$', '')"
-    lead = f"(length({fr}) - length(regexp_replace({fr}, '^0+', '')))"
-    exp = f"(CASE WHEN {ip} <> '0' THEN length({ip}) - 1 ELSE -({lead} + 1) END)"
-    sci = (f"((CASE WHEN s LIKE '-%' THEN '-' ELSE '' END) || substr({sig}, 1, 1) || "
-           f"(CASE WHEN length({sig}) > 1 THEN '.' || substr({sig}, 2) ELSE '' END) || 'e' || "
-           f"(CASE WHEN {exp} >= 0 THEN '+' ELSE '-' END) || lpad(CAST(abs({exp}) AS VARCHAR), 2, '0'))")
-    body = f"CASE WHEN {sig} = '' OR length(s) <= length({sci}) THEN s ELSE {sci} END"
-    return f"list_transform([{s}], lambda s: {body})[1]"
-
-
 def num(x: str, d: int) -> str:
-    s = f"CAST(CAST(round_even(round({x}, 9), {d}) AS DECIMAL(38,{d})) AS VARCHAR)"
+    """Half-even after a 9-decimal snap; R-style text (1e+05 when narrower)."""
+    fixed = "CAST(CAST(v AS DECIMAL(38,{d})) AS VARCHAR)".format(d=d)
     if d > 0:
-        s = f"regexp_replace(regexp_replace({s}, '0+$', ''), '\\.$', '')"
-    return _shortest(s)
+        fixed = f"rtrim(rtrim({fixed}, '0'), '.')"
+    a = "ltrim(s, '-')"
+    sig = f"rtrim(replace({a}, '.', ''), '0')"
+    exp = f"(instr({a} || '.', '.') - 2)"
+    sci = (f"((CASE WHEN v < 0 THEN '-' ELSE '' END) || substr({sig}, 1, 1) || "
+           f"(CASE WHEN length({sig}) > 1 THEN '.' || substr({sig}, 2) ELSE '' END) || 'e+' || "
+           f"lpad(CAST({exp} AS VARCHAR), 2, '0'))")
+    body = f"CASE WHEN abs(v) >= 100000 AND length({sci}) < length(s) THEN {sci} ELSE s END"
+    return (f"list_transform([round_even(round({x}, 9), {d})], lambda v: "
+            f"list_transform([{fixed}], lambda s: {body})[1])[1]")
 
 
 def txt(m: str, s: str, d: int) -> str:

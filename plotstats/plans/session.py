@@ -66,14 +66,23 @@ def tuned_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/plotstats-checkpoints") -> str:
     """Return the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) do we set our own.
+    ``spark.checkpoint.dir`` (or the context's checkpoint folder) is read
+    from the session; only when neither is set (local tests) do we use a
+    local fallback.  Spark refuses to change core settings at runtime, so the
+    fallback is applied to the context, not to the session conf.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.sparkContext.getCheckpointDir()
+        except Exception:  # e.g. Spark Connect: no SparkContext
+            path = None
     if not path:
         path = fallback
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        try:
+            spark.sparkContext.setCheckpointDir(path)
+        except Exception:
+            pass
     return path
 
 

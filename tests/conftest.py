@@ -22,9 +22,7 @@ def spark():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plotstats-ckpt-"))
-    ensure_checkpoint_dir(s)
+    ensure_checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="plotstats-ckpt-"))
     yield s
 
 

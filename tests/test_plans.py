@@ -84,3 +84,21 @@ def test_library_never_collects():
                     if pat in src:
                         bad.append((f, pat))
     assert not bad
+
+
+def test_report_in_csv_reuses_written_statistics(spark):
+    from plotstats.plans import report
+
+    tables = fx.survey_tables(spark, SF)
+    out = scratch_path(spark, "report-csv")
+    paths = report.export_report(spark, tables, out, fmt="csv", island_levels=fx.ISLANDS)
+    assert set(paths) == {
+        "tree_summary", "canopy_cover", "seedling_density", "seedling_table", "sapling_density",
+        "sapling_table", "mean_water_quality", "size_freq_all", "tree_summary_display",
+        "canopy_cover_table", "canopy_cover_series", "water_quality_table"}
+    back = io.read_results(spark, {"tree_summary_display": paths["tree_summary_display"]}, "csv")
+    direct = stand.tree_summary_display(stand.tree_summary(tables["trees"], tables["heights"]))
+    assert back["tree_summary_display"].count() == direct.count()
+    assert sorted(r.Basal_Area for r in back["tree_summary_display"].collect()) == \
+        sorted(r.Basal_Area for r in direct.collect())
+    assert os.path.isdir(os.path.join(paths["size_freq_all"], "Site=NATION_8"))
