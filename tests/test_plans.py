@@ -102,3 +102,14 @@ def test_report_in_csv_reuses_written_statistics(spark):
     assert sorted(r.Basal_Area for r in back["tree_summary_display"].collect()) == \
         sorted(r.Basal_Area for r in direct.collect())
     assert os.path.isdir(os.path.join(paths["size_freq_all"], "Site=NATION_8"))
+
+
+def test_api_exports_every_survey_operator():
+    from plotstats import api
+
+    for name in catalog.QUERIES:
+        if name not in ("standard_error", "basal_area", "size_class_label", "mean_se_text",
+                        "species_display_name", "load_tables", "export_results"):
+            assert callable(getattr(api, name)), name
+    for name in api.__all__:
+        assert callable(getattr(api, name)), name
