@@ -22,7 +22,6 @@ from plotstats.functions.expr import DEFAULT_ISLANDS, SPECIES, as_level, level_o
 from plotstats.plans.merge import left_join_nullsafe, left_merge, merge_outer
 from plotstats.plans.nested import Measure, nested_stats
 
-REGEN_PATTERN = r"([A-Z]+)_(seedlings|saplings)"
 # Count columns of the regeneration sheet, in sheet order.
 REGEN_COLUMNS = ("RHMA_seedlings", "RHMA_saplings", "LARA_seedlings", "LARA_saplings",
                  "AVGE_seedlings", "AVGE_saplings")

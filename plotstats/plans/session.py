@@ -63,7 +63,20 @@ def tuned_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/plotstats-checkpoints") -> str:
+def cluster_session(app_name: str = "plotstats") -> SparkSession:
+    """Session for a cluster job started by spark-submit: master and resources
+    come from the launcher, ``CLUSTER_CONF`` sets the plan knobs.  The shared
+    ``spark.checkpoint.dir`` must be configured; there is no local fallback."""
+    builder = SparkSession.builder.appName(app_name)
+    for k, v in CLUSTER_CONF.items():
+        builder = builder.config(k, v)
+    spark = builder.getOrCreate()
+    ensure_checkpoint_dir(spark, fallback=None)
+    return spark
+
+
+def ensure_checkpoint_dir(spark: SparkSession,
+                          fallback: str | None = "/tmp/plotstats-checkpoints") -> str:
     """Return the cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` (or the context's checkpoint folder) is read
@@ -78,6 +91,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/plotstats-c
         except Exception:  # e.g. Spark Connect: no SparkContext
             path = None
     if not path:
+        if fallback is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         path = fallback
         try:
             spark.sparkContext.setCheckpointDir(path)
