@@ -27,13 +27,20 @@ REGEN_COLUMNS = ("RHMA_seedlings", "RHMA_saplings", "LARA_seedlings", "LARA_sapl
                  "AVGE_seedlings", "AVGE_saplings")
 
 
-def regen_long(regen: DataFrame) -> DataFrame:
-    """SY, Site, Plot, Quadrat, Species, Stage, Count — one row per count cell."""
+def regen_long(regen: DataFrame, stage: str | None = None) -> DataFrame:
+    """SY, Site, Plot, Quadrat, Species, Stage, Count — one row per count cell.
+
+    ``stage`` ("seedlings" / "saplings") stacks only that stage's columns: the
+    filter is applied to the column list, since Spark cannot push a filter on
+    generated columns below the generator."""
     rows = []
     for c in REGEN_COLUMNS:
-        species, stage = c.split("_")
-        rows.append(F.struct(F.lit(species).alias("Species"), F.lit(stage).alias("Stage"),
-                             F.col(c).cast("double").alias("Count")))
+        species, st = c.split("_")
+        if stage is None or st == stage:
+            rows.append(F.struct(F.lit(species).alias("Species"), F.lit(st).alias("Stage"),
+                                 F.col(c).cast("double").alias("Count")))
+    if not rows:
+        raise ValueError(f"unknown stage {stage!r}")
     return regen.select("SY", "Site", "Plot", "Quadrat", F.inline(F.array(*rows)))
 
 
@@ -66,7 +73,7 @@ def _with_island(df: DataFrame, densio: DataFrame, levels: Sequence[str]) -> Dat
 def seedling_density(regen: DataFrame, densio: DataFrame,
                      island_levels: Sequence[str] = DEFAULT_ISLANDS) -> DataFrame:
     """SY, Site, Stage, mean_site, count_SE, height_site, Island, Island_order."""
-    seed = regen_long(regen).where(F.col("Stage") == "seedlings")
+    seed = regen_long(regen, "seedlings")
     counts = nested_stats(seed, [["SY", "Site", "Plot", "Stage"], ["SY", "Site", "Stage"]], [
         Measure("mean_site", "Count", ("mean_prop", "mean_prop"), se="skip", se_name="count_SE")])
     height = nested_stats(regen, [["SY", "Site", "Plot"], ["SY", "Site"]], [
@@ -76,7 +83,7 @@ def seedling_density(regen: DataFrame, densio: DataFrame,
 
 
 def _sapling_plot_density(regen: DataFrame) -> DataFrame:
-    sap = regen_long(regen).where(F.col("Stage") == "saplings")
+    sap = regen_long(regen, "saplings")
     return nested_stats(sap, [["SY", "Site", "Plot", "Quadrat", "Species"],
                               ["SY", "Site", "Plot", "Species"]], [
         Measure("plot_dens", "Count", ("sum", "mean"), se="skip", se_name="plot_dens_SE")])
@@ -127,7 +134,7 @@ def sapling_table(regen: DataFrame) -> DataFrame:
 
 def seedling_table(regen: DataFrame) -> DataFrame:
     """SY, Site, <SP>_mean, <SP>_SE, RHMA, AVGE, LARA ("mean ± SE")."""
-    seed = regen_long(regen).where(F.col("Stage") == "seedlings")
+    seed = regen_long(regen, "seedlings")
     site = nested_stats(seed, [["SY", "Site", "Plot", "Species"], ["SY", "Site", "Species"]], [
         Measure("mean", "Count", ("mean", "mean"), se="skip", se_name="SE")])
     return _species_wide(site, "mean", "SE", "mean", "SE")
