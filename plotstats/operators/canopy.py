@@ -20,10 +20,13 @@ from plotstats.functions.expr import COVER_TYPES, mean_se_text, safe_number
 from plotstats.plans.nested import Measure, nested_stats
 from plotstats.plans.reshape import pivot_fixed, unpivot_by_pattern
 
+# --- fixed values of the densiometer sheet and canopy report -----------------
+# Reading columns are named Calc_<direction>_<type>; report labels of the
+# three cover types; the plotted range of the cover series.
 CANOPY_PATTERN = r"Calc_([NSEW])_([A-Za-z]+)"
-# Report labels of the three cover types.
 COVER_LABELS = {"Veg": "Alive", "Wood": "Dead", "Open": "Open"}
 SERIES_RANGE = (-50.0, 100.0)
+# ------------------------------------------------------------------------------
 
 
 def canopy_long(densio: DataFrame) -> DataFrame:

@@ -22,9 +22,11 @@ from plotstats.functions.expr import DEFAULT_ISLANDS, SPECIES, as_level, level_o
 from plotstats.plans.merge import left_join_nullsafe, left_merge, merge_outer
 from plotstats.plans.nested import Measure, nested_stats
 
-# Count columns of the regeneration sheet, in sheet order.
+# --- fixed values of the regeneration sheet -----------------------------------
+# Count columns (<species>_<stage>), in sheet order.
 REGEN_COLUMNS = ("RHMA_seedlings", "RHMA_saplings", "LARA_seedlings", "LARA_saplings",
                  "AVGE_seedlings", "AVGE_saplings")
+# ------------------------------------------------------------------------------
 
 
 def regen_long(regen: DataFrame, stage: str | None = None) -> DataFrame:

@@ -12,12 +12,20 @@ from plotstats.plans.merge import left_join_nullsafe
 
 # --- fixed values of the change map -------------------------------------------
 # Marker fill by change class, forest-type colours, the colour for a missing
-# class, and the circle sizes: radius (|x| + 5) * 75 m for the change layers,
-# |x| / 3 m for stem density, 10 px for the typology markers.
+# class, the stroke colour, popup texts, and the circle sizes: radius
+# (|x| + 5) * 75 m for the change layers, |x| / 3 m for stem density, 10 px
+# for the typology markers; popups show the change rounded to 2 decimals.
 CHANGE_COLORS = {"neg": "#FF0000", "pos": "#E6E600"}
 TYPOLOGY_COLORS = {"Basin": "#000000", "Fringe": "#FFA500", "Salt Pond": "#0000FF"}
 NA_COLOR = "#808080"
 STROKE = "black"
+POPUP_SITE = "<strong>Site:</strong> "
+POPUP_CHANGE = "<br><strong>Change:</strong> "
+POPUP_TYPOLOGY = "<br><strong>Typology:</strong> "
+CHANGE_RADIUS_OFFSET, CHANGE_RADIUS_SCALE = 5, 75.0
+DENSITY_RADIUS_DIVISOR = 3.0
+TYPOLOGY_RADIUS = 10.0
+POPUP_DIGITS = 2
 # layer name, value column, class column, radius kind
 MAP_LAYERS = (
     ("Living Basal Change", "total_change", "direction", "change"),
@@ -69,19 +77,20 @@ def map_layers(overview: DataFrame) -> DataFrame:
     computed in a projection, then one generator stacks the layers; keeping
     the expressions out of the generator lets Spark split their generated
     code into methods."""
-    site_html = F.concat(F.lit("<strong>Site:</strong> "), _text(F.col("Site")))
+    site_html = F.concat(F.lit(POPUP_SITE), _text(F.col("Site")))
     per_layer, rows = [], []
     for order, (name, value, klass, kind) in enumerate(MAP_LAYERS, start=1):
         if kind == "typology":
             v = F.lit(None).cast("double")
-            radius = F.lit(10.0)
-            popup = F.concat(site_html, F.lit("<br><strong>Typology:</strong> "), _text(F.col("Typology")))
+            radius = F.lit(TYPOLOGY_RADIUS)
+            popup = F.concat(site_html, F.lit(POPUP_TYPOLOGY), _text(F.col("Typology")))
             color = _lookup(F.col("Typology"), TYPOLOGY_COLORS)
             fill = color
         else:
             v = F.col(value)
-            radius = (F.abs(v) + 5) * 75.0 if kind == "change" else F.abs(v) / 3.0
-            popup = F.concat(site_html, F.lit("<br><strong>Change:</strong> "), _text(num_text(v, 2)))
+            radius = ((F.abs(v) + CHANGE_RADIUS_OFFSET) * CHANGE_RADIUS_SCALE if kind == "change"
+                      else F.abs(v) / DENSITY_RADIUS_DIVISOR)
+            popup = F.concat(site_html, F.lit(POPUP_CHANGE), _text(num_text(v, POPUP_DIGITS)))
             color = F.lit(STROKE)
             fill = _lookup(F.col(klass), CHANGE_COLORS)
         fields = {"value": v, "radius": radius.cast("double"), "popup": popup, "color": color,

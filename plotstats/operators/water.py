@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from plotstats.functions.expr import mean_se_text, report_round
 from plotstats.plans.nested import Measure, nested_stats
 
+# --- fixed values of the water-quality sheet and report ------------------------
 # output name → reading column
 WATER_MEASURES = {
     "mean_depth": "Water_depth",
@@ -24,6 +25,7 @@ WATER_REPORT = {
     "SAL": ("mean_SAL", 0),
     "TDS": ("mean_TDS", 0),
 }
+# ------------------------------------------------------------------------------
 
 
 def mean_water_quality(ysi: DataFrame) -> DataFrame:
