@@ -320,3 +320,29 @@ def test_site_island_conflicts(frames):
                                       LARA_seedlings=1.0, AVGE_seedlings=1.0)], SY=2022, Island="X")
     # the duplication is kept, as in the survey workflow: one row per island
     assert regen.seedling_density(rg, d, ("X", "Y")).count() == 2
+
+
+def test_axis_rescale_and_error_bars_exact(spark):
+    df = spark.createDataFrame([(0.0, 1.0, 0.5), (10.0, 3.0, 1.0), (5.0, 2.0, None)],
+                               "h double, m double, se double")
+    s = regen.axis_scalars(df, "h", "m", "se")          # min_h 0, max_h 10, min_m 1, max_m 3 + 1
+    out = regen.rescale_to_axis(df, "h", "m", "se", "p", s)
+    out = regen.rescale_inverse(out, "p", "h", "m", "se", "back", s)
+    out = regen.error_bar_bounds(out, "m", "se")
+    got = {r.h: r for r in out.collect()}
+    assert [got[h].p for h in (0.0, 5.0, 10.0)] == [pytest.approx(1.0), pytest.approx(2.5), pytest.approx(4.0)]
+    assert [got[h].back for h in (0.0, 5.0, 10.0)] == [pytest.approx(0.0), pytest.approx(5.0), pytest.approx(10.0)]
+    assert (got[10.0].ymin, got[10.0].ymax, got[5.0].ymax) == (3.0, 4.0, None)
+    flat = spark.createDataFrame([(2.0, 1.0, 0.1), (2.0, 2.0, 0.1)], "h double, m double, se double")
+    assert [r.p for r in regen.rescale_to_axis(flat, "h", "m", "se", "p").collect()] == [None, None]
+
+
+def test_size_freq_by_site_facets_and_sites_of_island(frames):
+    t = frames("trees", [dict(Site="A", DBH_cm=1.0), dict(Site="A", DBH_cm=4.0),
+                         dict(Site="B", DBH_cm=7.0), dict(Site="B", DBH_cm=7.5, SY=2024)],
+               SY=2022, Island="I", Plot="p", Quadrat=1, Species="RHMA", Mortality="Alive")
+    got = {(r.Site, r.size_class): r.freq for r in sizes.size_freq_by_site(t, 2022, 3.0).collect()}
+    assert got == {("A", 1): 0.5, ("A", 2): 0.5, ("B", 3): 1.0}
+    d = frames("densiometer", [dict(Island="X", Site="A"), dict(Island="X", Site="A"),
+                               dict(Island="Y", Site="B")], SY=2022, Plot="p1", Quadrat=1)
+    assert [r.Site for r in regen.sites_of_island(d, "X").collect()] == ["A"]
