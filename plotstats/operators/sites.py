@@ -37,11 +37,13 @@ MAP_LAYERS = (
 # ------------------------------------------------------------------------------
 
 
-def site_coordinates(coords: DataFrame) -> DataFrame:
-    """Island, Site, Typology (forest type of the lowest Plot), Latitude,
-    Longitude (plot means; one missing plot value → NULL)."""
+def site_coordinates(coords: DataFrame, order_by: str = "Plot") -> DataFrame:
+    """Island, Site, Typology, Latitude, Longitude (plot means; one missing
+    plot value → NULL).  Typology is the forest type of the site's first row
+    by ``order_by`` — a distributed table has no sheet order, so pass a
+    loaded row-number column to reproduce it; the default is the lowest Plot."""
     return coords.groupBy("Island", "Site").agg(
-        F.min_by(F.col("`Forest type`"), F.col("Plot")).alias("Typology"),
+        F.min_by(F.col("`Forest type`"), F.col(f"`{order_by}`")).alias("Typology"),
         mean_prop("Latitude").alias("Latitude"),
         mean_prop("Longitude").alias("Longitude"))
 

@@ -248,6 +248,8 @@ def test_site_coordinates_null_latitude(frames):
         Island="I", Site="A")
     r = sites.site_coordinates(c).first()
     assert r.Typology == "Basin" and r.Latitude is None and r.Longitude == pytest.approx(-64.5)
+    by_latitude = sites.site_coordinates(c.fillna({"Latitude": 99.0}), order_by="Latitude").first()
+    assert by_latitude.Typology == "Fringe"
 
 
 def test_sign_class_and_text(spark):
