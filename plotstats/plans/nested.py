@@ -11,6 +11,11 @@ on that level's keys → final ``HashAggregate``.  Only the first exchange
 carries data proportional to the input (and only after map-side combine, so
 a hot site or plot sends one partial row per task, not its readings); the
 later exchanges carry one row per plot.
+
+Repartitioning the readings by the outer keys first would let every level
+run without a second exchange, but it shuffles raw rows without map-side
+combine and puts a hot plot or site into a single task — so the chain keeps
+one exchange per level on purpose.
 """
 
 from __future__ import annotations
