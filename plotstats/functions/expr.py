@@ -61,13 +61,15 @@ def species_display_name(code: Column | str) -> Column:
     return out
 
 
-def level_ordinal(c: Column | str, levels: Sequence[str]) -> Column:
-    """1-based position of ``c`` among ``levels``; NULL if not a level."""
+def level_ordinal(c: Column | str, levels: Sequence[str], missing_last: bool = False) -> Column:
+    """1-based position of ``c`` among ``levels``; for anything else NULL, or
+    ``len(levels) + 1`` with ``missing_last`` (a sort key that puts values
+    outside the levels last, the way R sorts a factor's NA)."""
     c = col(c)
     out = None
     for i, v in enumerate(levels, start=1):
         out = (F.when if out is None else out.when)(c == v, F.lit(i))
-    return out
+    return out.otherwise(F.lit(len(levels) + 1)) if missing_last else out
 
 
 def as_level(c: Column | str, levels: Sequence[str]) -> Column:

@@ -66,10 +66,11 @@ def sites_of_island(densio: DataFrame, island: str) -> DataFrame:
 def _with_island(df: DataFrame, densio: DataFrame, levels: Sequence[str]) -> DataFrame:
     """Attach Island by Site (a Site listed under two islands yields two rows)
     as an ordered factor: Island outside ``levels`` → NULL; Island_order is
-    its 1-based level position."""
+    the sort key — the 1-based level position, ``len(levels) + 1`` for a NULL
+    Island (sorted last, as R sorts NA)."""
     j = left_join_nullsafe(df, site_islands(densio), ["Site"])
     return j.withColumns({"Island": as_level("Island", levels),
-                          "Island_order": level_ordinal("Island", levels)})
+                          "Island_order": level_ordinal("Island", levels, missing_last=True)})
 
 
 def seedling_density(regen: DataFrame, densio: DataFrame,

@@ -406,7 +406,7 @@ reg("regen_long", query(["regeneration"], _RL, "SELECT * FROM rl"), ("Count",))
 _ISL = ["isl AS (SELECT DISTINCT Island, Site FROM densiometer)"]
 _ISL_SEL = ("CASE WHEN i.Island IN " + in_list(ISLANDS) + " THEN i.Island END AS Island, CASE i.Island "
             + " ".join(f"WHEN '{v}' THEN {k}" for k, v in enumerate(ISLANDS, start=1))
-            + " END AS Island_order")
+            + f" ELSE {len(ISLANDS) + 1} END AS Island_order")
 
 
 def _prop_mean(x: str) -> str:

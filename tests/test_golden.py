@@ -202,7 +202,7 @@ def test_sapling_density_quadrat_sum_and_left_join(frames):
     r = got[("RHMA",)]
     assert r.mean_dens == pytest.approx((1.0 + 4.0) / 2)   # p1: quadrat sums 2, 0 → 1
     assert r.mean_ht == pytest.approx(20.0)
-    assert r.Island is None and r.Island_order is None      # not a level
+    assert r.Island is None and r.Island_order == 4         # not a level: sorted last
     only = regen.sapling_density(rg, sap, densio, species="LARA").collect()
     assert [x.Species for x in only] == ["LARA"]
 
