@@ -113,3 +113,17 @@ def test_api_exports_every_survey_operator():
             assert callable(getattr(api, name)), name
     for name in api.__all__:
         assert callable(getattr(api, name)), name
+
+
+def test_csv_loader_keeps_text_na_and_nulls_numeric_na(spark):
+    root = scratch_path(spark, "csv-na")
+    os.makedirs(f"{root.replace('file:', '')}/heights", exist_ok=True)
+    with open(f"{root.replace('file:', '')}/heights/part-0.csv", "w") as f:
+        f.write("SY,Island,Site,Plot,Quadrat,Species,Tree_Height_m\n")
+        f.write("2022,I,A,p1,1,NA,5.0\n")       # text "NA" species: excluded from heights
+        f.write("2022,I,A,p1,1,,7.0\n")         # empty species: NULL, kept
+        f.write("2022,I,A,p1,1,RHMA,NA\n")      # "NA" height: NULL, skipped by the mean
+    h = io.load_tables(spark, root, fmt="csv", names=["heights"])["heights"]
+    assert {(r.Species, r.Tree_Height_m) for r in h.collect()} == {
+        (None, 7.0), ("NA", 5.0), ("RHMA", None)}
+    assert stand.mean_tree_height(h).first().mean_height == 7.0
