@@ -127,3 +127,48 @@ def test_csv_loader_keeps_text_na_and_nulls_numeric_na(spark):
     assert {(r.Species, r.Tree_Height_m) for r in h.collect()} == {
         (None, 7.0), ("NA", 5.0), ("RHMA", None)}
     assert stand.mean_tree_height(h).first().mean_height == 7.0
+
+
+def _children(node):
+    ch = node.children()
+    return [ch.apply(i) for i in range(ch.size())]
+
+
+def _raw_row_exchanges(node, found):
+    """Exchanges whose input reaches a file scan without an aggregate on the way."""
+    def reaches_scan(n):
+        name = n.nodeName()
+        if "Scan" in name:
+            return True
+        if name in ("HashAggregate", "ObjectHashAggregate", "SortAggregate") or "Exchange" in name:
+            return False
+        return any(reaches_scan(c) for c in _children(n))
+
+    if node.nodeName() == "Exchange" and any(reaches_scan(c) for c in _children(node)):
+        found.append(node.toString().splitlines()[0][:120])
+    for c in _children(node):
+        _raw_row_exchanges(c, found)
+    return found
+
+
+def test_stored_tables_never_shuffle_raw_rows(spark):
+    """Over stored survey tables every shuffle carries aggregated rows: each
+    hash exchange has an aggregate between it and the scan below it."""
+    root = scratch_path(spark, "raw-shuffle")
+    io.write_survey_tables(fx.survey_tables(spark, SF), root)
+    tables = io.load_tables(spark, root)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        offenders = {}
+        with catalog.stored_tables(tables):
+            for name in PLAN_QUERIES:
+                plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+                found = _raw_row_exchanges(plan, [])
+                if found:
+                    offenders[name] = found
+        assert not offenders, offenders
+        # control: a raw repartition is detected
+        raw = tables["trees"].repartition(8, "Site")._jdf.queryExecution().executedPlan()
+        assert _raw_row_exchanges(raw, [])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
