@@ -172,3 +172,14 @@ def test_stored_tables_never_shuffle_raw_rows(spark):
         assert _raw_row_exchanges(raw, [])
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_loader_reads_nan_as_null(spark):
+    root = scratch_path(spark, "nan")
+    df = spark.createDataFrame([(2022, "A", "p1", float("nan")), (2022, "A", "p1", 10.0)],
+                               "SY int, Site string, Plot string, Water_depth double")
+    df.write.parquet(f"{root}/ysi")
+    y = io.load_tables(spark, root, names=["ysi"])["ysi"]
+    assert sorted(str(r.Water_depth) for r in y.collect()) == ["10.0", "None"]
+    from plotstats.operators import water
+    assert water.mean_water_quality(y).first().mean_depth == 10.0
