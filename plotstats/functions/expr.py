@@ -24,10 +24,11 @@ DEFAULT_ISLANDS = ("St Thomas", "St John", "St Croix")
 COVER_TYPES = ("Veg", "Wood", "Open")
 # -----------------------------------------------------------------------------
 
-# A numeric literal as text: optional sign, digits with optional fraction or
-# a bare fraction, optional exponent.  Guards try_cast, which would also take
-# Java-style suffixes such as "1d".
-NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# A numeric literal as text: optional sign, then digits with optional fraction
+# or a bare fraction, optional exponent — or Inf / Infinity in any case.
+# Guards try_cast, which would also take Java-style suffixes such as "1d".
+# "NaN" is not matched: it becomes NULL, which every statistic skips.
+NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
 
 
 def col(c: Column | str) -> Column:

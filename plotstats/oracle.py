@@ -20,7 +20,7 @@ ISLANDS = ("AFRICA", "AMERICA", "ASIA")
 BASE, TARGET = 1996, 2000
 YEARS = tuple(range(1995, 2002))
 BIN = 3.0
-NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUM_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
 
 # --- survey tables derived from the test tables (FIXTURES.md §2) ----------------
 
