@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotstats.plans.session import scratch_path
 
-from . import quality_rules, token_files, warc
+from . import ngram_join, quality_rules, token_files, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_warc(spark, path, payload=False))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), 3, 9, 10).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -35,4 +39,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op4_warc, op9_quality_rules, op10_token_files)}
+    op4_warc, op8_ngram_join, op9_quality_rules, op10_token_files)}
