@@ -9,7 +9,9 @@ per word.  ASCII white space is ``\\t\\n\\v\\f\\r`` and space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def pinned(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with a column that is computed once per row.
+
+    Catalyst copies an expression to where its column is used, also into lambdas, where it
+    would be evaluated again for every array element.  A one-element explode stops that."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def worker_memo(key: str, make: Callable):
+    """An object that lives as long as the Python process, so that reused workers keep it
+    from task to task."""
+    home = sys.modules.setdefault("_plotstats_worker_memo", types.ModuleType("_plotstats_worker_memo"))
+    if not hasattr(home, key):
+        setattr(home, key, make())
+    return getattr(home, key)
+
+
 def text_column(df: DataFrame, name: str = "text"):
     """The column as text, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -28,7 +28,8 @@ table gives no file and no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import os
+import re
 import struct
 import zlib
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import slices, text_column
+from .common import slices, text_column, worker_memo
 
 CHUNK = 8
 BLOCK = 512
@@ -121,29 +122,45 @@ def unpack_shard(raw: bytes):
 class WordEncoder:
     """Ids of whole texts by a memory of word encodings.
 
-    The tokenizer splits at white space before anything else and neither its
-    normalizer nor its special strings reach across ASCII white space, so a text's
-    ids are those of its white-space separated words, joined.  The memory is
-    emptied when it holds ``limit`` words, so it stays bounded on any corpus.
+    The tokenizer folds case and splits at white space before anything else, and no part of it
+    reaches across ASCII white space, so a text's ids are those of its words, joined.  A full
+    stop or comma between an ASCII letter and white space is always a piece of its
+    own, so it is cut off first.  Texts with the mark of a special string are encoded
+    whole.  The memory is emptied when it holds ``limit`` words, so it stays bounded on
+    any corpus.  Whether a tokenizer file allows this is checked once (``splits``).
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
+
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        probe = "The cat, that SAT's ÉTÉ. \"q.\" 12,5 a_b... x.y"
+        joined = b"".join(self._ids(w.decode()) for w in self._words(probe))
+        self.splits = joined == self._ids(probe)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, text: str) -> list[bytes]:
+        return self.STOP.sub(rb" \1", text.encode().lower()).split()
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.encode().split() for x in texts]
-        known = self.known
-        new = {w for doc in split for w in doc if w not in known}
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = {w for doc in split for w in doc}
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.splits or "<|" in text:
+            return np.frombuffer(self._ids(text), "<u4")
+        known, words = self.known, self._words(text)
+        new = [w for w in set(words) if w not in known]
         if new:
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)):
-                known[w] = e.ids
-        return [np.fromiter(itertools.chain.from_iterable([known[w] for w in doc]), np.uint32) for doc in split]
+            if len(known) + len(new) > self.limit:
+                known.clear()
+                new = list(set(words))
+            for i in range(0, len(new), 1000):
+                part = new[i:i + 1000]
+                for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
+                    known[w] = np.array(e.ids, "<u4").tobytes()
+        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_column: str = "doc_id",
@@ -157,14 +174,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_column
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def shards(batches):
-        encode, part, ordinal = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encode = worker_memo(f"encoder {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
+        part, ordinal = TaskContext.get().partitionId(), 0
         ids, docs_in, counts, held = [], [], [], 0
 
         def close():
             return pa.RecordBatch.from_pydict({"shard": pa.array([pack_shard(part, ordinal, docs_in, counts, np.concatenate(ids))], pa.binary())})
 
         for batch in slices(batches, "text"):
-            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                got = encode(text)
                 if docs_in and held + len(got) + 1 > tokens_per_shard:
                     yield close()
                     ids, docs_in, counts, held, ordinal = [], [], [], 0, ordinal + 1
