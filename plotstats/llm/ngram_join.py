@@ -205,7 +205,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     """Per row: doc_id, text_hash, n_shingles, component_id, component_v and
     v; the row with v = component_v represents its class."""
     spark = docs.sparkSession
-    ratio = band_ratio or (4 / 3 if num / den >= 0.87 else 1.75)
+    ratio = band_ratio or 1.3
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketch = saved(_sketch(rows, k, num, den, ratio), "jaccard-sketch")
     sets = sketch.filter("set_id is not null").groupBy("set_id").agg(F.min("v").alias("rep"), F.min("doc_id").alias("least_id"))
