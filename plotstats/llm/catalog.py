@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotstats.plans.session import scratch_path
 
-from . import decontamination, ngram_join, quality_rules, token_files, warc
+from . import decontamination, ngram_join, quality_rules, secret_scan, token_files, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), 3, 9, 10).select("doc_id", "n_shingles", "component_id")
 
@@ -44,4 +48,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op4_warc, op6_decontamination, op8_ngram_join, op9_quality_rules, op10_token_files)}
+    op4_warc, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_token_files)}

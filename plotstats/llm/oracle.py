@@ -41,3 +41,44 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
+
+
+def _matches(kind: str, rank: int, pattern: str, keep: str) -> str:
+    """Spans of a pattern: texts are split at marks around its matches."""
+    mark = "chr(57344)"
+    return f"""
+  SELECT doc_id, text, CAST(e - length(p) AS BIGINT) AS s, {rank} AS r, CAST(e AS BIGINT) AS e, '{kind}' AS k
+  FROM (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e
+        FROM (SELECT doc_id, text, unnest(l) AS p, generate_subscripts(l, 1) AS i
+              FROM (SELECT doc_id, text, string_split(regexp_replace(text, '{pattern}', {mark} || '\\0' || {mark}, 'g'), {mark}) AS l
+                    FROM d WHERE regexp_matches(text, '{pattern}'))))
+  WHERE i % 2 = 0 AND ({keep})"""
+
+
+def _secret_sql() -> str:
+    from . import secret_scan as s
+
+    quoted = {k: getattr(s, k.upper()).replace("'", "''") for k in s.KINDS}
+    mixed = "regexp_matches(p, '[=:]') OR (regexp_matches(p, '[0-9]') AND regexp_matches(p, '[A-Z]') AND regexp_matches(p, '[a-z]'))"
+    keep = {"assign": f"length(regexp_extract(p, '{quoted['assign']}', 2)) >= 8", "access": "length(p) >= 16", "secret": mixed}
+    parts = "\n  UNION ALL".join(_matches(k, i, quoted[k], keep.get(k, "true")) for i, k in enumerate(s.KINDS))
+    text = "coalesce(string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, r, e), '')"
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(57344), chr(57345)) AS text FROM documents
+), m AS ({parts}
+), j AS (
+  SELECT a.doc_id, a.s, a.r, a.e, a.k,
+         bool_or(b.k IN ('access', 'identity') AND abs(a.s - b.s) <= {s.REACH}) AS idn,
+         bool_or(b.k IN ('assign', 'hex', 'secret') AND abs(a.s - b.s) <= {s.REACH}) AS sec,
+         bool_or(b.r < 3 AND b.s < a.e AND b.e > a.s) AS taken
+  FROM m a JOIN m b USING (doc_id) GROUP BY ALL
+), f AS (
+  SELECT * FROM j WHERE r < 3 OR NOT taken AND CASE k WHEN 'identity' THEN sec WHEN 'secret' THEN idn ELSE idn AND sec END
+)
+SELECT d.doc_id, count(*) FILTER (k = 'assign') AS n_assign, count(*) FILTER (k = 'access') AS n_access, count(*) FILTER (k = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, r, e) FILTER (r < 3), '')) AS base_sha256, {text} AS spans
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+ORACLE_SQL["op7_secret_scan"] = _secret_sql()
