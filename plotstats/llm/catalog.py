@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotstats.plans.session import scratch_path
 
-from . import decontamination, ngram_join, quality_rules, secret_scan, token_files, warc
+from . import decontamination, ngram_join, pii, quality_rules, secret_scan, token_files, warc
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_warc(spark, path, payload=False))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find_pii(docs))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -48,4 +53,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op4_warc, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_token_files)}
+    op4_warc, op5_pii, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_token_files)}

@@ -67,13 +67,17 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     return _hits(*_prepared(docs, items, id_column, text_col, item_id, item_text)[:2])
 
 
+def _spans(length: int) -> Column:
+    """All runs of ``length`` words, as text."""
+    return F.transform(F.sequence(F.lit(1), F.size("words") - length + 1), lambda i: F.array_join(F.slice("words", i, length), " "))
+
+
 def _prepared(docs, items, id_column, text_col, item_id, item_text):
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     parts = pinned(items.select(F.col(item_id).alias("item_id"), text_column(items, item_text).alias("item_text")), "words", word_list(F.col("item_text")))
     n = F.size("words")
-    long = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.array_join(F.slice("words", i, WINDOW), " "))
-    windows = parts.select("item_id", F.least(n, F.lit(WINDOW)).alias("length"), F.explode(F.when(n >= WINDOW, long).otherwise(F.array(F.array_join("words", " ")))).alias("window"))
+    windows = parts.select("item_id", F.least(n, F.lit(WINDOW)).alias("length"), F.explode(F.when(n >= WINDOW, _spans(WINDOW)).otherwise(F.array(F.array_join("words", " ")))).alias("window"))
     return rows, saved(windows.filter("length > 0").distinct(), "decontamination-windows")
 
 
@@ -89,7 +93,7 @@ def _hits(rows: DataFrame, windows: DataFrame) -> DataFrame:
     for length in lengths:
         short = _small(distinct.filter(F.col("length") == length).select("window"))
         n = F.size("words")
-        spans = F.when(n >= length, F.transform(F.sequence(F.lit(1), n - length + 1), lambda i, k=length: F.array_join(F.slice("words", i, k), " ")))
+        spans = F.when(n >= length, _spans(length))
         found = worded.select("doc_id", "text_hash", F.posexplode(spans).alias("at", "window")).join(short, "window", "left_semi")
         stretches = stretches.unionByName(found.select("doc_id", "text_hash", F.lit(length).alias("length"), (F.col("at") + 1).alias("first"), (F.col("at") + 1).alias("last")))
     # the hits of a document, then its words once more to extend them
