@@ -81,6 +81,7 @@ def flags(chars: bytes) -> np.ndarray:
 
 
 WHITE = flags(b"\t\n\v\f\r ")
+LETTERED = flags(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | flags(bytes(range(128, 256)))
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
