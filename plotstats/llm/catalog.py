@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotstats.plans.session import scratch_path
 
-from . import decontamination, ngram_join, pii, quality_rules, secret_scan, token_files, warc
+from . import decontamination, language_id, ngram_join, pii, quality_model, quality_rules, sampled_pieces, secret_scan, token_files, warc
 from .common import table
 
 
@@ -18,6 +18,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sampled_pieces.decode(sampled_pieces.encode(docs, model), model)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.score_documents(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path, compression="gzip")
@@ -53,4 +70,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op4_warc, op5_pii, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_token_files)}
+    op1_sampled_pieces, op2_language_id, op3_quality_model, op4_warc, op5_pii, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_token_files)}
