@@ -28,7 +28,7 @@ from plotstats.functions.aggregates import n_rows, standard_error
 from plotstats.functions.expr import SNAP_DIGITS, basal_area, mean_se_text, species_display_name
 from plotstats.operators import canopy, regen, sites, sizes, stand, water
 from plotstats.plans import report
-from plotstats.plans.session import scratch_path
+from plotstats.plans.session import remove_scratch, scratch_path
 from plotstats.sources import fixtures as fx
 from plotstats.sources import io
 
@@ -150,7 +150,7 @@ def q_mean_tree_height(spark, sf):
 
 @register("pct_basal_area_change")
 def q_pct_basal_area_change(spark, sf):
-    return stand.pct_basal_area_change(_t(spark, sf, "trees"), B, T_, fx.SURVEY_YEARS)
+    return stand.pct_basal_area_change(_t(spark, sf, "trees"), B, T_)
 
 
 @register("basal_area_change")
@@ -236,6 +236,13 @@ def q_sapling_density(spark, sf):
                                  _t(spark, sf, "densiometer"), None, fx.ISLANDS)
 
 
+@register("sapling_density_species")
+def q_sapling_density_species(spark, sf):
+    """The one-species form, as the regeneration report uses it."""
+    return regen.sapling_density(_t(spark, sf, "regeneration"), _t(spark, sf, "saplings"),
+                                 _t(spark, sf, "densiometer"), "LARA", fx.ISLANDS)
+
+
 @register("sapling_table")
 def q_sapling_table(spark, sf):
     return regen.sapling_table(_t(spark, sf, "regeneration"))
@@ -314,9 +321,22 @@ def q_species_display_name(spark, sf):
         "Species", species_display_name("Species").alias("display_name"), "n_trees")
 
 
-def _counts(frames: dict[str, DataFrame], label: str) -> DataFrame:
-    parts = [df.agg(n_rows().alias("n_rows")).select(F.lit(name).alias(label), "n_rows")
-             for name, df in frames.items()]
+def _contents(frames: dict[str, DataFrame], label: str) -> DataFrame:
+    """Per table and column: rows, non-null values, the exact sum of numbers (6 decimals)
+    and the least and greatest text."""
+    parts = []
+    for name, df in frames.items():
+        rows = []
+        aggs = [n_rows().alias("n_rows")]
+        for i, f in enumerate(df.schema.fields):
+            c = F.col(f"`{f.name}`")
+            text = isinstance(f.dataType, T.StringType)
+            total = F.lit(None) if text else F.sum(F.round(c, 6).cast("decimal(38,6)"))
+            aggs += [F.count(c).alias(f"n{i}"), total.cast("decimal(38,6)").alias(f"t{i}"),
+                     *(agg(c if text else F.lit(None).cast("string")).alias(f"{k}{i}") for k, agg in (("l", F.min), ("h", F.max)))]
+            rows.append(F.struct(F.lit(f.name).alias("column_name"), F.col("n_rows"), F.col(f"n{i}").alias("n_values"),
+                                 F.round(F.col(f"t{i}").cast("double"), 2).alias("total"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high")))
+        parts.append(df.agg(*aggs).select(F.lit(name).alias(label), F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -324,10 +344,10 @@ def _counts(frames: dict[str, DataFrame], label: str) -> DataFrame:
 def q_load_tables(spark, sf):
     """Write the derived survey tables in their declared schemas (partitioned
     by survey year) to a fresh folder under the shared checkpoint folder, load
-    them back through ``load_tables`` and count rows per table."""
+    them back through ``load_tables`` and report every column's contents."""
     root = scratch_path(spark, "survey-tables")
     io.write_survey_tables(fx.survey_tables(spark, sf), root)
-    return _counts(io.load_tables(spark, root), "table_name")
+    return _contents(io.load_tables(spark, root), "table_name")
 
 
 @register("export_results")
@@ -335,11 +355,13 @@ def q_export_results(spark, sf):
     """The batch report: survey tables are materialised once (written to a
     fresh folder under the shared checkpoint folder and loaded back with
     declared schemas), every result table is written by ``export_report``
-    (size frequencies one folder per Site), and the rows written are counted
-    from storage."""
+    (size frequencies one folder per Site), and the contents of every column
+    are reported from storage.  The survey tables are removed afterwards; the
+    results stay, as the returned frame reads them."""
     root = scratch_path(spark, "report")
     io.write_survey_tables(fx.survey_tables(spark, sf), f"{root}/survey")
     tables = io.load_tables(spark, f"{root}/survey")
-    paths = report.export_report(spark, tables, f"{root}/results", bin_size=fx.SIZE_BIN,
-                                 island_levels=fx.ISLANDS)
-    return _counts(io.read_results(spark, paths), "result")
+    written = report.export_report(spark, tables, f"{root}/results", bin_size=fx.SIZE_BIN,
+                                   island_levels=fx.ISLANDS)
+    remove_scratch(spark, f"{root}/survey")
+    return _contents(written, "result")

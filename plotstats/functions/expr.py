@@ -25,10 +25,11 @@ COVER_TYPES = ("Veg", "Wood", "Open")
 # -----------------------------------------------------------------------------
 
 # A numeric literal as text: optional sign, then digits with optional fraction
-# or a bare fraction, optional exponent — or Inf / Infinity in any case.
-# Guards try_cast, which would also take Java-style suffixes such as "1d".
-# "NaN" is not matched: it becomes NULL, which every statistic skips.
-NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
+# or a bare fraction, optional exponent.  Guards try_cast, which would also take
+# Java-style suffixes such as "1d".  "NaN" and "Inf" are not matched: no field
+# reading is infinite, and either would turn a mean or its SE into NaN, so they
+# become NULL, which every statistic skips.
+NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def col(c: Column | str) -> Column:
@@ -44,7 +45,12 @@ def basal_area(dbh_cm: Column | str) -> Column:
 def safe_number(c: Column | str) -> Column:
     """Quiet text → double: NULL for anything that is not a plain number."""
     c = col(c).cast("string")
-    return F.when(c.rlike(NUMERIC_TEXT), c.try_cast("double"))
+    return finite(F.when(c.rlike(NUMERIC_TEXT), c.try_cast("double")))
+
+
+def finite(c: Column) -> Column:
+    """NaN and infinities (a literal such as 1e999 too) → NULL."""
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def sign_class(c: Column | str) -> Column:
@@ -148,7 +154,7 @@ def size_class_index(x: Column | str, width: float) -> Column:
     i0 = F.floor(x / w)
     i1 = F.when((i0 + 1) * w <= x, i0 + 1).otherwise(i0)
     i2 = F.when(i1 * w > x, i1 - 1).otherwise(i1)
-    return (i2 + 1).cast("int")
+    return i2 + 1  # bigint: a stray huge diameter must not fail the job
 
 
 def _edge_text(v: Column) -> Column:

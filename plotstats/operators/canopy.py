@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from plotstats.functions.expr import COVER_TYPES, mean_se_text, safe_number
 from plotstats.plans.nested import Measure, nested_stats
 from plotstats.plans.reshape import pivot_fixed, unpivot_by_pattern
+from plotstats.sources.schemas import CANOPY_PREFIX
 
 # --- fixed values of the densiometer sheet and canopy report -----------------
 # Reading columns are named Calc_<direction>_<type>; report labels of the
@@ -32,7 +33,7 @@ SERIES_RANGE = (-50.0, 100.0)
 def canopy_long(densio: DataFrame) -> DataFrame:
     """SY, Site, Plot, Direction, Type, value (double or NULL)."""
     return unpivot_by_pattern(densio, ["SY", "Site", "Plot"], CANOPY_PATTERN,
-                              ["Direction", "Type"], "value", safe_number)
+                              ["Direction", "Type"], "value", safe_number, prefix=CANOPY_PREFIX)
 
 
 def canopy_cover(densio: DataFrame) -> DataFrame:

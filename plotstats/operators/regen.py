@@ -116,15 +116,15 @@ def sapling_density(regen: DataFrame, saplings: DataFrame, densio: DataFrame,
 
 
 def _species_wide(site: DataFrame, mean: str, se: str, mean_name: str, se_name: str) -> DataFrame:
-    """Species → columns <SP>_<mean_name>, <SP>_<se_name>, plus text <SP>;
-    sorted by Site, SY."""
+    """Species → columns <SP>_<mean_name>, <SP>_<se_name>, plus text <SP>.
+    Row order is the sink's business (``plans.report.SORTED``)."""
     cols = []
     for s in SPECIES:
         cols.append(F.max(F.when(F.col("Species") == s, F.col(mean))).alias(f"{s}_{mean_name}"))
         cols.append(F.max(F.when(F.col("Species") == s, F.col(se))).alias(f"{s}_{se_name}"))
     wide = site.groupBy("SY", "Site").agg(*cols)
     text = [mean_se_text(f"{s}_{mean_name}", f"{s}_{se_name}", 1).alias(s) for s in SPECIES]
-    return wide.select("*", *text).orderBy("Site", "SY")
+    return wide.select("*", *text)
 
 
 def sapling_table(regen: DataFrame) -> DataFrame:

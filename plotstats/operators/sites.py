@@ -37,13 +37,20 @@ MAP_LAYERS = (
 # ------------------------------------------------------------------------------
 
 
-def site_coordinates(coords: DataFrame, order_by: str = "Plot") -> DataFrame:
+def site_coordinates(coords: DataFrame, order_by: str = "Row") -> DataFrame:
     """Island, Site, Typology, Latitude, Longitude (plot means; one missing
     plot value → NULL).  Typology is the forest type of the site's first row
-    by ``order_by`` — a distributed table has no sheet order, so pass a
-    loaded row-number column to reproduce it; the default is the lowest Plot."""
+    by ``order_by``, a numeric column: the sheet row, stored with the table
+    because a distributed table has no row order.  Rows of equal order are
+    taken by Plot (as text) and then by forest type."""
+    kind = dict(coords.dtypes).get(order_by)
+    if kind is None:
+        raise ValueError(f"coordinates lack the row-order column {order_by!r}")
+    if kind in ("string", "boolean"):
+        raise ValueError(f"row-order column {order_by!r} must be numeric, is {kind}")
+    first = F.struct(F.col(f"`{order_by}`").isNull(), F.col(f"`{order_by}`"), F.col("Plot").cast("string"), F.col("`Forest type`"))
     return coords.groupBy("Island", "Site").agg(
-        F.min_by(F.col("`Forest type`"), F.col(f"`{order_by}`")).alias("Typology"),
+        F.min_by(F.col("`Forest type`"), first).alias("Typology"),
         mean_prop("Latitude").alias("Latitude"),
         mean_prop("Longitude").alias("Longitude"))
 

@@ -33,6 +33,8 @@ from plotstats.plans.nested import Measure, nested_stats
 
 SITE_YEAR = ["SY", "Site"]
 PLOT = ["SY", "Site", "Plot"]
+# columns of the percent-change table; survey years are a handful
+MAX_YEARS = 500
 
 
 def mortality_classes(mortality: str) -> tuple[tuple[str, ...], str]:
@@ -128,8 +130,16 @@ def pct_basal_area_change(trees: DataFrame, base: int, target: int,
                           years: Sequence[int] | None = None) -> DataFrame:
     """Site, one column per survey year (mean live basal area, absent → 0),
     percentage_change = (target − base) / base × 100 (NULL when base is 0).
-    ``years`` fixes the year columns (default: base and target)."""
-    ys = sorted(set(years or ()) | {base, target})
+    The year columns are the survey years with a live tree, found by a distinct
+    over ``SY`` (``MAX_YEARS`` at most); ``years`` fixes them instead, and a year
+    of the data outside the list is an error, not a lost column."""
+    live = _qualifying(trees, LIVE).select("SY").where(F.col("SY").isNotNull()).distinct()
+    found = {r.SY for r in live.limit(MAX_YEARS + 1).collect()}
+    if len(found) > MAX_YEARS:
+        raise ValueError(f"more than {MAX_YEARS} survey years")
+    if years is not None and not found <= set(years):
+        raise ValueError(f"survey years {sorted(found - set(years))} are not in the given list")
+    ys = sorted(found.union(years or (), (base, target)))
     stat = mean_basal_area(trees)
     wide = stat.groupBy("Site").agg(*[_year_value("mean_basal_area", y).alias(str(y)) for y in ys])
     b, t = F.col(f"`{base}`"), F.col(f"`{target}`")

@@ -20,7 +20,7 @@ ISLANDS = ("AFRICA", "AMERICA", "ASIA")
 BASE, TARGET = 1996, 2000
 YEARS = tuple(range(1995, 2002))
 BIN = 3.0
-NUM_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
+NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # --- survey tables derived from the test tables (FIXTURES.md §2) ----------------
 
@@ -70,8 +70,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
          ELSE CASE o.o_orderstatus WHEN 'F' THEN 'Alive' WHEN 'P' THEN 'Dying'
                                    WHEN 'O' THEN 'Dead' END END AS Mortality,
     CASE WHEN l_quantity = 50 THEN NULL ELSE l_quantity END AS DBH_cm
-  FROM b JOIN orders o ON o.o_orderkey = b.l_orderkey
-  WHERE NOT (n_nationkey = 7 AND SY = {BASE}))"""),
+  FROM b JOIN orders o ON o.o_orderkey = b.l_orderkey)"""),
     "heights": (("bp",), """heights AS (
   SELECT SY, Island, Site, Plot, Quadrat,
     CASE p_type WHEN 'ECONOMY' THEN 'RHMA' WHEN 'SMALL' THEN 'AVGE' WHEN 'MEDIUM' THEN 'LARA'
@@ -107,7 +106,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     CASE s_suppkey % 3 WHEN 0 THEN 'Basin' WHEN 1 THEN 'Fringe' ELSE 'Salt Pond' END AS "Forest type",
     CASE WHEN s_suppkey % 40 = 0 THEN NULL
          ELSE 17.0::DOUBLE + CAST(s_suppkey % 100 AS DOUBLE) / 100.0::DOUBLE END AS Latitude,
-    -65.0::DOUBLE + CAST(s_suppkey % 100 AS DOUBLE) / 100.0::DOUBLE AS Longitude
+    -65.0::DOUBLE + CAST(s_suppkey % 100 AS DOUBLE) / 100.0::DOUBLE AS Longitude, s_suppkey AS "Row"
   FROM sd)"""),
 }
 
@@ -198,7 +197,7 @@ _SIZE_ROWS = [
   FROM trees WHERE DBH_cm >= 0 AND Mortality <> 'NA')""",
     f"""s1 AS (SELECT *, CASE WHEN (i0 + 1) * {BIN}::DOUBLE <= x THEN i0 + 1 ELSE i0 END AS i1 FROM s0)""",
     f"""sr AS (SELECT SY, Site, Mortality,
-  CAST(CASE WHEN i1 * {BIN}::DOUBLE > x THEN i1 - 1 ELSE i1 END + 1 AS INTEGER) AS size_class FROM s1)""",
+  CAST(CASE WHEN i1 * {BIN}::DOUBLE > x THEN i1 - 1 ELSE i1 END + 1 AS BIGINT) AS size_class FROM s1)""",
 ]
 _LABEL = (f"CASE WHEN size_class >= 1 THEN {edge(f'(size_class - 1) * {BIN}::DOUBLE')} || '-' || "
           f"{edge(f'size_class * {BIN}::DOUBLE')} END")
@@ -441,6 +440,8 @@ _SAP = _SAP_PD + _ISL + [
     f"sap AS (SELECT s.*, {_ISL_SEL} FROM sps s LEFT JOIN isl i ON s.Site IS NOT DISTINCT FROM i.Site)"]
 reg("sapling_density", query(["regeneration", "saplings", "densiometer"], _SAP, "SELECT * FROM sap"),
     ("mean_dens", "mean_dens_SE", "mean_ht"))
+reg("sapling_density_species", query(["regeneration", "saplings", "densiometer"], _SAP,
+    "SELECT * FROM sap WHERE Species = 'LARA'"), ("mean_dens", "mean_dens_SE", "mean_ht"))
 
 
 def _wide(src: str, mean: str, se_: str, mean_name: str, se_name: str) -> str:
@@ -508,7 +509,7 @@ reg("water_quality_table", query(["ysi"], _WQ, "SELECT SY, Site, " + ", ".join(
     + " FROM wq"))
 
 # sites
-_SC = [f"""sc0 AS (SELECT Island, Site, arg_min("Forest type", Plot) AS Typology,
+_SC = [f"""sc0 AS (SELECT Island, Site, arg_min("Forest type", "Row") AS Typology,
   {_prop_mean('Latitude')} AS Latitude, {_prop_mean('Longitude')} AS Longitude
   FROM coordinates GROUP BY Island, Site)"""]
 reg("site_coordinates", query(["coordinates"], _SC, "SELECT * FROM sc0"), ("Latitude", "Longitude"))
@@ -561,15 +562,55 @@ reg("species_display_name", query(["trees"], [],
     "SELECT Species, CASE Species WHEN 'RHMA' THEN 'R. mangle' WHEN 'AVGE' THEN 'A. germinians' "
     "WHEN 'LARA' THEN 'L. racemosa' END AS display_name, count(*) AS n_trees FROM trees GROUP BY Species"))
 
-_SURVEY = ("trees", "heights", "coordinates", "densiometer", "regeneration", "saplings", "ysi")
-reg("load_tables", query(list(_SURVEY), [], "\nUNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _SURVEY)))
+# column contents of the survey tables (Plot is text once stored) and of the written results
+_KEYS = {"SY": "n", "Island": "t", "Site": "t", "Plot": "t", "Quadrat": "n"}
+_CELLS = {f"Calc_{d}_{t}": "t" for d in "NSEW" for t in _COVER}
+_SURVEY: dict[str, dict[str, str]] = {
+    "trees": _KEYS | {"Species": "t", "Mortality": "t", "DBH_cm": "n"},
+    "heights": _KEYS | {"Species": "t", "Tree_Height_m": "n"},
+    "coordinates": {"Island": "t", "Site": "t", "Plot": "t", "Forest type": "t", "Latitude": "n", "Longitude": "n", "Row": "n"},
+    "densiometer": _KEYS | _CELLS,
+    "regeneration": _KEYS | {f"{s}_{g}": "n" for s in ("RHMA", "LARA", "AVGE") for g in ("seedlings", "saplings")}
+    | {"Tall_seedling_cm": "n"},
+    "saplings": _KEYS | {"Species": "t", "Height_cm": "n"},
+    "ysi": _KEYS | {c: "n" for _, c in _WQ_M},
+}
+
+
+def _contents(label: str, name: str, source: str, columns: dict[str, str]) -> str:
+    parts = []
+    for c, kind in columns.items():
+        x = f'CAST("{c}" AS VARCHAR)' if kind == "t" else f'"{c}"'
+        total = f"round(CAST(sum(CAST(round({x}, 6) AS DECIMAL(38,6))) AS DOUBLE), 2)" if kind == "n" else "CAST(NULL AS DOUBLE)"
+        low, high = (f"min({x})", f"max({x})") if kind == "t" else ("CAST(NULL AS VARCHAR)",) * 2
+        parts.append(f"SELECT '{name}' AS {label}, '{c}' AS column_name, count(*) AS n_rows, count({x}) AS n_values, "
+                     f"{total} AS total, {low} AS low, {high} AS high FROM {source}")
+    return "\nUNION ALL ".join(parts)
 
-_EXPORTED = ("tree_summary", "canopy_cover", "seedling_density", "seedling_table", "sapling_density",
-             "sapling_table", "mean_water_quality", "size_freq_all", "tree_summary_display",
-             "canopy_cover_table", "canopy_cover_series", "water_quality_table")
-reg("export_results", "\nUNION ALL ".join(
-    f"SELECT '{n}' AS result, count(*) AS n_rows FROM ({Q[n][0]})" for n in _EXPORTED))
+
+reg("load_tables", query(list(_SURVEY), [], "\nUNION ALL ".join(
+    _contents("table_name", t, t, columns) for t, columns in _SURVEY.items())))
+
+_SY_SITE = {"SY": "n", "Site": "t"}
+_ISLAND = {"Island": "t", "Island_order": "n"}
+_numbers = lambda *names: {n: "n" for n in names}
+_texts = lambda *names: {n: "t" for n in names}
+_EXPORTED: dict[str, dict[str, str]] = {
+    "tree_summary": _SY_SITE | _numbers(*_SUMMARY_COLS),
+    "canopy_cover": _SY_SITE | _texts("Type") | _numbers("perc", "perc_SE"),
+    "seedling_density": _SY_SITE | _texts("Stage") | _numbers("mean_site", "count_SE", "height_site") | _ISLAND,
+    "seedling_table": _SY_SITE | _numbers(*_WIDE_DOUBLES("mean", "SE")) | _texts(*SPECIES),
+    "sapling_density": _SY_SITE | _texts("Species") | _numbers("mean_dens", "mean_dens_SE", "mean_ht") | _ISLAND,
+    "sapling_table": _SY_SITE | _numbers(*_WIDE_DOUBLES("mean_dens", "mean_dens_SE")) | _texts(*SPECIES),
+    "mean_water_quality": _SY_SITE | _numbers(*(c for n, _ in _WQ_M for c in (f"mean_{n}", f"mean_{n}_SE"))),
+    "size_freq_all": _SY_SITE | _texts("Mortality", "size_label") | _numbers("size_class", "n", "freq"),
+    "tree_summary_display": _SY_SITE | _texts("Height", "Basal_Area", "Density") | _numbers(*_SHARES),
+    "canopy_cover_table": _SY_SITE | _numbers(*_CCT_COLS) | _texts("Alive", "Dead", "Open"),
+    "canopy_cover_series": _SY_SITE | _numbers("Alive", "Dead", "Open"),
+    "water_quality_table": _SY_SITE | _texts(*(label for label, _, _ in _WQ_T)),
+}
+reg("export_results", "WITH " + ",\n".join(f"e_{n} AS MATERIALIZED ({Q[n][0]})" for n in _EXPORTED) + "\n"
+    + "\nUNION ALL ".join(_contents("result", n, f"e_{n}", columns) for n, columns in _EXPORTED.items()))
 
 
 def rounded(name: str) -> str:

@@ -14,21 +14,43 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def merge_outer(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Full outer merge on ``keys`` of inputs that are unique on ``keys``.
-    Columns keep first-seen order; a value column must come from one input."""
+    """Full outer merge on ``keys`` of inputs that are unique on ``keys``; a key that
+    repeats in an input raises when the merge runs.  Columns keep first-seen
+    order; a value column must come from one input."""
     keys = list(keys)
     order: list[str] = []
     for f in frames:
         for c in f.columns:
-            if c not in keys and c not in order:
+            if c not in keys and c in order:
+                raise ValueError(f"column {c!r} comes from more than one input")
+            if c not in keys:
                 order.append(c)
-    unioned = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return unioned.groupBy(*keys).agg(*[F.max(c).alias(c) for c in order]).select(*keys, *order)
+    unioned = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _numbered(frames))
+    merged = unioned.groupBy(*keys).agg(*_once(len(frames)), *[F.max(c).alias(c) for c in order])
+    return merged.select(*_guarded(keys, len(frames)), *order)
+
+
+def _numbered(frames: Sequence[DataFrame]) -> list[DataFrame]:
+    """Each input with a column of its own that counts its rows."""
+    return [f.withColumn(f"__from{i}", F.lit(1)) for i, f in enumerate(frames)]
+
+
+def _once(n: int) -> list[Column]:
+    return [F.count(f"__from{i}").alias(f"__from{i}") for i in range(n)]
+
+
+def _guarded(keys: Sequence[str], n: int) -> list[Column]:
+    """The keys; the first one fails the row if an input held its key more than once,
+    so the check cannot be pruned away while any key is used."""
+    most = F.greatest(*[F.col(f"__from{i}") for i in range(n)]) if n > 1 else F.col("__from0")
+    fail = F.raise_error(F.lit(f"an input of the merge repeats a key of ({', '.join(keys)})"))
+    first = F.when(most > 1, fail).otherwise(F.col(keys[0])).alias(keys[0])
+    return [first, *map(F.col, keys[1:])]
 
 
 def left_join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,7 +66,8 @@ def left_join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -
 
 def left_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on ``keys`` of two inputs that are each unique on ``keys``
-    (NULL keys match), as union + groupBy + a presence filter.
+    (NULL keys match), as union + groupBy + a presence filter; a repeated key
+    raises when the merge runs.
 
     When both inputs are aggregates keyed by ``keys`` they are already
     hash-partitioned on them, so this needs no exchange at all — a
@@ -53,8 +76,7 @@ def left_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     keys = list(keys)
     lcols = [c for c in left.columns if c not in keys]
     rcols = [c for c in right.columns if c not in keys and c not in lcols]
-    flagged = left.withColumn("__left", F.lit(1)).unionByName(
-        right.select(*keys, *rcols), allowMissingColumns=True)
-    merged = flagged.groupBy(*keys).agg(
-        F.max("__left").alias("__left"), *[F.max(c).alias(c) for c in lcols + rcols])
-    return merged.where(F.col("__left") == 1).select(*keys, *lcols, *rcols)
+    left, right = _numbered([left, right.select(*keys, *rcols)])
+    merged = left.unionByName(right, allowMissingColumns=True).groupBy(*keys).agg(
+        *_once(2), *[F.max(c).alias(c) for c in lcols + rcols])
+    return merged.where(F.col("__from0") > 0).select(*_guarded(keys, 2), *lcols, *rcols)

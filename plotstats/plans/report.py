@@ -28,6 +28,8 @@ from plotstats.sources import io
 # result → partition columns (size frequencies: one folder per site, the
 # per-site report files of the survey).
 PARTITIONS = {"size_freq_all": ["Site"]}
+# results written in row order (the only global sorts, at the sink)
+SORTED = {"sapling_table": ["Site", "SY"], "seedling_table": ["Site", "SY"]}
 
 
 def statistics(tables: Mapping[str, DataFrame], bin_size: float = 3.0,
@@ -57,12 +59,13 @@ def report_tables(stats: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 def export_report(spark: SparkSession, tables: Mapping[str, DataFrame], out_dir: str,
                   fmt: str = "parquet", bin_size: float = 3.0,
-                  island_levels: Sequence[str] = DEFAULT_ISLANDS) -> dict[str, str]:
-    """Write all result tables to ``<out_dir>/<name>``; returns name → path."""
+                  island_levels: Sequence[str] = DEFAULT_ISLANDS) -> dict[str, DataFrame]:
+    """Write all result tables to ``<out_dir>/<name>``; returns name → the written
+    table, read with the schema it was written in."""
     stats = statistics(tables, bin_size, island_levels)
-    paths = io.export_results(stats, out_dir, fmt, PARTITIONS)
-    reused = ("tree_summary", "canopy_cover", "mean_water_quality")
-    written = io.read_results(spark, {k: paths[k] for k in reused}, fmt,
-                              {k: stats[k].schema for k in reused})
-    paths.update(io.export_results(report_tables(written), out_dir, fmt, PARTITIONS))
-    return paths
+    ordered = {n: df.orderBy(*SORTED[n]) if n in SORTED else df for n, df in stats.items()}
+    schemas = {n: df.schema for n, df in stats.items()}
+    written = io.read_results(spark, io.export_results(ordered, out_dir, fmt, PARTITIONS), fmt, schemas)
+    tables_ = report_tables(written)
+    schemas = {n: df.schema for n, df in tables_.items()}
+    return written | io.read_results(spark, io.export_results(tables_, out_dir, fmt, PARTITIONS), fmt, schemas)

@@ -20,23 +20,27 @@ from pyspark.sql import functions as F
 
 
 def pattern_columns(df: DataFrame, pattern: str) -> list[tuple[str, tuple[str, ...]]]:
-    """Columns whose whole name matches ``pattern`` with their captured groups."""
+    """Columns whose name holds a match of ``pattern``, with their captured groups."""
     rx = re.compile(pattern)
-    out = []
-    for c in df.columns:
-        m = rx.fullmatch(c)
-        if m:
-            out.append((c, m.groups()))
-    return out
+    return [(c, m.groups()) for c in df.columns if (m := rx.search(c))]
 
 
 def unpivot_by_pattern(df: DataFrame, ids: Sequence[str], pattern: str,
                        names_to: Sequence[str], value_name: str = "value",
-                       value_fn: Callable[[Column], Column] | None = None) -> DataFrame:
+                       value_fn: Callable[[Column], Column] | None = None,
+                       prefix: str | None = None) -> DataFrame:
     """Melt every column matching ``pattern``; its capture groups become the
     ``names_to`` columns.  ``value_fn`` converts each value (e.g. a quiet
-    numeric cast) before stacking, so all stacked values share one type."""
+    numeric cast) before stacking, so all stacked values share one type.
+    With ``prefix`` exactly the columns so named are melted, and one that does
+    not match the pattern raises instead of vanishing."""
     matched = pattern_columns(df, pattern)
+    if prefix is not None:
+        matched = [(c, g) for c, g in matched if c.startswith(prefix)]
+        names = {c for c, _ in matched}
+        odd = [c for c in df.columns if c.startswith(prefix) and c not in names]
+        if odd:
+            raise ValueError(f"column(s) {', '.join(odd)} do not match {pattern!r}")
     if not matched:
         raise ValueError(f"no column matches {pattern!r}")
     for _, groups in matched:
@@ -45,7 +49,7 @@ def unpivot_by_pattern(df: DataFrame, ids: Sequence[str], pattern: str,
     fn = value_fn or (lambda c: c)
     rows = [
         F.struct(*[F.lit(g).alias(n) for g, n in zip(groups, names_to)],
-                 fn(F.col(c)).alias(value_name))
+                 fn(F.col(f"`{c}`")).alias(value_name))
         for c, groups in matched
     ]
     return df.select(*ids, F.inline(F.array(*rows)))

@@ -71,34 +71,43 @@ def cluster_session(app_name: str = "plotstats") -> SparkSession:
     for k, v in CLUSTER_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark, fallback=None)
+    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession,
-                          fallback: str | None = "/tmp/plotstats-checkpoints") -> str:
-    """Return the cluster's shared checkpoint folder.
+LOCAL_FALLBACK = "/tmp/plotstats-checkpoints"
+
+
+def is_local(master: str) -> bool:
+    """One machine, one process: ``local``, ``local[8]``, ``local[*, 2]``."""
+    return master == "local" or master.startswith("local[")
+
 
-    ``spark.checkpoint.dir`` (or the context's checkpoint folder) is read
-    from the session; only when neither is set (local tests) do we use a
-    local fallback.  Spark refuses to change core settings at runtime, so the
-    fallback is applied to the context, not to the session conf.
-    """
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, from ``spark.checkpoint.dir`` or
+    the context.  Where neither is set, a local master gets a folder of this
+    machine; on a cluster executors would each write to their own disk, so there
+    it is an error.  Spark refuses to change core settings at runtime, so the
+    folder is set on the context, not in the session conf."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        try:
-            path = spark.sparkContext.getCheckpointDir()
-        except Exception:  # e.g. Spark Connect: no SparkContext
-            path = None
-    if not path:
-        if fallback is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        path = fallback
-        try:
-            spark.sparkContext.setCheckpointDir(path)
-        except Exception:
-            pass
-    return path
+    if path:
+        return path
+    context = spark.sparkContext
+    path = context.getCheckpointDir()
+    if path:
+        return path
+    if not is_local(context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    context.setCheckpointDir(LOCAL_FALLBACK)
+    return LOCAL_FALLBACK
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``scratch_path``, on whatever file system it lies."""
+    if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not below the checkpoint folder")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

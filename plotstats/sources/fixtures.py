@@ -27,10 +27,6 @@ SIZE_BIN = 3.0
 FOCUS_SITE = "NATION_8"
 FOCUS_YEAR = 2000
 FOCUS_ISLAND = "AMERICA"
-# Ship years present in the test data; the percent-change table gets one
-# column per year (a fixed schema instead of a pivot-discovery job).
-SURVEY_YEARS = tuple(range(1995, 2002))
-
 KEY_COLS = ("SY", "Island", "Site", "Plot", "Quadrat")
 
 
@@ -110,7 +106,6 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     mortality = F.when(F.round(F.col("l_tax") * 100) == 8, F.lit("NA")).otherwise(
         F.when(st == "F", "Alive").when(st == "P", "Dying").when(st == "O", "Dead"))
     return (b.join(o, b.l_orderkey == o.o_orderkey)
-            .where(~((F.col("n_nationkey") == 7) & (F.col("SY") == BASE_YEAR)))
             .select(*KEY_COLS,
                     _species_from_flag(F.col("l_returnflag")).alias("Species"),
                     mortality.alias("Mortality"),
@@ -209,7 +204,8 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sd.select(
         "Island", "Site", k.alias("Plot"), forest.alias("Forest type"),
         _null_if(k % 40 == 0, F.lit(17.0) + frac).alias("Latitude"),
-        (F.lit(-65.0) + frac).alias("Longitude"))
+        (F.lit(-65.0) + frac).alias("Longitude"),
+        k.alias("Row"))
 
 
 BUILDERS = {
