@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from pyspark.sql import SparkSession
 
-    from plotstats.plans.session import ADAPTIVE_CONF, ensure_checkpoint_dir
+    from plotstats.plans.session import ADAPTIVE_CONF
 
     b = (SparkSession.builder.master("local[*]").appName("plotstats-tests")
          .config("spark.sql.shuffle.partitions", "8")
@@ -22,7 +22,7 @@ def spark():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="plotstats-ckpt-"))
+    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plotstats-ckpt-"))
     yield s
 
 

@@ -15,8 +15,8 @@ def tables(spark):
 
 
 def test_row_counts(tables):
-    got = {name: df.count() for name, df in tables.items() if name != "trees"}
-    assert got == {"heights": 60000, "regeneration": 4900, "saplings": 30064,
+    got = {name: df.count() for name, df in tables.items()}
+    assert got == {"trees": 60000, "heights": 60000, "regeneration": 4900, "saplings": 30064,
                    "densiometer": 4900, "ysi": 60000, "coordinates": 100}
 
 
@@ -26,9 +26,8 @@ def test_injected_missing_values(spark, tables):
     every_40th = fx.read(spark, SF, "supplier").where(F.col("s_suppkey") % 40 == 0).count()
     assert tables["coordinates"].where(F.col("Latitude").isNull()).count() == every_40th > 0
     t = tables["trees"]
-    # NATION_7 has no base year; one-plot site-years exist (nations 12 and 20)
-    assert t.where((F.col("Site") == "NATION_7") & (F.col("SY") == fx.BASE_YEAR)).count() == 0
+    # every site has every year; one-plot site-years exist (nations 12 and 20)
     live = stand.mean_basal_area(t)
-    assert live.count() == 174
+    assert live.count() == 175
     assert live.where((F.col("mean_basal_area_SE") == 0) &
                       F.col("Site").isin("NATION_12", "NATION_20")).count() > 0

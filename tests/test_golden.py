@@ -240,7 +240,7 @@ def test_safe_number(spark):
     df = spark.createDataFrame([("12",), ("NA",), ("1d",), (" 3.5 ",), ("-2e1",), (None,), ("Inf",),
                                 ("-infinity",), ("NaN",), ("infx",)], "s string")
     assert [r.v for r in df.select(safe_number("s").alias("v")).collect()] == [
-        12.0, None, None, 3.5, -20.0, None, float("inf"), float("-inf"), None, None]
+        12.0, None, None, 3.5, -20.0, None, None, None, None, None]
 
 
 def test_site_coordinates_null_latitude(frames):
