@@ -75,6 +75,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return fx.BUILDERS[name](spark, sf)
 
 
+def _r(spark: SparkSession, sf: str, name: str):
+    """A table of readings for statistics that aggregate per plot first."""
+    return _STORED[name] if _STORED is not None else fx.plot_readings(spark, sf, name)
+
+
 B, T_ = fx.BASE_YEAR, fx.TARGET_YEAR
 
 # --- size structure ---------------------------------------------------------------
@@ -82,22 +87,22 @@ B, T_ = fx.BASE_YEAR, fx.TARGET_YEAR
 
 @register("size_freq_by_period")
 def q_size_freq_by_period(spark, sf):
-    return sizes.size_freq_by_period(_t(spark, sf, "trees"), fx.FOCUS_SITE, fx.SIZE_BIN)
+    return sizes.size_freq_by_period(_r(spark, sf, "trees"), fx.FOCUS_SITE, fx.SIZE_BIN)
 
 
 @register("size_freq_by_site")
 def q_size_freq_by_site(spark, sf):
-    return sizes.size_freq_by_site(_t(spark, sf, "trees"), fx.FOCUS_YEAR, fx.SIZE_BIN)
+    return sizes.size_freq_by_site(_r(spark, sf, "trees"), fx.FOCUS_YEAR, fx.SIZE_BIN)
 
 
 @register("size_freq_all")
 def q_size_freq_all(spark, sf):
-    return sizes.size_freq_all(_t(spark, sf, "trees"), fx.SIZE_BIN)
+    return sizes.size_freq_all(_r(spark, sf, "trees"), fx.SIZE_BIN)
 
 
 @register("size_class_label")
 def q_size_class_label(spark, sf):
-    return sizes.size_class_table(_t(spark, sf, "trees"), fx.SIZE_BIN)
+    return sizes.size_class_table(_r(spark, sf, "trees"), fx.SIZE_BIN)
 
 
 # --- stand structure --------------------------------------------------------------
@@ -120,62 +125,62 @@ def q_standard_error(spark, sf):
 
 @register("mean_basal_area")
 def q_mean_basal_area(spark, sf):
-    return stand.mean_basal_area(_t(spark, sf, "trees"))
+    return stand.mean_basal_area(_r(spark, sf, "trees"))
 
 
 @register("mean_basal_area_dead")
 def q_mean_basal_area_dead(spark, sf):
-    return stand.mean_basal_area_dead(_t(spark, sf, "trees"))
+    return stand.mean_basal_area_dead(_r(spark, sf, "trees"))
 
 
 @register("species_share_alive")
 def q_species_share_alive(spark, sf):
-    return stand.species_share(_t(spark, sf, "trees"), "alive")
+    return stand.species_share(_r(spark, sf, "trees"), "alive")
 
 
 @register("species_share_dead")
 def q_species_share_dead(spark, sf):
-    return stand.species_share(_t(spark, sf, "trees"), "dead")
+    return stand.species_share(_r(spark, sf, "trees"), "dead")
 
 
 @register("mean_stem_density")
 def q_mean_stem_density(spark, sf):
-    return stand.mean_stem_density(_t(spark, sf, "trees"))
+    return stand.mean_stem_density(_r(spark, sf, "trees"))
 
 
 @register("mean_tree_height")
 def q_mean_tree_height(spark, sf):
-    return stand.mean_tree_height(_t(spark, sf, "heights"))
+    return stand.mean_tree_height(_r(spark, sf, "heights"))
 
 
 @register("pct_basal_area_change")
 def q_pct_basal_area_change(spark, sf):
-    return stand.pct_basal_area_change(_t(spark, sf, "trees"), B, T_)
+    return stand.pct_basal_area_change(_r(spark, sf, "trees"), B, T_)
 
 
 @register("basal_area_change")
 def q_basal_area_change(spark, sf):
-    return stand.basal_area_change(_t(spark, sf, "trees"), B, T_)
+    return stand.basal_area_change(_r(spark, sf, "trees"), B, T_)
 
 
 @register("basal_area_change_dead")
 def q_basal_area_change_dead(spark, sf):
-    return stand.basal_area_change_dead(_t(spark, sf, "trees"), B, T_)
+    return stand.basal_area_change_dead(_r(spark, sf, "trees"), B, T_)
 
 
 @register("tree_height_change")
 def q_tree_height_change(spark, sf):
-    return stand.tree_height_change(_t(spark, sf, "heights"), B, T_)
+    return stand.tree_height_change(_r(spark, sf, "heights"), B, T_)
 
 
 @register("stem_density_change")
 def q_stem_density_change(spark, sf):
-    return stand.stem_density_change(_t(spark, sf, "trees"), B, T_)
+    return stand.stem_density_change(_r(spark, sf, "trees"), B, T_)
 
 
 @register("tree_summary")
 def q_tree_summary(spark, sf):
-    return stand.tree_summary(_t(spark, sf, "trees"), _t(spark, sf, "heights"))
+    return stand.tree_summary(_r(spark, sf, "trees"), _r(spark, sf, "heights"))
 
 
 @register("tree_summary_display")
@@ -232,14 +237,14 @@ def q_seedling_density(spark, sf):
 
 @register("sapling_density")
 def q_sapling_density(spark, sf):
-    return regen.sapling_density(_t(spark, sf, "regeneration"), _t(spark, sf, "saplings"),
+    return regen.sapling_density(_t(spark, sf, "regeneration"), _r(spark, sf, "saplings"),
                                  _t(spark, sf, "densiometer"), None, fx.ISLANDS)
 
 
 @register("sapling_density_species")
 def q_sapling_density_species(spark, sf):
     """The one-species form, as the regeneration report uses it."""
-    return regen.sapling_density(_t(spark, sf, "regeneration"), _t(spark, sf, "saplings"),
+    return regen.sapling_density(_t(spark, sf, "regeneration"), _r(spark, sf, "saplings"),
                                  _t(spark, sf, "densiometer"), "LARA", fx.ISLANDS)
 
 
@@ -282,12 +287,12 @@ def q_error_bar_bounds(spark, sf):
 
 @register("mean_water_quality")
 def q_mean_water_quality(spark, sf):
-    return water.mean_water_quality(_t(spark, sf, "ysi"))
+    return water.mean_water_quality(_r(spark, sf, "ysi"))
 
 
 @register("water_quality_table")
 def q_water_quality_table(spark, sf):
-    return water.water_quality_table(_t(spark, sf, "ysi"))
+    return water.water_quality_table(_r(spark, sf, "ysi"))
 
 
 @register("site_coordinates")
@@ -297,7 +302,7 @@ def q_site_coordinates(spark, sf):
 
 @register("site_change_overview")
 def q_site_change_overview(spark, sf):
-    return sites.site_change_overview(_t(spark, sf, "trees"), _t(spark, sf, "heights"),
+    return sites.site_change_overview(_r(spark, sf, "trees"), _r(spark, sf, "heights"),
                                       _t(spark, sf, "coordinates"), B, T_)
 
 
@@ -317,7 +322,8 @@ def q_mean_se_text(spark, sf):
 
 @register("species_display_name")
 def q_species_display_name(spark, sf):
-    return _t(spark, sf, "trees").groupBy("Species").agg(n_rows().alias("n_trees")).select(
+    trees = _r(spark, sf, "trees").select("Species")
+    return trees.groupBy("Species").agg(n_rows().alias("n_trees")).select(
         "Species", species_display_name("Species").alias("display_name"), "n_trees")
 
 

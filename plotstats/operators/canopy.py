@@ -13,12 +13,14 @@ Only *absent* cells are filled with 0 — a present NULL stays NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotstats.functions.aggregates import standard_error
 from plotstats.functions.expr import COVER_TYPES, mean_se_text, safe_number
-from plotstats.plans.nested import Measure, nested_stats
-from plotstats.plans.reshape import pivot_fixed, unpivot_by_pattern
+from plotstats.plans.reshape import pattern_columns, pivot_fixed, unpivot_by_pattern
 from plotstats.sources.schemas import CANOPY_PREFIX
 
 # --- fixed values of the densiometer sheet and canopy report -----------------
@@ -36,11 +38,27 @@ def canopy_long(densio: DataFrame) -> DataFrame:
                               ["Direction", "Type"], "value", safe_number, prefix=CANOPY_PREFIX)
 
 
+def calc_columns(densio: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
+    """The reading columns with their direction and type."""
+    return pattern_columns(densio, CANOPY_PATTERN, CANOPY_PREFIX)
+
+
 def canopy_cover(densio: DataFrame) -> DataFrame:
-    """SY, Site, Type, perc, perc_SE."""
-    return nested_stats(canopy_long(densio),
-                        [["SY", "Site", "Plot", "Type"], ["SY", "Site", "Type"]],
-                        [Measure("perc", "value", ("mean", "mean"), se="skip")])
+    """SY, Site, Type, perc, perc_SE.
+
+    The directions' readings are added up side by side in the wide row and the types
+    stacked after the plot level, so the first shuffle carries one row per plot."""
+    by_type: dict[str, list[Column]] = {}
+    for c, (_, kind) in calc_columns(densio):
+        by_type.setdefault(kind, []).append(safe_number(F.col(f"`{c}`")))
+    aggs, rows = [], []
+    for i, (kind, cells) in enumerate(by_type.items()):
+        total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cells])
+        present = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cells])
+        aggs.append(F.try_divide(F.sum(total), F.sum(present)).alias(f"m{i}"))
+        rows.append(F.struct(F.lit(kind).alias("Type"), F.col(f"m{i}").alias("perc")))
+    plot = densio.groupBy("SY", "Site", "Plot").agg(*aggs).select("SY", "Site", F.inline(F.array(*rows)))
+    return plot.groupBy("SY", "Site", "Type").agg(F.avg("perc").alias("perc"), standard_error("perc").alias("perc_SE"))
 
 
 def cover_table(cover: DataFrame) -> DataFrame:

@@ -13,13 +13,14 @@ Densities are counts per quadrat (no area scaling).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotstats.functions.aggregates import standard_error
+from plotstats.functions.aggregates import mean_prop, standard_error
 from plotstats.functions.expr import DEFAULT_ISLANDS, SPECIES, as_level, level_ordinal, mean_se_text
-from plotstats.plans.merge import left_join_nullsafe, left_merge, merge_outer
+from plotstats.plans.merge import left_join_nullsafe, left_merge
 from plotstats.plans.nested import Measure, nested_stats
 
 # --- fixed values of the regeneration sheet -----------------------------------
@@ -75,21 +76,28 @@ def _with_island(df: DataFrame, densio: DataFrame, levels: Sequence[str]) -> Dat
 
 def seedling_density(regen: DataFrame, densio: DataFrame,
                      island_levels: Sequence[str] = DEFAULT_ISLANDS) -> DataFrame:
-    """SY, Site, Stage, mean_site, count_SE, height_site, Island, Island_order."""
-    seed = regen_long(regen, "seedlings")
-    counts = nested_stats(seed, [["SY", "Site", "Plot", "Stage"], ["SY", "Site", "Stage"]], [
-        Measure("mean_site", "Count", ("mean_prop", "mean_prop"), se="skip", se_name="count_SE")])
-    height = nested_stats(regen, [["SY", "Site", "Plot"], ["SY", "Site"]], [
-        Measure("height_site", "Tall_seedling_cm", ("mean", "mean"), se=None)])
-    both = merge_outer([counts, height], ["SY", "Site"])
-    return _with_island(both, densio, island_levels)
+    """SY, Site, Stage, mean_site, count_SE, height_site, Island, Island_order.
+
+    Counts and heights come from one plot aggregate: the mean over a plot's count
+    cells is NULL if one of them is, else their sum over their number."""
+    cells = [F.col(c) for c in REGEN_COLUMNS if c.endswith("_seedlings")]
+    total = reduce(lambda a, b: a + b, cells)  # NULL if one cell is
+    plot = regen.groupBy("SY", "Site", "Plot").agg(
+        F.when(F.count(total) == F.count(F.lit(1)), F.sum(total) / (len(cells) * F.count(F.lit(1)))).alias("count"),
+        F.avg("Tall_seedling_cm").alias("height"))
+    site = plot.groupBy("SY", "Site").agg(
+        F.lit("seedlings").alias("Stage"), mean_prop("count").alias("mean_site"),
+        standard_error("count").alias("count_SE"), F.avg("height").alias("height_site"))
+    return _with_island(site, densio, island_levels)
 
 
 def _sapling_plot_density(regen: DataFrame) -> DataFrame:
-    sap = regen_long(regen, "saplings")
-    return nested_stats(sap, [["SY", "Site", "Plot", "Quadrat", "Species"],
-                              ["SY", "Site", "Plot", "Species"]], [
-        Measure("plot_dens", "Count", ("sum", "mean"), se="skip", se_name="plot_dens_SE")])
+    """SY, Site, Plot, Species, plot_dens: quadrat sums and plot means side by side, one
+    wide row per quadrat and plot; the species are stacked after the plot level."""
+    plot = nested_stats(regen, [["SY", "Site", "Plot", "Quadrat"], ["SY", "Site", "Plot"]],
+                        [Measure(s, f"{s}_saplings", ("sum", "mean"), se=None) for s in SPECIES])
+    rows = [F.struct(F.lit(s).alias("Species"), F.col(s).alias("plot_dens")) for s in SPECIES]
+    return plot.select("SY", "Site", "Plot", F.inline(F.array(*rows)))
 
 
 def sapling_density(regen: DataFrame, saplings: DataFrame, densio: DataFrame,
@@ -98,9 +106,8 @@ def sapling_density(regen: DataFrame, saplings: DataFrame, densio: DataFrame,
     """SY, Site, Species, mean_dens, mean_dens_SE, mean_ht, Island, Island_order.
 
     Heights join the counts by (SY, Site, Plot, Species) as a left join, so a
-    height group without counts is dropped; both sides are plot-level
-    aggregates on those keys, so the join is a co-partitioned merge with no
-    exchange.  ``species`` filters last.
+    height group without counts is dropped; the merge shuffles plot-level
+    rows only.  ``species`` filters last.
     """
     dens = _sapling_plot_density(regen)
     ht = nested_stats(saplings, [["SY", "Site", "Plot", "Quadrat", "Species"],

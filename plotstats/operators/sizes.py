@@ -21,20 +21,26 @@ from pyspark.sql import functions as F
 
 from plotstats.functions.aggregates import n_rows
 from plotstats.functions.expr import size_class_index, size_class_label
+from plotstats.plans.nested import PlotReadings, plot_groups
 
 
-def size_rows(trees: DataFrame, bin_size: float) -> DataFrame:
+def size_rows(trees: DataFrame | PlotReadings, bin_size: float, keys: Sequence[str] = ("SY", "Site")) -> DataFrame:
     status = F.when(F.col("Mortality") == "Dying", F.lit("Alive")).otherwise(F.col("Mortality"))
     return (trees.where((F.col("DBH_cm") >= 0) & (F.col("Mortality") != "NA"))
-            .select("SY", "Site", status.alias("Mortality"),
+            .select(*keys, status.alias("Mortality"),
                     size_class_index("DBH_cm", bin_size).alias("size_class")))
 
 
 def size_frequency(trees: DataFrame, facet: Sequence[str], bin_size: float) -> DataFrame:
     """facet…, Mortality, size_class (1-based), size_label, n, freq."""
     facet = list(facet)
-    counts = size_rows(trees, bin_size).groupBy(*facet, "Mortality", "size_class").agg(
-        n_rows().alias("n"))
+    if isinstance(trees, PlotReadings):  # per plot first, then the site of the counts
+        rows = PlotReadings(size_rows(trees, bin_size, ["SY", "Plot"]), trees.plots)
+        counts = plot_groups(rows, ["SY", "Site", "Plot", "Mortality", "size_class"], n_rows().alias("n"))
+        counts = counts.groupBy(*facet, "Mortality", "size_class").agg(F.sum("n").alias("n"))
+    else:
+        counts = size_rows(trees, bin_size).groupBy(*facet, "Mortality", "size_class").agg(
+            n_rows().alias("n"))
     total = F.sum("n").over(Window.partitionBy(*facet))
     return counts.select(
         *facet, "Mortality", "size_class",
@@ -44,7 +50,10 @@ def size_frequency(trees: DataFrame, facet: Sequence[str], bin_size: float) -> D
 
 def size_freq_by_period(trees: DataFrame, site: str, bin_size: float) -> DataFrame:
     """One site; frequencies within each survey year."""
-    return size_frequency(trees.where(F.col("Site") == site), ["SY"], bin_size)
+    here = F.col("Site") == site
+    if isinstance(trees, PlotReadings):
+        return size_frequency(PlotReadings(trees.rows, trees.plots.where(here)), ["SY"], bin_size)
+    return size_frequency(trees.where(here), ["SY"], bin_size)
 
 
 def size_freq_by_site(trees: DataFrame, year: int, bin_size: float) -> DataFrame:
@@ -59,6 +68,6 @@ def size_freq_all(trees: DataFrame, bin_size: float) -> DataFrame:
 
 def size_class_table(trees: DataFrame, bin_size: float) -> DataFrame:
     """size_class, size_label, n_trees for every non-empty class."""
-    return (size_rows(trees, bin_size).groupBy("size_class").agg(n_rows().alias("n_trees"))
+    return (size_rows(trees, bin_size, ()).groupBy("size_class").agg(n_rows().alias("n_trees"))
             .select("size_class", size_class_label("size_class", bin_size).alias("size_label"),
                     "n_trees"))

@@ -29,7 +29,7 @@ from plotstats.functions.aggregates import n_rows, standard_error, sum_skip
 from plotstats.functions.expr import (DEAD, LIVE, PLOT_AREA_HA, SPECIES, basal_area, mean_se_text,
                                       report_round)
 from plotstats.plans.merge import merge_outer
-from plotstats.plans.nested import Measure, nested_stats
+from plotstats.plans.nested import Measure, nested_stats, plot_groups
 
 SITE_YEAR = ["SY", "Site"]
 PLOT = ["SY", "Site", "Plot"]
@@ -75,8 +75,8 @@ def species_share(trees: DataFrame, mortality: str = "alive") -> DataFrame:
     """
     statuses, suffix = mortality_classes(mortality)
     ba = basal_area("DBH_cm")
-    plot = _qualifying(trees, statuses).groupBy(*PLOT).agg(
-        *[sum_skip(F.when(F.col("Species") == s, ba)).alias(s) for s in SPECIES])
+    plot = plot_groups(_qualifying(trees, statuses), PLOT,
+                       *[sum_skip(F.when(F.col("Species") == s, ba)).alias(s) for s in SPECIES])
     site = plot.groupBy(*SITE_YEAR).agg(*[F.avg(s).alias(s) for s in SPECIES])
     total = _sum_cols(SPECIES)
     return site.select(*SITE_YEAR, *[
@@ -92,8 +92,7 @@ def _sum_cols(names: Sequence[str]) -> Column:
 
 def mean_stem_density(trees: DataFrame) -> DataFrame:
     """Live stems per hectare: SY, Site, mean_stem_density, mean_stem_density_SE."""
-    plot = _qualifying(trees, LIVE).groupBy(*PLOT).agg(
-        (n_rows() / PLOT_AREA_HA).alias("stems_ha"))
+    plot = plot_groups(_qualifying(trees, LIVE), PLOT, (n_rows() / PLOT_AREA_HA).alias("stems_ha"))
     return plot.groupBy(*SITE_YEAR).agg(
         F.avg("stems_ha").alias("mean_stem_density"),
         standard_error("stems_ha").alias("mean_stem_density_SE"))
@@ -178,7 +177,8 @@ def tree_site_stats(trees: DataFrame) -> DataFrame:
     dead = F.col("Mortality").isin(*DEAD)
     sp = F.col("Species")
     ba = basal_area("DBH_cm")
-    plot = _qualifying(trees, LIVE + DEAD).groupBy(*PLOT).agg(
+    plot = plot_groups(
+        _qualifying(trees, LIVE + DEAD), PLOT,
         F.count(F.when(live, 1)).alias("n_live"),
         F.count(F.when(dead, 1)).alias("n_dead"),
         sum_skip(F.when(live, ba)).alias("ba_live"),

@@ -30,6 +30,36 @@ from plotstats.functions.aggregates import AGGS, mean_prop, standard_error
 from plotstats.functions.expr import col
 
 
+@dataclass(frozen=True)
+class PlotReadings:
+    """Readings that carry their Plot but not its Island and Site, with the table that
+    files every plot (one row per Plot).
+
+    Operators take it in place of a survey table: they aggregate per plot first and
+    attach the site to the aggregates, so the readings are never shuffled for it."""
+
+    rows: DataFrame
+    plots: DataFrame
+
+    def where(self, condition) -> PlotReadings:
+        """Filter on reading columns."""
+        return PlotReadings(self.rows.where(condition), self.plots)
+
+    def select(self, *columns) -> DataFrame:
+        return self.rows.select(*columns)
+
+
+def plot_groups(df: DataFrame | PlotReadings, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """``groupBy(keys).agg(aggs)`` for keys that include Plot; of ``PlotReadings`` the
+    Island and Site are joined to the groups."""
+    if not isinstance(df, PlotReadings):
+        return df.groupBy(*keys).agg(*aggs)
+    filed = [k for k in keys if k in ("Island", "Site")]
+    groups = df.rows.groupBy(*[k for k in keys if k not in filed]).agg(*aggs)
+    values = groups.columns[len(keys) - len(filed):]
+    return groups.join(df.plots.select("Plot", *filed), "Plot").select(*keys, *values)
+
+
 @dataclass(frozen=True)
 class Measure:
     """One measure of a nested aggregation.
@@ -56,7 +86,7 @@ class Measure:
         return self.se_name or f"{self.name}_SE"
 
 
-def nested_stats(df: DataFrame, levels: Sequence[Sequence[str]],
+def nested_stats(df: DataFrame | PlotReadings, levels: Sequence[Sequence[str]],
                  measures: Sequence[Measure]) -> DataFrame:
     """Aggregate ``measures`` through ``levels`` (list of key lists,
     innermost first; each list should contain the next one)."""
@@ -65,7 +95,10 @@ def nested_stats(df: DataFrame, levels: Sequence[Sequence[str]],
     for m in measures:
         if len(m.aggs) != len(levels):
             raise ValueError(f"{m.name}: {len(m.aggs)} aggregates for {len(levels)} levels")
-    cur = df.select(*levels[0], *[col(m.value).alias(m.name) for m in measures])
+    own = [k for k in levels[0] if not (isinstance(df, PlotReadings) and k in ("Island", "Site"))]
+    cur = df.select(*own, *[col(m.value).alias(m.name) for m in measures])
+    if isinstance(df, PlotReadings):
+        cur = PlotReadings(cur, df.plots)
     last = len(levels) - 1
     for k, keys in enumerate(levels):
         exprs = []
@@ -73,7 +106,7 @@ def nested_stats(df: DataFrame, levels: Sequence[Sequence[str]],
             exprs.append(AGGS[m.aggs[k]](m.name).alias(m.name))
             if k == last and m.se is not None:
                 exprs.append(standard_error(m.name, na_rm=(m.se == "skip")).alias(m.se_col))
-        cur = cur.groupBy(*keys).agg(*exprs)
+        cur = plot_groups(cur, keys, *exprs)
     fills = {}
     for m in measures:
         if m.fill is not None:
@@ -83,4 +116,4 @@ def nested_stats(df: DataFrame, levels: Sequence[Sequence[str]],
     return cur.withColumns(fills) if fills else cur
 
 
-__all__ = ["Measure", "nested_stats", "mean_prop"]
+__all__ = ["Measure", "PlotReadings", "nested_stats", "plot_groups", "mean_prop"]

@@ -19,10 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pattern_columns(df: DataFrame, pattern: str) -> list[tuple[str, tuple[str, ...]]]:
-    """Columns whose name holds a match of ``pattern``, with their captured groups."""
+def pattern_columns(df: DataFrame, pattern: str, prefix: str | None = None) -> list[tuple[str, tuple[str, ...]]]:
+    """Columns whose name holds a match of ``pattern``, with their captured groups.
+    With ``prefix`` exactly the columns so named are taken, and one that does not
+    match raises instead of vanishing."""
     rx = re.compile(pattern)
-    return [(c, m.groups()) for c in df.columns if (m := rx.search(c))]
+    found = [(c, m.groups()) for c in df.columns if c.startswith(prefix or "") and (m := rx.search(c))]
+    names = {c for c, _ in found}
+    odd = [c for c in df.columns if prefix and c.startswith(prefix) and c not in names]
+    if odd:
+        raise ValueError(f"column(s) {', '.join(odd)} do not match {pattern!r}")
+    if not found:
+        raise ValueError(f"no column matches {pattern!r}")
+    return found
 
 
 def unpivot_by_pattern(df: DataFrame, ids: Sequence[str], pattern: str,
@@ -32,17 +41,8 @@ def unpivot_by_pattern(df: DataFrame, ids: Sequence[str], pattern: str,
     """Melt every column matching ``pattern``; its capture groups become the
     ``names_to`` columns.  ``value_fn`` converts each value (e.g. a quiet
     numeric cast) before stacking, so all stacked values share one type.
-    With ``prefix`` exactly the columns so named are melted, and one that does
-    not match the pattern raises instead of vanishing."""
-    matched = pattern_columns(df, pattern)
-    if prefix is not None:
-        matched = [(c, g) for c, g in matched if c.startswith(prefix)]
-        names = {c for c, _ in matched}
-        odd = [c for c in df.columns if c.startswith(prefix) and c not in names]
-        if odd:
-            raise ValueError(f"column(s) {', '.join(odd)} do not match {pattern!r}")
-    if not matched:
-        raise ValueError(f"no column matches {pattern!r}")
+    ``prefix`` as in ``pattern_columns``."""
+    matched = pattern_columns(df, pattern, prefix)
     for _, groups in matched:
         if len(groups) != len(names_to):
             raise ValueError("names_to must name every capture group")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotstats.plans.nested import PlotReadings
+
 # Fixture parameters (FIXTURES.md): compared survey years and island levels.
 BASE_YEAR = 1996
 TARGET_YEAR = 2000
@@ -99,35 +101,52 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
-def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = base(spark, sf_dir)
+PLOT_KEYS = ("SY", "Plot", "Quadrat")
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with the survey keys it carries itself."""
+    return read(spark, sf_dir, "lineitem").select(
+        F.year("l_shipdate").cast("int").alias("SY"), F.col("l_suppkey").alias("Plot"),
+        F.col("l_linenumber").alias("Quadrat"), "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+
+
+def _trees(rows: DataFrame, spark: SparkSession, sf_dir: str, keys) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     st = F.col("o_orderstatus")
     mortality = F.when(F.round(F.col("l_tax") * 100) == 8, F.lit("NA")).otherwise(
         F.when(st == "F", "Alive").when(st == "P", "Dying").when(st == "O", "Dead"))
-    return (b.join(o, b.l_orderkey == o.o_orderkey)
-            .select(*KEY_COLS,
+    return (rows.join(o, rows.l_orderkey == o.o_orderkey)
+            .select(*keys,
                     _species_from_flag(F.col("l_returnflag")).alias("Species"),
                     mortality.alias("Mortality"),
                     _null_if(F.col("l_quantity") == 50, F.col("l_quantity")).alias("DBH_cm")))
 
 
-def _with_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = base(spark, sf_dir)
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trees(base(spark, sf_dir), spark, sf_dir, KEY_COLS)
+
+
+def _with_part(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    return b.join(p, b.l_partkey == p.p_partkey)
+    return rows.join(p, rows.l_partkey == p.p_partkey)
 
 
-def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _heights(rows: DataFrame, spark: SparkSession, sf_dir: str, keys) -> DataFrame:
     t = F.col("p_type")
     species = (F.when(t == "ECONOMY", "RHMA").when(t == "SMALL", "AVGE")
                .when(t == "MEDIUM", "LARA").when(t == "PROMO", "UNK")
                .when(t == "LARGE", "NA"))
-    return _with_part(spark, sf_dir).select(
-        *KEY_COLS, species.alias("Species"),
+    return _with_part(rows, spark, sf_dir).select(
+        *keys, species.alias("Species"),
         _null_if(F.col("p_size") == 50, F.col("p_size") / 2.0).alias("Tree_Height_m"))
 
 
+def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heights(base(spark, sf_dir), spark, sf_dir, KEY_COLS)
+
+
 def _quadrat_aggregate(spark: SparkSession, sf_dir: str, *aggs: Column) -> DataFrame:
     """Aggregate lineitem per (SY, Plot, Quadrat) *before* attaching the site.
 
@@ -164,14 +183,17 @@ def regeneration(spark: SparkSession, sf_dir: str) -> DataFrame:
         _null_if(F.col("Quadrat") % 2 == 0, F.col("Tall_seedling_cm")).alias("Tall_seedling_cm"))
 
 
-def saplings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = base(spark, sf_dir)
-    return b.where(F.col("l_linestatus") == "O").select(
-        *KEY_COLS,
+def _saplings(rows: DataFrame, spark: SparkSession, sf_dir: str, keys) -> DataFrame:
+    return rows.where(F.col("l_linestatus") == "O").select(
+        *keys,
         _species_from_flag(F.col("l_returnflag")).alias("Species"),
         _null_if(F.col("l_quantity") == 50, F.col("l_extendedprice") / 100).alias("Height_cm"))
 
 
+def saplings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saplings(base(spark, sf_dir), spark, sf_dir, KEY_COLS)
+
+
 def densiometer(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _quadrat_aggregate(spark, sf_dir, F.sum("l_quantity").cast("int").alias("q"))
     cols = []
@@ -186,9 +208,9 @@ def densiometer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(*KEY_COLS, *cols)
 
 
-def ysi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_part(spark, sf_dir).select(
-        *KEY_COLS,
+def _ysi(rows: DataFrame, spark: SparkSession, sf_dir: str, keys) -> DataFrame:
+    return _with_part(rows, spark, sf_dir).select(
+        *keys,
         _null_if(F.col("l_quantity") == 50, F.col("l_quantity")).alias("Water_depth"),
         (F.lit(20.0) + F.col("l_discount") * 100).alias("Temp"),
         (F.col("l_tax") * 100).alias("DO_mg_L"),
@@ -196,6 +218,10 @@ def ysi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("TDS"))
 
 
+def ysi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ysi(base(spark, sf_dir), spark, sf_dir, KEY_COLS)
+
+
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sd = site_dim(spark, sf_dir)
     k = F.col("s_suppkey")
@@ -219,6 +245,18 @@ BUILDERS = {
 }
 
 
+# tables of single readings, which carry their plot themselves
+READINGS = {"trees": _trees, "heights": _heights, "saplings": _saplings, "ysi": _ysi}
+
+
+def plot_readings(spark: SparkSession, sf_dir: str, name: str) -> PlotReadings:
+    """A table of readings without its site, and the plots' sites: operators attach the
+    site after they have aggregated per plot, so lineitem never meets supplier."""
+    rows = READINGS[name](_readings(spark, sf_dir), spark, sf_dir, PLOT_KEYS)
+    plots = site_dim(spark, sf_dir).select(F.col("s_suppkey").alias("Plot"), "Island", "Site")
+    return PlotReadings(rows, plots)
+
+
 def survey_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All seven survey tables as lazy DataFrames."""
     return {name: fn(spark, sf_dir) for name, fn in BUILDERS.items()}
