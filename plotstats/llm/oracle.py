@@ -82,3 +82,61 @@ FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
 
 
 ORACLE_SQL["op7_secret_scan"] = _secret_sql()
+
+ORACLE_SQL["op8_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS g, least(len(w), 3) AS k
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
+def _rules_sql() -> str:
+    from . import quality_rules as q
+
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1
+), lines AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+), dup AS (
+  SELECT doc_id, sum(c - 1) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n, sum(c) FILTER (line <> '') AS n_lines
+  FROM (SELECT doc_id, line, count(*) AS c FROM lines GROUP BY ALL) GROUP BY 1
+), top AS (
+  SELECT doc_id, max(c) AS n FROM (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY ALL) GROUP BY 1
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, coalesce(top.n, 0) AS n_top, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_ascii,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_lettered
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN top USING (doc_id)
+), b AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PCT} * n_words AS base_failed, greatest(n_words, 1) AS words_or_1 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars / words_or_1 NOT BETWEEN {q.WORD_LENGTH[0]} AND {q.WORD_LENGTH[1]} OR n_symbols / words_or_1 > {q.MAX_SYMBOLS_PER_WORD}
+            OR n_dup_lines / greatest(n_lines, 1) > {q.MAX_DUP_LINE_SHARE} OR n_upper / greatest(n_ascii, 1) > {q.MAX_UPPER_SHARE}
+            OR n_lettered / words_or_1 < {q.MIN_LETTER_WORDS} OR n_top / words_or_1 > {q.MAX_TOP_WORD_SHARE}) AS kept
+FROM b
+"""
+
+
+ORACLE_SQL["op9_quality_rules"] = _rules_sql()
