@@ -328,3 +328,50 @@ def test_percent_change_keeps_every_year(spark):
     assert years == list(range(1995, 2002))
     with pytest.raises(ValueError, match="not in the given list"):
         stand.pct_basal_area_change(t, 1996, 2000, years=(1996, 1997, 2000))
+
+
+# --- plans over the test tables at scale: no side small enough to broadcast -----------
+
+def _lineitem_exchanges(node):
+    """Exchanges that carry lineitem rows no aggregate has reduced."""
+    def raw(n):
+        name = n.nodeName()
+        if "Scan" in name:
+            return "lineitem.parquet" in n.toString()
+        return "Aggregate" not in name and any(raw(c) for c in _children(n))
+
+    own = node.nodeName() == "Exchange" and any(raw(c) for c in _children(node))
+    return own + sum(_lineitem_exchanges(c) for c in _children(node))
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+ROW_LEVEL = ("basal_area", "standard_error")  # every row is joined to its site
+
+
+@pytest.mark.parametrize("name", [n for n in PLAN_QUERIES if n not in ROW_LEVEL])
+def test_readings_are_shuffled_once_at_most(spark, no_broadcast, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    # the one join of trees with orders and of heights and water with part
+    allowed = text.count("orders.parquet") + text.count("part.parquet")
+    assert _lineitem_exchanges(plan) <= allowed
+
+
+def test_seedlings_scan_their_table_once(spark):
+    from plotstats.operators import regen
+
+    root = scratch_path(spark, "one-scan")
+    tables = fx.survey_tables(spark, SF)
+    io.write_survey_tables({k: tables[k] for k in ("regeneration", "densiometer")}, root)
+    t = io.load_tables(spark, root, names=["regeneration", "densiometer"])
+    plan = plan_text(regen.seedling_density(t["regeneration"], t["densiometer"], fx.ISLANDS))
+    assert plan.count("/regeneration") == 1
