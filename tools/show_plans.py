@@ -1,11 +1,13 @@
 """Print the final (adaptive) physical plan of registered queries.
 
-    python tools/show_plans.py [--stored] [--sf DIR] name [name ...]
+    python tools/show_plans.py [--stored] [--no-broadcast] [--sf DIR] name [name ...]
 
 With ``--stored`` the survey tables are first written as parquet
 (partitioned by survey year) to a fresh scratch folder and the queries run
 over them — the production layout.  Each query is executed (noop sink is not
-used, the result is collected) so the plan shown is AQE's final plan.
+used, the result is collected) so the plan shown is AQE's final plan.  With
+``--no-broadcast`` no side is broadcast by its size, as at a scale where none
+is small enough.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("names", nargs="+")
     ap.add_argument("--stored", action="store_true")
+    ap.add_argument("--no-broadcast", action="store_true")
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
     a = ap.parse_args()
 
@@ -43,6 +46,9 @@ def main() -> None:
     from plotstats.sources import io
 
     spark = tuned_session()
+    if a.no_broadcast:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(key, "-1")
     ctx = None
     if a.stored:
         root = scratch_path(spark, "plans")
