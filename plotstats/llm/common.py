@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SLICE_BYTES = 2 << 20
 
@@ -33,6 +33,12 @@ def pinned(df: DataFrame, name: str, value) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
+    """The schema of ``df`` with further fields (name, type)."""
+    added = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields]
+    return T.StructType([*df.schema.fields, *added])
+
+
 def worker_memo(key: str, make: Callable):
     """An object that lives as long as the Python process, so that reused workers keep it
     from task to task."""

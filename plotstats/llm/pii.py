@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .boosting import BoostedTrees
-from .common import bounded_sample, slices, text_column
+from .common import bounded_sample, slices, text_column, with_fields
 
 SAMPLE_DOCS = 4000
 TRAIN_ROWS = 40_000
@@ -220,8 +220,7 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(added, kind)], names=[*batch.schema.names, "pii_base", "pii_added"])
 
     rest = docs.drop("pii_base", "pii_added")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(run, f"{schema}, pii_base {SPANS}, pii_added {SPANS}")
+    return rest.mapInArrow(run, with_fields(rest, ("pii_base", SPANS), ("pii_added", SPANS)))
 
 
 def _joined(spans: Column) -> Column:
@@ -258,5 +257,4 @@ def redacted(docs: DataFrame, id_column: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(kept, names=names)
 
     names = [c for c in docs.columns if c not in ("pii_base", "pii_added")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, docs.select(*names).schema)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LETTERED, WHITE, bounded_sample, mix, runs, slices, span_hashes, sums, text_bytes, text_column
+from .common import LETTERED, WHITE, bounded_sample, mix, runs, slices, span_hashes, sums, text_bytes, text_column, with_fields
 from .components import saved
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
@@ -198,6 +198,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
     rest = docs.drop("held_out", "score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    scored = rest.mapInArrow(score, f"{schema}, score double")
+    scored = rest.mapInArrow(score, with_fields(rest, ("score", "double")))
     return scored.withColumn("held_out", held_out(F.col(id_column))).withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -35,9 +35,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, slices, worker_memo
+from .common import mix, slices, with_fields, worker_memo
 
-SLICE = 4 << 20
+SLICE = 2 << 20
+CHUNK = 1 << 18  # characters of units whose lattices are built at a time
 SPACE = "▁"
 UNIT = re.compile(r" +[^ ]*")
 GAP = "\0"  # between units when they are matched; no piece holds it
@@ -108,13 +109,37 @@ def pieces(path: str) -> Pieces:
 
 
 class Lattice:
-    """The lattices of distinct units, side by side; node i lies before character i."""
+    """The lattices of distinct units, side by side; node i lies before character i.
+
+    Only what sampling needs is kept of each chunk of units: the edges' sources and
+    pieces, and the list to search."""
 
     def __init__(self, units: list[str], p: Pieces, alpha: float):
-        text = GAP.join(units) + GAP
         lens = np.array([len(u) for u in units])
         self.start = np.concatenate(([0], np.cumsum(lens + 1)[:-1]))
         self.end = self.start + lens
+        self.text = GAP.join(units) + GAP
+        chunk = self.start // CHUNK
+        cuts = [*np.flatnonzero(np.diff(chunk, prepend=-1)).tolist(), len(units)]
+        parts = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = _Part(units[a:b], lens[a:b], p, alpha)
+            base = int(self.start[a])
+            parts.append((part.key + base, (part.source + base).astype(np.int32), part.piece))
+        self.key, self.source, self.piece = (np.concatenate(x) for x in zip(*parts))
+
+    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge into each node, drawn with its posterior probability."""
+        return np.searchsorted(self.key, node + u, "right")
+
+
+class _Part:
+    """Forward filtering over the lattices of some units."""
+
+    def __init__(self, units: list[str], lens: np.ndarray, p: Pieces, alpha: float):
+        text = GAP.join(units) + GAP
+        self.start = np.concatenate(([0], np.cumsum(lens + 1)[:-1]))
+        self.end = self.start + lens
         source, node, piece = p.find(text)
         # characters that no piece covers alone go in bytes
         single = np.ones(len(text), bool)
@@ -122,7 +147,6 @@ class Lattice:
         single[self.end] = False
         alone = np.flatnonzero(single)
         size = np.array([len(text[i].encode()) for i in alone], np.int64)
-        self.text = text
         node = np.concatenate((node, alone + 1))
         source = np.concatenate((source, alone))
         piece = np.concatenate((piece, np.full(len(alone), -1, np.int32)))
@@ -132,7 +156,7 @@ class Lattice:
         self._filter(weight)
 
     def _filter(self, weight: np.ndarray) -> None:
-        total = np.zeros(len(self.text) + 1)
+        total = np.zeros(int(self.end[-1]) + 2)
         first = np.flatnonzero(np.concatenate(([True], self.node[1:] != self.node[:-1])))
         ends = np.concatenate((first[1:], [len(self.node)]))
         # nodes at one distance from their unit's start are filtered together
@@ -158,11 +182,7 @@ class Lattice:
         inside = np.minimum(run - np.repeat(before, ends - first), 1.0)
         if len(first):
             inside[ends - 1] = 1.0
-        self.key, self.total = self.node + inside, total
-
-    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge into each node, drawn with its posterior probability."""
-        return np.searchsorted(self.key, node + u, "right")
+        self.key = self.node + inside
 
 
 def sample(texts: list[str], keys: np.ndarray, p: Pieces, alpha: float, seed: int) -> list[np.ndarray]:
@@ -208,27 +228,26 @@ def sample(texts: list[str], keys: np.ndarray, p: Pieces, alpha: float, seed: in
     return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def _schema(df: DataFrame, leave: str, add: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != leave] + [add])
-
-
 def encode(docs: DataFrame, model_path: str, key_column: str = "doc_id", text_col: str = "text",
            out: str = "ids", alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """``docs`` with sampled piece ids (array<int>)."""
     rest = docs.drop(out)
     names = rest.columns
-    keyed = rest.withColumn("__key", F.xxhash64(F.coalesce(F.col(key_column).cast("string"), F.lit("")), F.col(key_column).isNull()))
+    key = "key"
+    while key in names:
+        key += "_"
+    keyed = rest.withColumn(key, F.xxhash64(F.coalesce(F.col(key_column).cast("string"), F.lit("")), F.col(key_column).isNull()))
 
     def run(batches):
         p = pieces(model_path)
         for batch in slices(batches, text_col, SLICE):
             texts = batch.column(text_col).to_pylist()
-            got = sample([t or "" for t in texts], batch.column("__key").to_numpy(zero_copy_only=False).view(np.uint64), p, alpha, seed)
+            got = sample([t or "" for t in texts], batch.column(key).to_numpy(zero_copy_only=False).view(np.uint64), p, alpha, seed)
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in got]))), pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, out])
 
-    return keyed.mapInArrow(run, _schema(docs, out, f"`{out}` array<int>"))
+    return keyed.mapInArrow(run, with_fields(rest, (out, "array<int>")))
 
 
 def decode_ids(ids: np.ndarray, offsets: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -260,4 +279,4 @@ def decode(rows: DataFrame, model_path: str, ids_column: str = "ids", out: str =
                 texts = pa.StringArray.from_buffers(len(column), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pc.if_else(missing, pa.scalar(None, pa.string()), texts)], names=[*names, out])
 
-    return rest.mapInArrow(run, _schema(rows, out, f"`{out}` string"))
+    return rest.mapInArrow(run, with_fields(rest, (out, "string")))
