@@ -20,10 +20,11 @@ def tokenizer_path(name: str) -> str:
 
 def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sampled_pieces.decode(sampled_pieces.encode(docs, model), model)
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    back = sampled_pieces.decode(sampled_pieces.encode(docs, model, keep_text=False), model)
+    decoded = F.sha2("decoded", 256)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), decoded.alias("decoded_sha256"),
+                       decoded.eqNullSafe(F.col("text_sha256")).alias("lossless"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

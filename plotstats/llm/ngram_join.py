@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import mix, shingles, slices, text_bytes, text_column, words
-from .components import components, saved
+from .components import components, dropped, saved
 
 PAGE = 512
 NODE = 16
@@ -252,6 +252,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
 
     links = points.groupBy("cell", "i", "j").applyInArrow(verify, "a long, b long")
     classes = components(spark, links)
+    dropped(members)
     sets = sets.join(classes.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = sets.groupBy("root").agg(F.min("least_id").alias("component_id"))
     sets = sets.join(least, "root").select("set_id", "component_id", F.col("root").alias("component_v"))

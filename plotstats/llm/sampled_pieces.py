@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, slices, with_fields, worker_memo
 
-SLICE = 2 << 20
-CHUNK = 1 << 18  # characters of units whose lattices are built at a time
+SLICE = 1 << 20
+IDS = 1 << 18  # ids decoded at a time, unless one row has more
+CHUNK = 1 << 17  # characters of units whose lattices are built at a time
 SPACE = "▁"
 UNIT = re.compile(r" +[^ ]*")
 GAP = "\0"  # between units when they are matched; no piece holds it
@@ -229,12 +230,13 @@ def sample(texts: list[str], keys: np.ndarray, p: Pieces, alpha: float, seed: in
 
 
 def encode(docs: DataFrame, model_path: str, key_column: str = "doc_id", text_col: str = "text",
-           out: str = "ids", alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """``docs`` with sampled piece ids (array<int>)."""
+           out: str = "ids", alpha: float = 1.0, seed: int = 0, keep_text: bool = True) -> DataFrame:
+    """``docs`` with sampled piece ids (array<int>), on request without the text."""
     rest = docs.drop(out)
-    names = rest.columns
+    kept = rest if keep_text else rest.drop(text_col)
+    names = kept.columns
     key = "key"
-    while key in names:
+    while key in rest.columns:
         key += "_"
     keyed = rest.withColumn(key, F.xxhash64(F.coalesce(F.col(key_column).cast("string"), F.lit("")), F.col(key_column).isNull()))
 
@@ -247,7 +249,7 @@ def encode(docs: DataFrame, model_path: str, key_column: str = "doc_id", text_co
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, out])
 
-    return keyed.mapInArrow(run, with_fields(rest, (out, "array<int>")))
+    return keyed.mapInArrow(run, with_fields(kept, (out, "array<int>")))
 
 
 def decode_ids(ids: np.ndarray, offsets: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -269,12 +271,15 @@ def decode(rows: DataFrame, model_path: str, ids_column: str = "ids", out: str =
     def run(batches):
         p = pieces(model_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            ends = np.cumsum(pc.fill_null(whole.column(ids_column).value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            to = 0
+            while to < whole.num_rows:
+                at, to = to, max(to + 1, int(np.searchsorted(ends, (ends[to - 1] if to else 0) + IDS, "right")))
+                batch = whole.slice(at, to - at)
                 column = batch.column(ids_column)
                 missing = column.is_null()
                 flat = column.flatten().to_numpy(zero_copy_only=False)
-                lens = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
+                lens = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
                 data, bounds = decode_ids(flat, np.concatenate(([0], np.cumsum(lens))), p)
                 texts = pa.StringArray.from_buffers(len(column), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pc.if_else(missing, pa.scalar(None, pa.string()), texts)], names=[*names, out])

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plotstats.plans.session import scratch_path
+from .components import dropped, saved
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -112,10 +112,6 @@ def reachable(spark: SparkSession, candidates: DataFrame) -> DataFrame:
     runs behind the set reached and squares the jump table, so a chain of n runs takes
     about log2(n) rounds.  Each round is written to the shared scratch folder,
     which cuts lineage."""
-    def saved(df, name):
-        df.write.parquet(at := scratch_path(spark, name))
-        return spark.read.parquet(at)
-
     w = Window.partitionBy("file").orderBy("offset")
     near = candidates.select("file", "offset", "next", F.lead("offset").over(w).alias("ahead"), F.lag("next").over(w).alias("due"))
     aims = near.filter("next is not null and not (next <=> ahead)").select("file", F.col("next").alias("offset")).distinct().withColumn("aim", F.lit(True))
@@ -125,15 +121,18 @@ def reachable(spark: SparkSession, candidates: DataFrame) -> DataFrame:
 
     jump = runs.groupBy("file", "run").agg(F.max_by("next", "offset").alias("next"))
     jump = saved(jump.select("file", F.col("run").alias("offset"), "next"), "warc-links")
-    seen = jump.filter("offset = 0").select("file", "offset")
-    jump = jump.filter("next is not null")
+    seen = saved(jump.filter("offset = 0").select("file", "offset"), "warc-seen")
     while True:
-        step = saved(seen.join(jump, ["file", "offset"]).select("file", F.col("next").alias("offset")), "warc-step")
+        known = jump.filter("next is not null")
+        step = saved(seen.join(known, ["file", "offset"]).select("file", F.col("next").alias("offset")), "warc-step")
         if step.isEmpty():
+            dropped(step, jump)
             break
+        before, table = seen, jump
         seen = saved(seen.unionByName(step), "warc-seen")
-        onward = jump.select("file", F.col("offset").alias("next"), F.col("next").alias("after"))
-        jump = saved(jump.join(onward, ["file", "next"]).select("file", "offset", F.col("after").alias("next")), "warc-jump")
+        onward = known.select("file", F.col("offset").alias("next"), F.col("next").alias("after"))
+        jump = saved(known.join(onward, ["file", "next"]).select("file", "offset", F.col("after").alias("next")), "warc-jump")
+        dropped(before, step, table)
     seen = seen.withColumnRenamed("offset", "run")
     return runs.filter("next is not null").join(seen, ["file", "run"], "left_semi").select("file", "offset")
 
@@ -144,8 +143,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     body = F.expr("substring(raw, cast(body_at + 1 as int), cast(least(length, size) as int))")
     pieces = _pieces(spark, path)
     facts = _offsets(_candidates(pieces, [F.sha2(body, 256).alias("digest")]))
-    facts.write.parquet(at := scratch_path(spark, "warc-facts"))
-    facts = spark.read.parquet(at)
+    facts = saved(facts, "warc-facts")
     end = F.col("offset") + len(MAGIC) + F.col("body_at") + F.col("length") + len(END)
     reached = reachable(spark, facts.select("file", "offset", end.alias("next"))).withColumn("reached", F.lit(True))
     facts = facts.join(reached, ["file", "offset"], "left")
