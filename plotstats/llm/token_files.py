@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import slices, text_column, worker_memo
+from .components import saved
 
 CHUNK = 8
 BLOCK = 512
@@ -123,21 +124,22 @@ class WordEncoder:
     """Ids of whole texts by a memory of word encodings.
 
     The tokenizer folds case and splits at white space before anything else, and no part of it
-    reaches across ASCII white space, so a text's ids are those of its words, joined.  A full
-    stop or comma between an ASCII letter and white space is always a piece of its
-    own, so it is cut off first.  Texts with the mark of a special string are encoded
+    reaches across ASCII white space, so a text's ids are those of its words, joined.  A run
+    of ASCII punctuation (but ' and <) between a letter and white space is always split off
+    the word, so it is cut off first.  Texts with the mark of a special string are encoded
     whole.  The memory is emptied when it holds ``limit`` words, so it stays bounded on
     any corpus.  Whether a tokenizer file allows this is checked once (``splits``).
     """
 
-    STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
+    #: Behind a-z or a letter of U+00C0 to U+00FF.
+    STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:;=-@\[-`{-~]+)(?=[ \n]|\Z)")
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-        probe = "The cat, that SAT's ÉTÉ. \"q.\" 12,5 a_b... x.y"
+        probe = "The cat, that SAT's ÉTÉ. \"q.\" 12,5 a_b... x.y né** ab|| l'été!? x_ y<"
         joined = b"".join(self._ids(w.decode()) for w in self._words(probe))
         self.splits = joined == self._ids(probe)
 
@@ -208,7 +210,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Like :func:`read_token_files` without the ids, plus ``start``, the number of
     tokens of all documents before.  The prefix sum runs over one row per range
     partition and, inside each, over its shards' documents."""
-    docs = _read(spark, path, False)
+    docs = saved(_read(spark, path, False), "token-index")  # used three times below
     parts = docs.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("part_start"))
