@@ -39,6 +39,41 @@ def with_fields(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
     return T.StructType([*df.schema.fields, *added])
 
 
+BATCH_BYTES = 8 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with bounded memory: batches of ``BATCH_BYTES`` at most (a session
+    setting, lowered where it is higher), and workers that give their memory back after a
+    task, as they are kept for other tasks."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(task, schema)
+
+
+def release_memory() -> None:
+    """Return freed memory of this process to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def worker_memo(key: str, make: Callable):
     """An object that lives as long as the Python process, so that reused workers keep it
     from task to task."""

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, text_bytes, text_column
+from .common import in_arrow, slices, text_bytes, text_column
 from .components import saved
 
 TRIGRAMS = 1 << 13
@@ -76,7 +76,7 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_column: str = "lang")
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "trigram", "n"])
 
-    counts = saved(rows.mapInArrow(run, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")), "language-profiles")
+    counts = saved(in_arrow(rows, run, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")), "language-profiles")
     langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -117,7 +117,7 @@ def text_evidence(pages: DataFrame, langs: list[str], log_p: np.ndarray, html_co
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), "ll array<double>", *(f"p{i} double" for i in range(len(langs)))])
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return in_arrow(rows.select(*keep, "text"), run, schema)
 
 
 def identify(pages: DataFrame, docs: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
@@ -177,4 +177,4 @@ def identify(pages: DataFrame, docs: DataFrame, id_column: str = "page_id", url_
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("markup"), pa.array(text_lang, pa.string()),
                                               pa.array([langs[b] for b in best], pa.string()), pa.array(post[np.arange(len(best)), best], pa.float64())], names=["page_id", "host", "markup", "text_lang", "lang", "prob"])
 
-    return rows.mapInArrow(fuse, out)
+    return in_arrow(rows, fuse, out)

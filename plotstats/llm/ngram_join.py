@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mix, shingles, slices, text_bytes, text_column, words
+from .common import in_arrow, mix, shingles, slices, text_bytes, text_column, words
 from .components import components, dropped, saved
 
 PAGE = 512
@@ -187,7 +187,7 @@ def _sketch(rows: DataFrame, k: int, num: int, den: int, ratio: float) -> DataFr
                 names=["doc_id", "text_hash", "v", "n", "set_id", "keys"])
             v += n
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, v long, n long, set_id binary, keys array<long>")
+    return in_arrow(rows, run, "doc_id long, text_hash long, v long, n long, set_id binary, keys array<long>")
 
 
 def _page_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _page_sets(rows: DataFrame, k: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(*text_bytes(batch.column("text")), k)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "page", "v")), pa.array(sets, pa.binary())], names=["cell", "page", "v", "set"])
 
-    return rows.mapInArrow(run, "cell long, page long, v long, set binary")
+    return in_arrow(rows, run, "cell long, page long, v long, set binary")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_column: str = "doc_id",

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .boosting import BoostedTrees
-from .common import bounded_sample, slices, text_column, with_fields
+from .common import bounded_sample, in_arrow, slices, text_column, with_fields
 
 SAMPLE_DOCS = 4000
 TRAIN_ROWS = 40_000
@@ -195,7 +195,7 @@ def train(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, train_rows: int = TRA
             got = [(i, f, y) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for f, y in training_rows(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array([x[2] for x in got], pa.int32())], names=["doc_id", "x", "y"])
 
-    got = sample.mapInArrow(run, "doc_id long, x array<double>, y int").limit(train_rows).collect()
+    got = in_arrow(sample, run, "doc_id long, x array<double>, y int").limit(train_rows).collect()
     return fit(sorted((list(r.x), r.y) for r in got)) if got else None
 
 
@@ -220,7 +220,7 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(added, kind)], names=[*batch.schema.names, "pii_base", "pii_added"])
 
     rest = docs.drop("pii_base", "pii_added")
-    return rest.mapInArrow(run, with_fields(rest, ("pii_base", SPANS), ("pii_added", SPANS)))
+    return in_arrow(rest, run, with_fields(rest, ("pii_base", SPANS), ("pii_added", SPANS)))
 
 
 def _joined(spans: Column) -> Column:
@@ -257,4 +257,4 @@ def redacted(docs: DataFrame, id_column: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(kept, names=names)
 
     names = [c for c in docs.columns if c not in ("pii_base", "pii_added")]
-    return found.mapInArrow(run, docs.select(*names).schema)
+    return in_arrow(found, run, docs.select(*names).schema)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LETTERED, WHITE, bounded_sample, mix, runs, slices, span_hashes, sums, text_bytes, text_column, with_fields
+from .common import LETTERED, WHITE, bounded_sample, in_arrow, mix, runs, slices, span_hashes, sums, text_bytes, text_column, with_fields
 from .components import saved
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
@@ -95,7 +95,7 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, i]) for i in range(DIM))], names=["bucket", *columns])
 
-    parts = rows.select("text").mapInArrow(run, ", ".join(["bucket long", *(f"{c} long" for c in columns)]))
+    parts = in_arrow(rows.select("text"), run, ", ".join(["bucket long", *(f"{c} long" for c in columns)]))
     whole = parts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # BUCKETS rows at most
     out = np.zeros((BUCKETS, DIM))
     out[whole["bucket"].to_numpy(np.int64)] = whole[columns].to_numpy(float)
@@ -187,7 +187,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
             x = pooled(*text_bytes(batch.column("text")), vectors)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
-    sample = rows.join(known, "doc_id").select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, x array<float>")
+    sample = in_arrow(rows.join(known, "doc_id").select("doc_id", "y", "text"), features, "doc_id long, y int, x array<float>")
     got = sorted((r.doc_id, r.y, r.x) for r in sample.limit(4 * train_rows).collect())
     net = fit_network(np.array([x for _, _, x in got]), np.array([y for _, y, _ in got])) if got else None
 
@@ -198,5 +198,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
     rest = docs.drop("held_out", "score", "predicted")
-    scored = rest.mapInArrow(score, with_fields(rest, ("score", "double")))
+    scored = in_arrow(rest, score, with_fields(rest, ("score", "double")))
     return scored.withColumn("held_out", held_out(F.col(id_column))).withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WHITE, bounded_sample, flags, runs, shingles, slices, span_hashes, sums, text_bytes, text_column
+from .common import WHITE, bounded_sample, flags, in_arrow, runs, shingles, slices, span_hashes, sums, text_bytes, text_column
 
 SYMBOLS = flags(b"#*$%&|<>")
 UPPER, LOWER, DIGIT = flags(bytes(range(65, 91))), flags(bytes(range(97, 123))), flags(bytes(range(48, 58)))
@@ -201,4 +201,4 @@ def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_col: str = "tex
                 [batch.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (t.n_words, word_chars(t), symbols(t), duplicate_lines(t), repeat)), pa.array(failed), pa.array(kept)],
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
-    return rows.mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return in_arrow(rows, judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")

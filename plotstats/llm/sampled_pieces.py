@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, slices, with_fields, worker_memo
+from .common import in_arrow, mix, slices, with_fields, worker_memo
 
 SLICE = 1 << 20
 IDS = 1 << 18  # ids decoded at a time, unless one row has more
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, model_path: str, key_column: str = "doc_id", text_co
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, out])
 
-    return keyed.mapInArrow(run, with_fields(kept, (out, "array<int>")))
+    return in_arrow(keyed, run, with_fields(kept, (out, "array<int>")))
 
 
 def decode_ids(ids: np.ndarray, offsets: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -284,4 +284,4 @@ def decode(rows: DataFrame, model_path: str, ids_column: str = "ids", out: str =
                 texts = pa.StringArray.from_buffers(len(column), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pc.if_else(missing, pa.scalar(None, pa.string()), texts)], names=[*names, out])
 
-    return rest.mapInArrow(run, with_fields(rest, (out, "string")))
+    return in_arrow(rest, run, with_fields(rest, (out, "string")))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import slices, text_column, worker_memo
+from .common import in_arrow, slices, text_column, worker_memo
 from .components import saved
 
 CHUNK = 8
@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_column
         if docs_in:
             yield close()
 
-    out = rows.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string"))
+    out = in_arrow(rows, shards, "shard binary").select(F.col("shard").cast("string"))
     out.write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -243,4 +243,4 @@ def _read(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                     kinds.append(("ids", pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema(kinds))
 
-    return files.mapInArrow(decode, schema)
+    return in_arrow(files, decode, schema)
