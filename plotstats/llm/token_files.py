@@ -127,18 +127,18 @@ class WordEncoder:
     reaches across ASCII white space, so a text's ids are those of its words, joined.  A run
     of ASCII punctuation (but ' and <) between a letter and white space is always split off
     the word, so it is cut off first.  Texts with the mark of a special string are encoded
-    whole.  The memory is emptied when it holds ``limit`` words, so it stays bounded on
-    any corpus.  Whether a tokenizer file allows this is checked once (``splits``).
+    whole.  The memory holds ``limit`` words at most, so it stays bounded on any corpus: a
+    new generation begins at half of them, into which the words still in use move over.  Whether a tokenizer file allows this is checked once (``splits``).
     """
 
-    #: Behind a-z or a letter of U+00C0 to U+00FF.
-    STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:;=-@\[-`{-~]+)(?=[ \n]|\Z)")
+    #: Behind a-z or a letter of U+00C0 to U+00FF; the search begins at the punctuation, which is rare.
+    STOP = re.compile(rb"([!-&(-/:;=-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:;=-@\[-`{-~]*)(?=[ \n]|\Z)", re.S)
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
         probe = "The cat, that SAT's ÉTÉ. \"q.\" 12,5 a_b... x.y né** ab|| l'été!? x_ y<"
         joined = b"".join(self._ids(w.decode()) for w in self._words(probe))
         self.splits = joined == self._ids(probe)
@@ -153,11 +153,14 @@ class WordEncoder:
         if not self.splits or "<|" in text:
             return np.frombuffer(self._ids(text), "<u4")
         known, words = self.known, self._words(text)
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(words))
+        missing = [w for w in set(words) if w not in known]
+        if missing:
+            if len(known) + len(missing) > self.limit // 2:
+                self.older, self.known = known, {}
+                known, missing = self.known, list(set(words))
+            old = self.older
+            known.update((w, old[w]) for w in missing if w in old)
+            new = [w for w in missing if w not in old]
             for i in range(0, len(new), 1000):
                 part = new[i:i + 1000]
                 for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
