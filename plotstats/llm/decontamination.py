@@ -40,9 +40,10 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(folded, _GAPS), lambda w: w != "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its rows, or the sum of ``size`` over them, allow it."""
+    total = df.agg(F.count("*") if size is None else F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_ROWS else df
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def _hits(rows: DataFrame, windows: DataFrame) -> DataFrame:
         stretches = stretches.unionByName(found.select("doc_id", "text_hash", F.lit(length).alias("length"), (F.col("at") + 1).alias("first"), (F.col("at") + 1).alias("last")))
     # the hits of a document, then its words once more to extend them
     hits = saved(stretches.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("length", "first", "last")).alias("hits")), "decontamination-hits")
-    hits = _small(hits)
+    hits = _small(hits, F.size("hits"))
     r, h = rows.alias("r"), hits.alias("h")
     texts = r.join(h, F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.text_hash") == F.col("h.text_hash")))
     texts = texts.select("r.doc_id", "r.text_hash", "text", "hits").dropDuplicates(["doc_id", "text_hash"])
