@@ -37,6 +37,7 @@ BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
 FOLDS = 5
 TRAIN_ROWS = 20_000
 HIDDEN = 32
+SLICE, PAIRS = 1 << 19, 1 << 16  # bytes of text and distinct pairs handled at a time
 CUT = 0.3
 
 
@@ -75,10 +76,10 @@ def context_sums(bucket: np.ndarray, first: np.ndarray, index: np.ndarray) -> np
         pairs += [x * BUCKETS + y, y * BUCKETS + x]
     out = np.zeros((BUCKETS, DIM), np.int64)
     key, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-    if len(key):
-        word, other = key // BUCKETS, key % BUCKETS
+    for at in range(0, len(key), PAIRS):
+        word, other = key[at:at + PAIRS] // BUCKETS, key[at:at + PAIRS] % BUCKETS
         heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        out[word[heads]] = np.add.reduceat(index[other] * n[:, None], heads, axis=0)
+        out[word[heads]] += np.add.reduceat(index[other] * n[at:at + PAIRS, None], heads, axis=0)
     return out
 
 
@@ -88,7 +89,7 @@ def word_vectors(rows: DataFrame) -> np.ndarray:
 
     def run(batches):
         index, total, seen = index_vectors(), np.zeros((BUCKETS, DIM), np.int64), np.zeros(BUCKETS, bool)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             bucket, first = tokens(*text_bytes(batch.column("text")))
             seen[bucket] = True
             total += context_sums(bucket, first, index)
@@ -183,7 +184,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     known = F.broadcast(saved(bounded_sample(known, "doc_id", train_rows), "quality-labels"))
 
     def features(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             x = pooled(*text_bytes(batch.column("text")), vectors)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
@@ -192,7 +193,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     net = fit_network(np.array([x for _, _, x in got]), np.array([y for _, y, _ in got])) if got else None
 
     def score(batches):
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE):
             x = pooled(*text_bytes(batch.column(text_col)), vectors)
             p = net.probability(x) if net else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
