@@ -230,9 +230,11 @@ def sample(texts: list[str], keys: np.ndarray, p: Pieces, alpha: float, seed: in
 
 
 def encode(docs: DataFrame, model_path: str, key_column: str = "doc_id", text_col: str = "text",
-           out: str = "ids", alpha: float = 1.0, seed: int = 0, keep_text: bool = True) -> DataFrame:
-    """``docs`` with sampled piece ids (array<int>), on request without the text."""
-    rest = docs.drop(out)
+           out: str = "ids", alpha: float = 1.0, seed: int = 0, keep_text: bool = True,
+           lossless: str | None = None) -> DataFrame:
+    """``docs`` with sampled piece ids (array<int>), on request without the text and with
+    a column ``lossless`` that tells whether the ids decode to the text."""
+    rest = docs.drop(out, *([lossless] if lossless else []))
     kept = rest if keep_text else rest.drop(text_col)
     names = kept.columns
     key = "key"
@@ -245,11 +247,17 @@ def encode(docs: DataFrame, model_path: str, key_column: str = "doc_id", text_co
         for batch in slices(batches, text_col, SLICE):
             texts = batch.column(text_col).to_pylist()
             got = sample([t or "" for t in texts], batch.column(key).to_numpy(zero_copy_only=False).view(np.uint64), p, alpha, seed)
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in got]))), pa.int32())
+            stops = np.concatenate(([0], np.cumsum([len(x) for x in got], dtype=np.int64)))
+            offsets = pa.array(stops, pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, out])
-
-    return in_arrow(keyed, run, with_fields(kept, (out, "array<int>")))
+            same = []
+            if lossless:
+                data, bounds = decode_ids(np.concatenate(got), stops, p)
+                back = data.tobytes()
+                same.append(pa.array([back[a:b] == (t or "").encode() for a, b, t in zip(bounds[:-1], bounds[1:], texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, *same], names=[*names, out, *([lossless] if lossless else [])])
+
+    return in_arrow(keyed, run, with_fields(kept, (out, "array<int>"), *([(lossless, "boolean")] if lossless else [])))
 
 
 def decode_ids(ids: np.ndarray, offsets: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:

@@ -144,3 +144,10 @@ def test_context_vectors_add_up_over_slices():
     bucket, _ = quality_model.tokens(*text_bytes(pa.array(["a b c"])))
     one = quality_model.context_sums(*quality_model.tokens(*text_bytes(pa.array(["a b c"]))), index)
     assert (one[bucket[0]] == index[bucket[1]] + index[bucket[2]]).all()
+
+
+def test_lossless_is_told_in_the_same_pass(docs_of, awkward):
+    rows = sp.encode(docs_of(awkward, extra=True), MODEL, keep_text=False, lossless="same").collect()
+    assert len(rows) == len(awkward) and all(r.same for r in rows) and "text" not in rows[0]
+    both = {str(r.doc_id): r.ids for r in sp.encode(docs_of(awkward), MODEL).collect()}
+    assert both[str(7)] == next(r.ids for r in rows if r.doc_id == 7)
