@@ -12,7 +12,7 @@ words is one shingle).  Documents link when ``den * |A & B| >= num * |A | B|``.
    least hash (a prefix filter covers pairs of them).  Keys that meet join documents into
    *cells*; every linked pair lies in one cell.  Copies within a task emit keys once.
 2. *Index.*  Inside a cell each distinct set is a point: its shingles counted by group.
-   Points of like size are dealt out to leaf pages of about ``PAGE``; page pairs whose sizes
+   Points of like size are dealt out to leaf pages of bounded points and shingles; page pairs whose sizes
    can link are joined, each a group of its own, so no task holds an unbounded cell.  In it
    an R-tree over the count vectors bounds the overlap of a point with a node, and
    then with a point, by the sum of the coordinates' minima.
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import in_arrow, mix, shingles, slices, text_bytes, text_column, words
 from .components import components, dropped, saved
 
-PAGE = 512
+PAGE, PAGE_SHINGLES = 4096, 1 << 20  # a page holds about so many points, and shingles, at most
 NODE = 16
 DIMENSIONS = 64
 SEEN_LIMIT = 500_000
@@ -218,11 +218,11 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     cells = components(spark, meets)
     members = cells.join(sketch.select("v", "set_id", "n", "doc_id", "text_hash"), "v").select("set_id", F.col("root").alias("cell"), "n", "doc_id", "text_hash", "v")
     members = members.join(sets.select("set_id", F.col("rep").alias("v")), ["set_id", "v"])
-    # pages: sizes of a cell within the threshold's ratio, dealt out by hash to about PAGE points
+    # pages: sizes of a cell within the threshold's ratio, dealt out by hash into pages
     members = members.withColumn("band", F.floor(F.log("n") / math.log(den / num)).cast("long"))
-    bands = members.groupBy("cell", "band").agg(F.count("*").alias("points"))
+    bands = members.groupBy("cell", "band").agg(F.count("*").alias("points"), F.sum("n").alias("size"))
     several = bands.groupBy("cell").agg(F.sum("points").alias("all")).filter("all > 1").select("cell")
-    bands = bands.join(several, "cell").select("cell", "band", F.ceil(F.col("points") / PAGE).alias("parts"))
+    bands = bands.join(several, "cell").select("cell", "band", F.ceil(F.greatest(F.col("points") / PAGE, F.col("size") / PAGE_SHINGLES)).alias("parts"))
     page = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("v"), F.col("parts"))
     members = saved(members.join(bands, ["cell", "band"]).withColumn("page", page).drop("band", "parts"), "jaccard-members")
 
