@@ -9,7 +9,7 @@ Spark's committer makes the files on any file system and repeats lost tasks.
 
 Reading.  Spark's text reader is given the record magic as line separator.  The magic
 does not overlap itself, so every split of a file finds the same pieces, and a piece holds
-the whole header of the candidate record that begins before it.  Tasks emit for each
+the whole header, of any length, of the candidate record that begins before it.  Tasks emit for each
 candidate its offset and that of its successor, told by ``Content-Length``.  Pointer
 jumping from each file's start (the set reached doubles its stride every round) keeps the
 reachable records; a magic inside a payload is never reached.  Only offsets are shuffled.
@@ -33,7 +33,6 @@ from .components import dropped, saved
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 MIN_REVISIT = 100
-MAX_HEADER = 1 << 16
 
 
 def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url",
@@ -78,11 +77,12 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 def _candidates(pieces: DataFrame, keep: list) -> DataFrame:
     """Pieces with the parsed header of the candidate record before them."""
-    # a byte is a character in ISO-8859-1, so lengths and positions count bytes
-    head = F.substring_index(F.decode(F.expr(f"substring(raw, 1, {MAX_HEADER})"), "ISO-8859-1"), END, 1)
-    parsed = pieces.select("file", "block", "piece", F.length("raw").alias("size"), "raw", head.alias("head"))
-    whole = F.length("head") < F.least("size", F.lit(MAX_HEADER))
-    length = F.when(whole, F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\r\\n)Content-Length:[ ]*([0-9]+)', 1) as long)"))
+    # cut off as bytes, however long; a byte is a character in ISO-8859-1, so lengths and positions count bytes
+    front = F.substring_index(F.col("raw").cast("string"), END, 1).cast("binary")
+    parsed = pieces.select("file", "block", "piece", F.length("raw").alias("size"), "raw", front.alias("front"))
+    whole = F.length("front") < F.col("size")
+    parsed = parsed.withColumn("head", F.when(whole, F.decode("front", "ISO-8859-1"))).drop("front")
+    length = F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\r\\n)Content-Length:[ ]*([0-9]+)', 1) as long)")
     parsed = parsed.withColumn("length", length).withColumn("body_at", (F.length("head") + len(END)).cast("long"))
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)(?:^|\r\n){name}:[ ]*([^\r]*)", 1), F.lit(""))
     names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "declared_digest": "WARC-Payload-Digest"}

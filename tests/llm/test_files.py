@@ -138,3 +138,13 @@ def test_truncated_archive_gives_the_records_before(spark, tmp_path):
     raw = open(glob.glob(f"{path.replace('file:', '')}/part-*")[0], "rb").read()
     (tmp_path / "part-0.txt").write_bytes(raw[:len(raw) - 30])
     assert warc.read_warc(spark, str(tmp_path)).count() == 19
+
+
+def test_long_urls_keep_the_records_behind_them(spark):
+    body = "b" * 200
+    rows = [(1, "http://a/" + "x" * 70_000, "first"), (2, "u", "second"), (3, "http://é/" + "é" * 200_000, body), (4, "u", body), (5, "u", "last")]
+    path = scratch_path(spark, "test-warc")
+    warc.write_warc(pages_of(spark, rows).coalesce(1), path)
+    assert read_back(spark, path) == expected_pages(rows)
+    urls = {r.record_id: r.target_uri for r in warc.read_warc(spark, path).collect()}
+    assert all(urls[f"<urn:page:{i}>"] == url for i, url, _ in rows)
