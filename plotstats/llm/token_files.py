@@ -123,31 +123,36 @@ def unpack_shard(raw: bytes):
 class WordEncoder:
     """Ids of whole texts by a memory of word encodings.
 
-    The tokenizer folds case and splits at white space before anything else, and no part of it
-    reaches across ASCII white space, so a text's ids are those of its words, joined.  A run
+    The tokenizer composes characters, folds case and splits at white space before anything else,
+    and no part of it reaches across ASCII white space, so a text's ids are those of its words,
+    joined.  A-Z are folded beforehand, except in texts where one precedes a character that it
+    could compose with (``PAIR``): some pairs compose in lower case only.  A run
     of ASCII punctuation (but ' and <) between a letter and white space is always split off
     the word, so it is cut off first.  Texts with the mark of a special string are encoded
     whole.  The memory holds ``limit`` words at most, so it stays bounded on any corpus: a
     new generation begins at half of them, into which the words still in use move over.  Whether a tokenizer file allows this is checked once (``splits``).
     """
 
-    #: Behind a-z or a letter of U+00C0 to U+00FF; the search begins at the punctuation, which is rare.
-    STOP = re.compile(rb"([!-&(-/:;=-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:;=-@\[-`{-~]*)(?=[ \n]|\Z)", re.S)
+    #: Behind A-Z, a-z or a letter of U+00C0 to U+00FF; the search begins at the punctuation, which is rare.
+    STOP = re.compile(rb"([!-&(-/:;=-@\[-`{-~](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:;=-@\[-`{-~]*)(?=[ \n]|\Z)", re.S)
+
+    #: What composes with a letter before it lies at U+0300 or above.
+    PAIR = re.compile(rb"[A-Z][\xcc-\xf4]")
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
-        probe = "The cat, that SAT's ÉTÉ. \"q.\" 12,5 a_b... x.y né** ab|| l'été!? x_ y<"
-        joined = b"".join(self._ids(w.decode()) for w in self._words(probe))
-        self.splits = joined == self._ids(probe)
+        probes = ("The cat, that SAT's ÉTÉ. \"q.\" 12,5 a_b... x.y né** ab|| l'été!? x_ y<", "The J\u030c, SAT. T\u0308 H\u0331! W\u030a Y\u030a")
+        self.splits = all(b"".join(self._ids(w.decode()) for w in self._words(probe)) == self._ids(probe) for probe in probes)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _words(self, text: str) -> list[bytes]:
-        return self.STOP.sub(rb" \1", text.encode().lower()).split()
+        raw = text.encode()
+        return self.STOP.sub(rb" \1", raw if not text.isascii() and self.PAIR.search(raw) else raw.lower()).split()
 
     def __call__(self, text: str) -> np.ndarray:
         if not self.splits or "<|" in text:

@@ -46,6 +46,20 @@ def test_word_memory_equals_whole_texts():
         assert [*encode(text), 1] == ids_of(text), repr(text)
 
 
+def test_word_memory_keeps_capitals_that_compose_in_lower_case_only():
+    encode = tf.WordEncoder(BPE, limit=50)
+    assert encode.splits
+    pairs = ["J\u030c", "T\u0308", "H\u0331", "W\u030a", "Y\u030a"]
+    for pair in pairs:
+        for text in (pair, f"The {pair}a, SAT. {pair.lower()}", f"a{pair}, B"):
+            assert [*encode(text), 1] == ids_of(text), repr(text)
+    random.seed(4)
+    marks = [*"aAbJTHWYjthwy'<.,! \n9", "é", "É", "\u030c", "\u0308", "\u0331", "\u030a", "\u0323", "\u0301", "漢", *pairs]
+    for _ in range(3000):
+        text = "".join(random.choice(marks) for _ in range(random.randint(0, 14)))
+        assert [*encode(text), 1] == ids_of(text), repr(text)
+
+
 @pytest.mark.parametrize("shard", [1, 40, 1 << 20])
 def test_token_files_round_trip(spark, docs_of, awkward, shard):
     path = scratch_path(spark, "test-tokens")
