@@ -10,8 +10,9 @@ none overlaps a base span.
 
 Training needs no labels by hand.  On a bounded sample (``SAMPLE_DOCS`` documents with a digit
 or an at sign, ``TRAIN_ROWS`` candidates at most) base spans, rewritten in
-the generators' looser forms, are positive; other candidates and rewritten numbers
-that fail the checks are negative.  Without a positive for a kind nothing is added to it.
+the generators' looser forms (an address of four numbers as one of hexadecimal groups), are
+positive; other candidates and rewritten numbers that fail the checks (for ip also times,
+hardware addresses and names joined by "::") are negative.  Without a positive for a kind nothing is added to it.
 
 Offsets are code points, end exclusive.  Edge cases: null and empty texts have no
 spans; repeated rows get the same result each; null ids are kept; an empty table gives
@@ -44,7 +45,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Generators of loose forms.
 LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}){1,8}", re.I)
-LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])")
+LOOSE_IP = re.compile(r"(?<![0-9A-Za-z])(?<![0-9A-Fa-f:]:)(?:[0-9A-Fa-f]{1,4})?(?:::?[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?!:?[0-9A-Za-z])")
 LOOSE_CARD = re.compile(r"(?<![0-9])[0-9](?:[ ./-]{0,2}[0-9]){12,18}(?![0-9])")
 LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ ./-]{0,2}[0-9]{2,4}(?:[ ./-]{1,2}[0-9]{2,5}){1,3}(?![0-9])")
 LOOSE_ZONE = re.compile(r"[0-9(][0-9 ./()-]{6,}")
@@ -62,6 +63,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def ipv6(span: str) -> bool:
+    """Whether groups of hexadecimal digits form an address of version 6."""
+    head, gap, tail = span.partition("::")
+    groups = [g for part in (head, tail) if part for g in part.split(":")]
+    return all(0 < len(g) < 5 for g in groups) and (0 < len(groups) < 8 if gap else len(groups) == 8)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -107,7 +115,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
                 if m.start() < mark.start() < m.end():
                     out.append((0, *m.span()))
     if "::" in text or re.search(r":[0-9A-Fa-f]{1,4}:", text):
-        out += [(1, *m.span()) for m in LOOSE_IP.finditer(text)]
+        out += [(1, *m.span()) for m in LOOSE_IP.finditer(text) if m[0].count(":") > 1]
     for zone in LOOSE_ZONE.finditer(text):
         for kind, pattern in ((2, LOOSE_CARD), (3, LOOSE_PHONE)):
             out += [(kind, *m.span()) for m in pattern.finditer(text, *zone.span())]
@@ -121,7 +129,7 @@ def features(text: str, kind: int, start: int, end: int, before: str | None = No
     groups = [len(x) for x in re.findall(r"[0-9]+", span)] or [0]
     digits = sum(groups)
     return [kind, len(span), digits, len(groups), min(groups), max(groups), groups[0], groups[-1], span.count(" "), span.count("."), span.count("-") + span.count("/"), span.count("("), span.count(":"),
-            sum(c.isalpha() for c in span), float("@" in span), float(bool(re.search(r"[(\[{](at|dot)[)\]}]", span, re.I))), len(re.split(r"[ .)\]}]+", span)[-1]), float(kind == 2 and luhn(_digits(span))),
+            sum(c.isalpha() for c in span), float("@" in span), float(bool(re.search(r"[(\[{](at|dot)[)\]}]", span, re.I))), len(re.split(r"[ .)\]}]+", span)[-1]), float(kind == 2 and luhn(_digits(span)) or kind == 1 and ipv6(span)),
             float(before[-1:].isalnum()), float(text[end:end + 1].isalnum()), *(float(bool(c.search(before))) for c in CONTEXT)]
 
 
@@ -129,8 +137,8 @@ def training_rows(text: str) -> list[tuple[list[float], int]]:
     """Features and label of a text's candidates, base spans rewritten in loose forms."""
     base, rows = base_spans(text), []
     taken = [(a, b) for _, a, b in base]
-    for kind, a, b in base:
-        span, before = text[a:b], text[max(0, a - 30):a]
+    for kind, start, end in base:
+        span, before = text[start:end], text[max(0, start - 30):start]
         if kind == 0:
             local, _, domain = span.partition("@")
             loose = [f"{local} @ {domain}", f"{local}[at]{domain}", f"{local} (at) {domain.replace('.', ' (dot) ')}"]
@@ -146,10 +154,13 @@ def training_rows(text: str) -> list[tuple[list[float], int]]:
             loose = [local, f"({d[:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[:-7]}.{d[-7:-4]}.{d[-4:]}"]
             wrong = [f"{d[:2]} {d[2:4]} {d[4:6]}", f"{d[:4]}-{d[4:6]}-{d[6:8]}", f"{d[:2]}.{d[2:4]}.{d[4:8]}"]
         else:
-            d = _digits(span)
-            loose, wrong = [], [f"{d[:2]}:{d[2:4]}:{d[4:6]}:00"]
+            a, b, c, d = (int(x.lstrip("0") or 0) for x in span.split("."))
+            g = [f"{x:x}" for x in (0x2001, a << 8 | b, c << 8 | d, a << 8 | c, b << 8 | d, a, b, d + 1)]
+            loose = [":".join(g), ":".join(x.zfill(4) for x in g), f"{g[0]}:{g[1]}::{g[2]}:{g[7]}", f"{g[0]}:{g[1]}::{g[7]}", f"fe80::{g[3]}:{g[4]}:{g[2]}:{g[1]}", f"fe80::{g[7]}"]
+            names = ["".join("abcdef"[x % 6] for x in y) for y in ((a, b), (c, d, a))]
+            wrong = [f"{a % 24:02}:{b % 60:02}:{c % 60:02}", f"{a % 24:02}:{b % 60:02}:{c % 60:02}:{d % 60:02}", ":".join(f"{x:02x}" for x in (a, b, c, d, b, a)), ":".join(g[:5]), f"{g[0]}::{g[1]}::{g[7]}", "::".join(names)]
         rows += [(features(x, kind, 0, len(x), before), 1) for x in loose] + [(features(x, kind, 0, len(x), before), 0) for x in wrong]
-    rows += [(features(text, *c), 0) for c in candidates(text) if not any(a < c[2] and c[1] < b for a, b in taken)]
+    rows += [(features(text, *c), 0) for c in candidates(text) if not any(a < c[2] and c[1] < b for a, b in taken) and not (c[0] == 1 and ipv6(text[c[1]:c[2]]))]
     return rows
 
 

@@ -59,6 +59,18 @@ def test_model_adds_loose_forms_and_leaves_clean_texts_alone(docs_of):
     assert rows[9003].spans == "" and rows[9004].spans == ""
 
 
+def test_colon_separated_addresses_are_added_and_redacted(docs_of):
+    addresses = ["2001:db8:85a3:0:0:8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "2001:db8::5", "2001:0db8:0000:0042:0000:8a2e:0370:7334"]
+    others = ["12:34:56", "00:1b:44:11:3a:b7", "2001:db8:1:2:3", "12:34:56:78", "a1:b2:c3:d4:e5:f6:a7:b8:c9:d0:e1:f2", "std::add(1)"]
+    probe = [(9000 + i, f"host {x}: some words") for i, x in enumerate(addresses)] + [(9100 + i, f"host {x}, some words") for i, x in enumerate(others)]
+    docs = docs_of(personal(600) + probe)
+    rows = {r.doc_id: r.spans for r in pii.digests(pii.find_pii(docs)).collect()}
+    assert [rows[9000 + i] for i in range(len(addresses))] == [f"ip:5:{5 + len(x)}" for x in addresses]
+    assert [rows[9100 + i] for i in range(len(others))] == [""] * len(others)
+    texts = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert all(texts[9000 + i] == "host [IP]: some words" for i in range(len(addresses)))
+
+
 def test_pii_of_awkward_rows_and_redaction(docs_of, awkward):
     docs = docs_of([*awkward, (20, "mail a@b.de or 1.2.3.4!")], extra=True)
     found = pii.find_pii(docs)
