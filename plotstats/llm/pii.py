@@ -8,11 +8,15 @@ each candidate by its format and its context, and a threshold for each kind, cal
 on rows not used for fitting, selects; of overlapping candidates the likelier stays, and
 none overlaps a base span.
 
-Training needs no labels by hand.  On a bounded sample (``SAMPLE_DOCS`` documents with a digit
-or an at sign, ``TRAIN_ROWS`` candidates at most) base spans, rewritten in
+Training needs no labels by hand.  On a bounded sample (for each kind ``SAMPLE_DOCS`` documents
+with a base span of it, and as many with a digit or an at sign; of either label
+``TRAIN_ROWS`` by twice the number of kinds for each kind) base spans, rewritten in
 the generators' looser forms (an address of four numbers as one of hexadecimal groups), are
-positive; other candidates and rewritten numbers that fail the checks (for ip also times,
-hardware addresses and names joined by "::") are negative.  Without a positive for a kind nothing is added to it.
+positive.  Rewritten numbers that fail the checks and candidates that are known to be something else
+(``ordinary``: failed checks, dates, years, versions, times, hardware addresses, names
+joined by "::", ends of sentences) are negative.  Any other candidate may well be personal
+data written loosely, so it has no label.  Without five positives among the rows held back
+(a quarter) nothing is added of a kind.
 
 Offsets are code points, end exclusive.  Edge cases: null and empty texts have no
 spans; repeated rows get the same result each; null ids are kept; an empty table gives
@@ -29,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .boosting import BoostedTrees
-from .common import bounded_sample, in_arrow, slices, text_column, with_fields
+from .common import in_arrow, slices, text_column, with_fields
+from .components import dropped, saved
 
 SAMPLE_DOCS = 4000
 TRAIN_ROWS = 40_000
@@ -49,6 +54,13 @@ LOOSE_IP = re.compile(r"(?<![0-9A-Za-z])(?<![0-9A-Fa-f:]:)(?:[0-9A-Fa-f]{1,4})?(
 LOOSE_CARD = re.compile(r"(?<![0-9])[0-9](?:[ ./-]{0,2}[0-9]){12,18}(?![0-9])")
 LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ ./-]{0,2}[0-9]{2,4}(?:[ ./-]{1,2}[0-9]{2,5}){1,3}(?![0-9])")
 LOOSE_ZONE = re.compile(r"[0-9(][0-9 ./()-]{6,}")
+#: Known forms of something else, and what such forms lack: a name of a domain, an issuer of short card numbers.
+TOP_LEVEL = re.compile(r"[A-Za-z][A-Za-z0-9-]+\Z")
+SENTENCE = re.compile(r"[A-Za-z0-9]\. ")
+ISSUER = re.compile(r"4[0-9]{12}|3[068][0-9]{12}|3[47][0-9]{13}")
+DATE = re.compile(r"(?:1[5-9]|20)[0-9]{2}([ ./-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])(?![0-9])|(?:0?[1-9]|[12][0-9]|3[01])([ ./-])(?:0?[1-9]|[12][0-9]|3[01])\2(?:1[5-9]|20)[0-9]{2}(?![0-9])")
+#: A version of four numbers, or a list of decimal fractions.
+NUMBERS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]+\.[0-9]+(?: [0-9]+\.[0-9]+)+")
 CONTEXT = (re.compile(r"mail|contact|write", re.I), re.compile(r"host|addr|server|\bip\b", re.I), re.compile(r"card|visa|pay|credit", re.I),
            re.compile(r"tel|phone|call|fax|mobil", re.I), re.compile(r"order|invoice|\bid\b|version|page|[#$%&|=_]", re.I))
 
@@ -133,6 +145,21 @@ def features(text: str, kind: int, start: int, end: int, before: str | None = No
             float(before[-1:].isalnum()), float(text[end:end + 1].isalnum()), *(float(bool(c.search(before))) for c in CONTEXT)]
 
 
+def ordinary(text: str, kind: int, start: int, end: int) -> bool:
+    """Whether a candidate fails the check of its kind or has a known form of something else."""
+    span = text[start:end]
+    digits = _digits(span)
+    if kind == 0:
+        return not TOP_LEVEL.search(span) or bool(SENTENCE.search(span))
+    if kind == 1:
+        return not ipv6(span) or not digits
+    if kind == 2:
+        return not luhn(digits) or len(set(digits)) == 1 or (len(digits) < 16 and not ISSUER.fullmatch(digits))
+    groups = re.findall(r"[0-9]+", span)
+    return (len(digits) < 7 or all(len(g) == 4 and 1500 <= int(g) < 2100 for g in groups) or bool(DATE.match(span)) or bool(NUMBERS.fullmatch(span))
+            or text[start - 1:start] in tuple("$€£#") or text[end:end + 1] in tuple("$€£%"))
+
+
 def training_rows(text: str) -> list[tuple[list[float], int]]:
     """Features and label of a text's candidates, base spans rewritten in loose forms."""
     base, rows = base_spans(text), []
@@ -142,7 +169,8 @@ def training_rows(text: str) -> list[tuple[list[float], int]]:
         if kind == 0:
             local, _, domain = span.partition("@")
             loose = [f"{local} @ {domain}", f"{local}[at]{domain}", f"{local} (at) {domain.replace('.', ' (dot) ')}"]
-            wrong = [f"{local} @ {domain.split('.')[0]} . "]
+            first = domain.split(".")[0]
+            wrong = [f"{local} @ {first} . ", f"{local} @ {first}. The", f"{local} @ 5.30"]
         elif kind == 2:
             d = _digits(span)
             loose = [d, ".".join(d[i:i + 4] for i in range(0, len(d), 4)), "  ".join(d[i:i + 4] for i in range(0, len(d), 4))]
@@ -152,7 +180,8 @@ def training_rows(text: str) -> list[tuple[list[float], int]]:
             d = _digits(span)[-10:]
             local = span.split(" ", 1)[-1].lstrip("+") if " " in span else f"{d[:-7]} {d[-7:-4]} {d[-4:]}"
             loose = [local, f"({d[:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[:-7]}.{d[-7:-4]}.{d[-4:]}"]
-            wrong = [f"{d[:2]} {d[2:4]} {d[4:6]}", f"{d[:4]}-{d[4:6]}-{d[6:8]}", f"{d[:2]}.{d[2:4]}.{d[4:8]}"]
+            year, month, day = 1950 + int(d[-2:]) % 80, 1 + int(d[-3]) % 12, 1 + int(d[-5:-3]) % 28
+            wrong = [f"{d[:2]} {d[2:4]} {d[4:6]}", f"{d[:4]}-{d[4:6]}-{d[6:8]}", f"{d[:2]}.{d[2:4]}.{d[4:8]}", f"{year}-{month:02}-{day:02}", f"{day:02}/{month:02}/{year}", f"{year} {year + 1} {year + 2}"]
         else:
             a, b, c, d = (int(x.lstrip("0") or 0) for x in span.split("."))
             g = [f"{x:x}" for x in (0x2001, a << 8 | b, c << 8 | d, a << 8 | c, b << 8 | d, a, b, d + 1)]
@@ -160,7 +189,7 @@ def training_rows(text: str) -> list[tuple[list[float], int]]:
             names = ["".join("abcdef"[x % 6] for x in y) for y in ((a, b), (c, d, a))]
             wrong = [f"{a % 24:02}:{b % 60:02}:{c % 60:02}", f"{a % 24:02}:{b % 60:02}:{c % 60:02}:{d % 60:02}", ":".join(f"{x:02x}" for x in (a, b, c, d, b, a)), ":".join(g[:5]), f"{g[0]}::{g[1]}::{g[7]}", "::".join(names)]
         rows += [(features(x, kind, 0, len(x), before), 1) for x in loose] + [(features(x, kind, 0, len(x), before), 0) for x in wrong]
-    rows += [(features(text, *c), 0) for c in candidates(text) if not any(a < c[2] and c[1] < b for a, b in taken) and not (c[0] == 1 and ipv6(text[c[1]:c[2]]))]
+    rows += [(features(text, *c), 0) for c in candidates(text) if not any(a < c[2] and c[1] < b for a, b in taken) and ordinary(text, *c)]
     return rows
 
 
@@ -198,15 +227,44 @@ def fit(rows: list[tuple[list[float], int]]) -> dict | None:
 
 
 def train(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, train_rows: int = TRAIN_ROWS) -> dict | None:
-    """A model from a bounded sample of rows (doc_id, text)."""
-    sample = bounded_sample(rows.filter(F.col("text").rlike("[0-9@]")), "doc_id", sample_docs)
+    """A model from bounded samples of rows (doc_id, text), one for each kind, so that a kind
+    which is rare by share is learned from as many documents as a common one."""
+    space = 1 << 30
+    place = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(space))
+    rows = rows.filter(F.col("text").rlike("[0-9@]")).select("text", place.alias("place"))
+
+    def count(batches):
+        n = np.zeros(len(KINDS) + 1, np.int64)
+        for batch in slices(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                n[[*{k for k, _, _ in base_spans(text)}, -1]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in n.tolist()], names=[f"n{i}" for i in range(len(n))])
+
+    names = [f"n{i}" for i in range(len(KINDS) + 1)]
+    counts = in_arrow(rows, count, ", ".join(f"{c} long" for c in names)).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names)).first()
+    # a document is in the sample of a kind (or in the general one) if its place lies before the cut
+    cuts = [int(min(1, sample_docs / max(n, 1)) * space) if n else 0 for n in counts]
+    if not any(cuts[:-1]):
+        return None
 
     def run(batches):
         for batch in slices(batches, "text"):
-            got = [(i, f, y) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for f, y in training_rows(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.list_(pa.float64())), pa.array([x[2] for x in got], pa.int32())], names=["doc_id", "x", "y"])
-
-    got = in_arrow(sample, run, "doc_id long, x array<double>, y int").limit(train_rows).collect()
+            got = []
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("place").to_pylist()):
+                kinds = {k for k, _, _ in base_spans(text)}
+                # candidates of kinds without a base span here come with the general sample
+                wanted = {k for k in range(len(KINDS)) if at < (cuts[k] if k in kinds else cuts[-1])}
+                got += [(int(x[0]), at, x, y) for x, y in training_rows(text) if x[0] in wanted] if wanted else []
+            kind, at, x, y = zip(*got) if got else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["kind", "place", "x", "y"])
+
+    sampled = saved(in_arrow(rows.filter(F.col("place") < max(cuts)), run, "kind int, place long, x array<double>, y int"), "pii-rows")
+    got, bound = [], max(1, train_rows // (2 * len(KINDS)))
+    for kind in range(len(KINDS)):
+        for y in (0, 1):
+            some = sampled.filter((F.col("kind") == kind) & (F.col("y") == y))
+            got += some.orderBy(F.xxhash64("place", "x")).limit(bound).select("x", "y").collect()
+    dropped(sampled)
     return fit(sorted((list(r.x), r.y) for r in got)) if got else None
 
 

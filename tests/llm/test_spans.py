@@ -71,6 +71,31 @@ def test_colon_separated_addresses_are_added_and_redacted(docs_of):
     assert all(texts[9000 + i] == "host [IP]: some words" for i in range(len(addresses)))
 
 
+def test_loose_phones_are_found_however_many_there_are(docs_of):
+    random.seed(5)
+    rnd = lambda k: "".join(random.choice("0123456789") for _ in range(k))
+    loose = [lambda: f"({rnd(3)}) {rnd(3)}-{rnd(4)}", lambda: f"{rnd(3)}.{rnd(3)}.{rnd(4)}"]
+    docs, wanted = [], {}
+    for i in range(600):
+        x = f"+1 ({rnd(3)}) {rnd(3)}-{rnd(4)}" if i % 3 else random.choice(loose)()
+        docs.append((i, f"some words call {x} and so on"))
+        if i % 3 == 0:
+            wanted[i] = f"phone:16:{16 + len(x)}"
+    dates = [(1000 + i, f"some words of {1990 + i % 30}-0{1 + i % 9}-1{i % 10} and so on") for i in range(100)]
+    rows = {r.doc_id: r.spans for r in pii.digests(pii.find_pii(docs_of(docs + dates))).collect()}
+    assert sum(rows[i] == w for i, w in wanted.items()) >= 0.95 * len(wanted)
+    assert all(rows[i] == "" for i, _ in dates)
+
+
+def test_a_kind_rare_by_share_is_learned(docs_of):
+    phones = [(i, f"some words call +1 (988) 555-{i:04d} and so on") for i in range(2000)]
+    emails = [(5000 + i, f"some words to name.{i}@mail{i}.example.com and so on") for i in range(30)]
+    model = pii.train(docs_of(phones + emails).select("doc_id", "text"), sample_docs=200)
+    probe = "reach bob.12 [at] mail3.example.com please"
+    assert [(k, probe[a:b]) for k, a, b, _ in pii.select(probe, [], model)] == [(0, "bob.12 [at] mail3.example.com")]
+    assert [k for k, *_ in pii.select("some words call (988) 555-2485 now", [], model)] == [3]
+
+
 def test_pii_of_awkward_rows_and_redaction(docs_of, awkward):
     docs = docs_of([*awkward, (20, "mail a@b.de or 1.2.3.4!")], extra=True)
     found = pii.find_pii(docs)
