@@ -35,7 +35,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import in_arrow, mix, shingles, slices, text_bytes, text_column, words
 from .components import components, dropped, saved
@@ -213,8 +213,9 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
 
     # cells: documents joined by keys that meet
     keyed = sketch.filter("keys is not null").select(F.explode("keys").alias("key"), "v")
-    leader = F.first("v").over(Window.partitionBy("key").orderBy("v"))
-    meets = keyed.select(leader.alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+    # the least row of a key is aggregated and joined back, so no task has to hold a key's rows together
+    leaders = keyed.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("last")).filter("a < last").select("key", "a")
+    meets = keyed.join(leaders, "key").select("a", F.col("v").alias("b")).filter("a <> b").distinct()
     cells = components(spark, meets)
     members = cells.join(sketch.select("v", "set_id", "n", "doc_id", "text_hash"), "v").select("set_id", F.col("root").alias("cell"), "n", "doc_id", "text_hash", "v")
     members = members.join(sets.select("set_id", F.col("rep").alias("v")), ["set_id", "v"])

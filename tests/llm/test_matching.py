@@ -183,3 +183,12 @@ def test_every_long_shared_span_is_found(spark, docs_of):
     docs = [(i, " ".join([f"r{random.randint(0, 99)}" for _ in range(i)] + [item] + [f"r{random.randint(0, 99)}" for _ in range(30 - i)])) for i in range(30)]
     table = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert all(r.n_hit >= 10 for r in decontamination.decontaminate(docs_of(docs), table).collect())
+
+
+def test_leaders_of_keys_are_joined_without_a_window(docs_of, monkeypatch):
+    plans, real = [], nj.components
+    monkeypatch.setattr(nj, "components", lambda spark, edges: (plans.append(edges._jdf.queryExecution().executedPlan().toString()), real(spark, edges))[1])
+    pairs = near_copies(21, 80)
+    got = nj.jaccard_classes(docs_of(pairs)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_classes(pairs, 3, 9, 10))
+    assert plans and not any("Window" in p for p in plans)
