@@ -36,19 +36,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates (five words, Jaccard 0.8); of rows that
     repeat both id and text, one."""
-    classes = saved(ngram_join.jaccard_classes(docs, 5, 4, 5).select("doc_id", "text_hash", (F.col("v") == F.col("component_v")).alias("stays")), "pipeline-classes")
-    keys = classes.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    classes = saved(ngram_join.jaccard_classes(docs, 5, 4, 5).select("doc_id", "text_hash", "n_shingles", (F.col("v") == F.col("component_v")).alias("stays")), "pipeline-classes")
+    keys = classes.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
     kept = _without(docs, keys.filter("not stays"))
-    repeated = keys.filter("stays and n > 1")
+    # texts without words link with nothing, so their repetitions stay
+    repeated = keys.filter("stays and n > 1 and n_shingles > 0")
     if repeated.isEmpty():
         return kept
     single = _without(kept, repeated)
     again = kept.withColumn("__text_hash", F.xxhash64(text_column(kept))).alias("d").join(
         repeated.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__text_hash") == F.col("k.text_hash")), "left_semi")
-    # empty texts link with nothing, so their repetitions stay
-    blank = F.trim(text_column(again)) == ""
-    once = again.filter(~blank).dropDuplicates(["doc_id", "__text_hash"])
-    return single.unionByName(once.unionByName(again.filter(blank)).drop("__text_hash"))
+    return single.unionByName(again.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

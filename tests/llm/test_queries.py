@@ -70,3 +70,9 @@ def test_pipeline_of_awkward_rows(spark, docs_of, awkward):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [x for x in awkward if x[0] != 1] + [awkward[0]]))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs_of([]), SF).count() == 0
+
+
+def test_repetitions_of_texts_without_words_stay(spark, docs_of):
+    pairs = [(1, "\t\n"), (1, "\t\n"), (2, "  "), (2, "  "), (3, None), (3, None), (4, "one text of a few words"), (4, "one text of a few words")]
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(pairs), SF).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(map(str, pairs[:-1]))
