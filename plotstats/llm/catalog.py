@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotstats.plans.session import scratch_path
 
-from . import decontamination, language_id, ngram_join, pii, quality_model, quality_rules, sampled_pieces, secret_scan, token_files, warc
+from . import (byte_repeats, decontamination, language_id, merkle_manifest, ngram_join, periodic_runs, pii, quality_model, quality_rules,
+               sampled_pieces, secret_scan, token_files, warc)
 from .common import table
 
 
@@ -70,5 +71,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path).select("doc_id", F.col("start"), "n_tokens", "ids_crc32")
 
 
+def op11_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle_manifest.without_newlines(F.col("doc_id"), F.col("text"))
+    found = merkle_manifest.manifest(merkle_manifest.document_leaves(docs, tampered))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), reorder=periodic_runs.planted_period)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_sampled_pieces, op2_language_id, op3_quality_model, op4_warc, op5_pii, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_token_files)}
+    op1_sampled_pieces, op2_language_id, op3_quality_model, op4_warc, op5_pii, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_token_files,
+    op11_byte_repeats, op12_merkle_manifest, op13_periodic_runs)}

@@ -140,3 +140,122 @@ FROM b
 
 
 ORACLE_SQL["op9_quality_rules"] = _rules_sql()
+
+
+ORACLE_SQL["op11_byte_repeats"] = """
+WITH d AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT))) AS p FROM d)
+), r AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS i FROM w) WHERE i > 1
+), s AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+  FROM (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY p) AS run
+        FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS gap FROM r)) GROUP BY doc_id, run
+), k AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS past FROM s
+), j AS (
+  SELECT d.doc_id, string_agg(substr(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept,
+         sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM d JOIN k USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
+#: crc32 of the decimal digits of an id, a byte (>= 0) or a shift (-1) at a time
+CRC32 = ("xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+         "lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), "
+         "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)")
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """Levels name_0 .. of the trees of ``leaves`` (grp, i, node, again): each node with its siblings and its number."""
+    out = [f"{name}_0 AS (SELECT grp, i, node FROM {leaves})"]
+    for k in range(levels):
+        # a tree of one node is done and keeps it
+        out.append(f"{name}_{k + 1} AS (SELECT grp, i, CASE WHEN whole = 1 THEN node ELSE sha256(node) END AS node FROM ("
+                   f"SELECT grp, i // 3 AS i, string_agg(node, '' ORDER BY i) AS node, any_value(whole) AS whole FROM "
+                   f"(SELECT *, count(*) OVER (PARTITION BY grp) AS whole FROM {name}_{k}) GROUP BY grp, i // 3))")
+    return ", ".join(out)
+
+
+def _fold_sql(name: str, start: str, levels: int) -> str:
+    """Rows of ``start`` (key, grp, i, again, steps) folded through the levels of tree ``name``."""
+    out, last = [], start
+    for k in range(levels):
+        side = f"""
+  SELECT f.key, any_value(f.grp) AS grp, any_value(f.i) // 3 AS i,
+         CASE WHEN any_value(whole) = 1 THEN any_value(f.again) ELSE sha256(string_agg(CASE WHEN n.i = f.i THEN f.again ELSE n.node END, '' ORDER BY n.i)) END AS again,
+         any_value(f.steps) || CASE WHEN any_value(whole) = 1 THEN '' ELSE coalesce(string_agg(n.node, '' ORDER BY n.i) FILTER (n.i <> f.i), '') END AS steps
+  FROM {last} f JOIN (SELECT *, count(*) OVER (PARTITION BY grp) AS whole FROM {name}_{k}) n ON n.grp IS NOT DISTINCT FROM f.grp AND n.i // 3 = f.i // 3 GROUP BY f.key"""
+        out.append(f"{start}_{k + 1} AS ({side}\n)")
+        last = f"{start}_{k + 1}"
+    return ", ".join(out)
+
+
+#: levels of the trees in SQL: 3 ** 12 rows of a group
+DEPTH = 12
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _merkle_sql() -> str:
+    head = " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS key, doc_id, source, sha256({head} || {_field_sql('text')}) AS leaf,
+         sha256({head} || {_field_sql(f"CASE WHEN {CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS again FROM documents
+), l AS (
+  SELECT *, source AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, key) - 1 AS i, leaf AS node FROM d
+), {_tree_sql('t', 'l', DEPTH)}, u AS (
+  SELECT 0 AS grp, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS i, grp AS source, node FROM t_{DEPTH}
+), {_tree_sql('v', 'u', DEPTH)}, s AS (
+  SELECT key, grp, i, again, '' AS steps FROM l
+), {_fold_sql('t', 's', DEPTH)}, x AS (
+  SELECT f.key, u.grp, u.i, f.again, f.steps FROM s_{DEPTH} f JOIN u ON u.source IS NOT DISTINCT FROM f.grp
+), {_fold_sql('v', 'x', DEPTH)}
+SELECT doc_id, leaf, u.node AS subroot, v.node AS root, sha256(steps) AS proof_sha256, f.again AS folded_root, f.again = v.node AS verified
+FROM l JOIN x_{DEPTH} f USING (key) JOIN u ON u.source IS NOT DISTINCT FROM l.source JOIN v_{DEPTH} v ON true
+"""
+
+
+ORACLE_SQL["op12_merkle_manifest"] = _merkle_sql()
+
+ORACLE_SQL["op13_periodic_runs"] = rf"""
+WITH d AS (
+  SELECT doc_id, {CRC32} AS h, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents
+), a AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d
+), p AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a
+), t AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) END AS w FROM p
+), x AS (
+  SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM t
+), e AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM x JOIN x y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+), g AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), r AS (
+  SELECT doc_id, start, length, min(q) AS period FROM g GROUP BY ALL
+), b AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY 1
+), z AS (
+  SELECT a.* FROM r a WHERE NOT EXISTS (
+    SELECT 1 FROM r c WHERE c.doc_id = a.doc_id AND (c.length * a.period > a.length * c.period OR c.length * a.period = a.length * c.period AND (c.start < a.start OR c.start = a.start AND c.period < a.period)))
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY 1
+)
+SELECT t.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, z.start, CAST(z.length AS BIGINT) AS length, z.period, CAST(1000 * z.length // z.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
