@@ -15,8 +15,9 @@ start).  Texts are UTF-8 bytes; strings never cross texts and are judged on the
    anchor, the class of its left and of its right part; windows equal in both are
    equal, and all but the earliest are repeats.
 4. *Hot anchors*, met more than HOT times (the rim of a passage that a large share of all texts hold), never
-   form a group: their windows' 128-bit hashes are aggregated to the earliest and joined back, which
-   Spark combines and splits.  Nothing is dropped or capped.
+   form a group: their windows are dealt out one by one, by the hash of all their bytes, and read in the order of their
+   bytes and places, so the first of equal ones is known without holding them.  A batch sends equal windows
+   once.  Nothing is dropped or capped.
 5. *Removal.*  A text's repeats are merged and joined to it by id and text hash.
 
 Broadcasts are counted in bytes first (BROADCAST_BYTES), otherwise joined by shuffle.
@@ -43,31 +44,37 @@ SHALLOW, WORD = 16, 8
 HOT = 1024
 BLOCK = 20_000
 PART = 2 << 20  # windows of a text that are handled at once
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 NULL_ID = -(1 << 63)
 
-_SEEDS = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
-_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-
-
-def gram_hashes(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """64-bit hash of the ``length`` bytes from each place on, by doubling."""
-    base = _BASES[which]
-    power = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEEDS[which]))[data]
-    out, got, size = None, 0, 1
-    while True:
-        if length & size:
-            if out is None:
-                out, got = power, size
-            else:  # hash(a + b) = hash(a) * base ** len(b) + hash(b)
-                m = min(len(out), max(0, len(power) - got))
-                out = out[:m] * np.uint64(pow(base, size, 1 << 64)) + power[got:got + m]
+_SEED, _BASE = 0x9FB21C651E98DF25, 0xD1342543DE82EF95
+
+
+class Grams:
+    """64-bit hashes of the bytes from any place on: stretches of 1, 2, 4, ... bytes by doubling, others put together
+    from those (hash(a + b) = hash(a) * base ** len(b) + hash(b))."""
+
+    def __init__(self, data: np.ndarray, longest: int):
+        power = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEED))[data]
+        self.levels = [power]
+        while (size := 1 << len(self.levels)) <= longest:
+            m = max(0, len(power) - size // 2)
+            power = power[:m] * np.uint64(pow(_BASE, size // 2, 1 << 64)) + power[size // 2:]
+            self.levels.append(power)
+
+    def at(self, places: np.ndarray | slice, length: int) -> np.ndarray:
+        """The hash of ``length`` bytes from each place; a slice is read as all places with room."""
+        out, got = None, 0
+        for k in range(length.bit_length() - 1, -1, -1):
+            size = 1 << k
+            if length & size:
+                if isinstance(places, slice):
+                    part = self.levels[k][got:max(got, len(self.levels[0]) - length + 1 + got)]
+                else:
+                    part = self.levels[k][places + got]
+                out = part if out is None else out * np.uint64(pow(_BASE, size, 1 << 64)) + part
                 got += size
-        if size * 2 > length:
-            return mix(out)
-        m = max(0, len(power) - size)
-        power = power[:m] * np.uint64(pow(base, size, 1 << 64)) + power[size:]
-        size *= 2
+        return mix(out)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,32 +90,30 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, k: int, identity: bool) -> dict[str, np.ndarray]:
     windows = len(data) - length + 1
-    names = ("row", "start", "n", "before", "key", *(("h1", "h2") if identity else ()))
     if windows <= 0:
-        return {c: np.empty(0, np.uint64 if c in ("key", "h1", "h2") else np.int64) for c in names}
+        return {c: np.empty(0, np.uint64 if c in ("key", "all") else np.int64) for c in ("row", "start", "n", "before", "key", *(["all"] * identity))}
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:windows]
-    key = gram_hashes(data, k)
+    grams = Grams(data, length if identity else k)
+    key = grams.at(slice(None), k)
     bits = np.uint64((1 << int(len(data)).bit_length()) - 1)
     least = sliding_min((key & ~bits) | np.arange(len(key), dtype=np.uint64), length - k + 1)
     at = np.flatnonzero(np.arange(windows) + length <= offsets[1:][row])
     anchor = (least[at] & bits).astype(np.int64)
     new = np.ones(len(at), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
     start, anchor = at[first], anchor[first]
     out = {"row": row[start], "start": start - offsets[row[start]], "n": n, "before": anchor - start, "key": key[anchor]}
     if identity:  # the first and the last window together cover all bytes
         shape = mix((n * length + out["before"]).astype(np.uint64))
-        for which in (0, 1):
-            g = gram_hashes(data, length, which)
-            out[f"h{which + 1}"] = mix(g[start] ^ shape) + g[start + n - 1]
+        out["all"] = mix(grams.at(start, length) ^ shape) + grams.at(start + n - 1, length)
     return out
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, k: int, identity: bool = False) -> dict[str, np.ndarray]:
     """The stretches of all rows in order: row, start of the first window, n windows, bytes ``before`` the anchor
-    from there, key (hash of the anchor), on demand h1 and h2 (hash of the bytes).  Long rows in parts of PART windows."""
+    from there, key (hash of the anchor), on demand all (hash of the stretch).  Long rows in parts of PART windows."""
     if len(offsets) != 2 or len(data) < PART + length:
         return _stretches(data, offsets, length, k, identity)
     parts = []
@@ -116,9 +121,33 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, k: int, identi
         piece = data[at:at + PART + length - 1]
         parts.append(_stretches(piece, np.array([0, len(piece)]), length, k, identity))
         parts[-1]["start"] += at
+        parts[-1]["row"][:] = 0
     return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a and from b are equal, pair by pair."""
+    if not len(a):
+        return np.empty(0, bool)
+    first = np.cumsum(n) - n
+    step = np.arange(int(n.sum())) - np.repeat(first, n)
+    return np.logical_and.reduceat(data[np.repeat(a, n) + step] == data[np.repeat(b, n) + step], first)
+
+
+def settled(data: np.ndarray, place: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Which of a batch's strings (``place`` and ``size`` in data; equal ones have equal ``alike``) are also found earlier
+    in the batch.  Bytes are compared, so a shared hash alone settles nothing."""
+    order = np.lexsort((start, doc, alike))
+    new = np.ones(len(order), bool)
+    new[1:] = alike[order[1:]] != alike[order[:-1]]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    later = np.flatnonzero(((doc[order] != doc[first]) | (start[order] != start[first])) & (size[order] == size[first]))
+    later = later[same_bytes(data, place[order[later]], place[first[later]], size[order[later]])]
+    out = np.zeros(len(order), bool)
+    out[order[later]] = True
+    return out
+
+
 def pack(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return starts.astype(np.int64) << 32 | ends.astype(np.int64)
 
@@ -245,14 +274,10 @@ def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
             data, offsets = text_bytes(batch.column("text"))
             s = stretches(data, offsets, length, k, identity=True)
             doc = batch.column("doc").to_numpy(zero_copy_only=False)[s["row"]]
-            order = np.lexsort((s["start"], doc, s["h2"], s["h1"]))
-            new = np.ones(len(order), bool)
-            new[1:] = (s["h1"][order[1:]] != s["h1"][order[:-1]]) | (s["h2"][order[1:]] != s["h2"][order[:-1]])
-            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-            later = np.zeros(len(order), bool)
-            later[order] = (doc[order] != doc[first]) | (s["start"][order] != s["start"][first])
-            spans = pack(s["start"], s["start"] + s["n"] - 1 + length)
-            number = np.arange(len(order)) - np.searchsorted(s["row"], s["row"])
+            size = s["n"] - 1 + length
+            later = settled(data, offsets[s["row"]] + s["start"], size, doc, s["start"], s["all"])
+            spans = pack(s["start"], s["start"] + size)
+            number = np.arange(len(size)) - np.searchsorted(s["row"], s["row"])
             n = batch.num_rows
             local = [merged(x) for x in np.split(spans[later], np.searchsorted(s["row"][later], np.arange(1, n)))]
             yield pa.RecordBatch.from_arrays(
@@ -263,39 +288,67 @@ def _anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
     return in_arrow(rows, run, "doc long, hash long, local array<long>, keys array<long>, numbers array<int>")
 
 
-def _flagged(batch: pa.RecordBatch, column: str, length: int, k: int):
-    """(data, offsets, stretches, those of each row's listed numbers)."""
-    data, offsets = text_bytes(batch.column("text"))
-    s = stretches(data, offsets, length, k)
-    first = np.searchsorted(s["row"], np.arange(batch.num_rows))
-    lists = batch.column(column)
-    row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-    return data, offsets, s, first[row] + lists.flatten().to_numpy()
+STRETCH, WINDOW, SETTLED = 0, 1, 2
+SENT = ["kind", "key", "doc", "hash", "start", "n", "before", "raw"]
+SENT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _send(marked: DataFrame, length: int, k: int) -> DataFrame:
-    """The stretches that meet others, with their bytes."""
-    def run(batches):
-        for batch in slices(batches, "text"):
-            data, offsets, s, at = _flagged(batch, "cold", length, k)
-            row = s["row"][at]
-            low = offsets[row] + s["start"][at]
-            raw = [data[a:b].tobytes() for a, b in zip(low.tolist(), (low + s["n"][at] - 1 + length).tolist())]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s["key"][at].view(np.int64)), batch.column("doc").take(take), batch.column("hash").take(take), pa.array(s["start"][at]),
-                 pa.array(s["n"][at].astype(np.int32)), pa.array(s["before"][at].astype(np.int32)), pa.array(raw, pa.binary())], names=["key", "doc", "hash", "start", "n", "before", "raw"])
-
-    return in_arrow(marked, run, "key long, doc long, hash long, start long, n int, before int, raw binary")
+    """What meets others, with its bytes: STRETCH by anchor; at hot anchors each WINDOW by the hash of its bytes, unless an earlier
+    one in the batch settles it (SETTLED: raw holds packed spans)."""
+    def batch_of(kind: int, batch: pa.RecordBatch, key, row, start, n, before, raw) -> pa.RecordBatch:
+        take, size = pa.array(row), len(row)
+        columns = [np.full(size, kind), key, batch.column("doc").take(take), batch.column("hash").take(take), start, n, before, raw]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, SENT_TYPES)], names=SENT)
 
+    def bytes_at(data, low, size):
+        return [data[a:b].tobytes() for a, b in zip(low.tolist(), (low + size).tolist())]
 
-def _sorted_groups(sent: DataFrame, length: int, k: int) -> DataFrame:
-    """doc, hash, spans of the repeats found by sorting each anchor's group."""
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        group, doc, text, start = (table[c].to_numpy() for c in ("key", "doc", "hash", "start"))
-        n, before = (table[c].to_numpy().astype(np.int64) for c in ("n", "before"))
-        row, spans = group_repeats(group, doc, start, n, before, table["raw"].to_pylist(), length, k)
+    def run(batches):
+        for batch in slices(batches, "text"):
+            data, offsets = text_bytes(batch.column("text"))
+            s = stretches(data, offsets, length, k)
+            first = np.searchsorted(s["row"], np.arange(batch.num_rows))
+
+            def listed(column: str) -> np.ndarray:
+                lists = batch.column(column)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                return first[row] + lists.flatten().to_numpy(zero_copy_only=False)
+
+            at = listed("cold")
+            row, start, n = s["row"][at], s["start"][at], s["n"][at]
+            yield batch_of(STRETCH, batch, s["key"][at].view(np.int64), row, start, n, s["before"][at], bytes_at(data, offsets[row] + start, n - 1 + length))
+            at = listed("hot")
+            if not len(at):
+                continue
+            n = s["n"][at]
+            row = np.repeat(s["row"][at], n)
+            start = np.repeat(s["start"][at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place, doc = offsets[row] + start, batch.column("doc").to_numpy(zero_copy_only=False)[row]
+            alike = np.concatenate([g.at(p, length) for g, p in _parts(data, place, length)])
+            later = settled(data, place, np.full(len(place), length), doc, start, alike)
+            on = np.flatnonzero(~later)
+            one = np.ones(len(on), np.int64)
+            yield batch_of(WINDOW, batch, alike[on].view(np.int64), row[on], start[on], one, 0 * one, bytes_at(data, place[on], length * one))
+            spans, head = pack(start, start + length)[later], np.unique(row[later])
+            lists = np.split(spans, np.searchsorted(row[later], head[1:])) if len(head) else []
+            none = 0 * head
+            yield batch_of(SETTLED, batch, batch.column("hash").to_numpy(zero_copy_only=False)[head], head, none, none, none, [merged(x).tobytes() for x in lists])
+
+    return in_arrow(marked, run, "kind int, key long, doc long, hash long, start long, n int, before int, raw binary")
+
+
+def _parts(data: np.ndarray, place: np.ndarray, length: int):
+    """(hashes of a part of the data, the ascending places in it), for places in all of it."""
+    for low in range(0, len(data), PART):
+        inside = place[np.searchsorted(place, low):np.searchsorted(place, low + PART)]
+        if len(inside):
+            yield Grams(data[low:low + PART + length - 1], length), inside - low
+
+
+def _met(sent: DataFrame, length: int, k: int) -> DataFrame:
+    """doc, hash, spans of the repeats: stretches by sorting each anchor's group, windows by their earliest place."""
+    def lists_of(doc, text, row, spans) -> pa.RecordBatch:
         order = np.lexsort((text[row], doc[row]))
         row, spans = row[order], spans[order]
         cut = np.flatnonzero((doc[row[1:]] != doc[row[:-1]]) | (text[row[1:]] != text[row[:-1]])) + 1
@@ -303,51 +356,57 @@ def _sorted_groups(sent: DataFrame, length: int, k: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(spans, pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(doc[row[head]]), pa.array(text[row[head]]), lists], names=["doc", "hash", "spans"])
 
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        group, doc, text, start = (table[c].to_numpy() for c in ("key", "doc", "hash", "start"))
+        n, before = (table[c].to_numpy().astype(np.int64) for c in ("n", "before"))
+        return lists_of(doc, text, *group_repeats(group, doc, start, n, before, table["raw"].to_pylist(), length, k))
+
+    def windows(batch: pa.RecordBatch, last: tuple) -> tuple[pa.RecordBatch, tuple]:
+        """Sorted by bytes, id and start: whatever follows the first of equal bytes is a repeat."""
+        raw, doc, text, start = batch.column("raw").to_pylist(), *(batch.column(c).to_numpy() for c in ("doc", "hash", "start"))
+        later = []
+        for i, own in enumerate(zip(raw, doc.tolist(), start.tolist())):
+            if own[0] != last[0]:
+                last = own
+            elif own[1:] != last[1:]:
+                later.append(i)
+        later = np.array(later, np.int64)
+        return lists_of(doc, text, later, pack(start[later], start[later] + length)), last
+
     def run(batches):
         held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on; a group holds about HOT rows at most
-            if cut and rows + cut >= BLOCK:
-                yield settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
+        rows, last = 0, (None,)
+        for whole in batches:
+            kinds = whole.column("kind").to_numpy()
+            a, b = np.searchsorted(kinds, [WINDOW, SETTLED]).tolist()
+            if batch := whole.slice(0, a) if a else None:
+                keys = batch.column("key").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on; a group holds about HOT rows at most
+                if cut and rows + cut >= BLOCK:
+                    yield settle([*held, batch.slice(0, cut)])
+                    held, rows, batch = [], 0, batch.slice(cut)
+                held.append(batch)
+                rows += batch.num_rows
+            if a < b:
+                found, last = windows(whole.slice(a, b - a), last)
+                yield found
+            if b < whole.num_rows:
+                rest = whole.slice(b)
+                spans = [np.frombuffer(x, np.int64) for x in rest.column("raw").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rest.column("doc"), rest.column("hash"), pa.array(spans, pa.list_(pa.int64()))], names=["doc", "hash", "spans"])
         if held:
-            yield settle(pa.Table.from_batches(held))
+            yield settle(held)
 
-    dealt = sent.repartition("key").sortWithinPartitions("key")
+    by_bytes = F.when(F.col("kind") == WINDOW, F.col("raw"))
+    dealt = sent.repartition("key").sortWithinPartitions("kind", "key", by_bytes, "doc", "start")
     return in_arrow(dealt, run, "doc long, hash long, spans array<long>")
 
 
-def _hot_windows(marked: DataFrame, length: int, k: int) -> DataFrame:
-    """doc, hash, spans of the repeats at hot anchors: each window's hash to its earliest place, and back."""
-    def run(batches):
-        for batch in slices(batches, "text"):
-            data, offsets, s, at = _flagged(batch, "hot", length, k)
-            n = s["n"][at]
-            row = np.repeat(s["row"][at], n)
-            start = np.repeat(s["start"][at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = offsets[row] + start
-            h = [gram_hashes(data, length, which)[place].view(np.int64) if len(place) else np.empty(0, np.int64) for which in (0, 1)]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), batch.column("doc").take(take), batch.column("hash").take(take), pa.array(start)],
-                                             names=["h1", "h2", "doc", "hash", "start"])
-
-    windows = in_arrow(marked, run, "h1 long, h2 long, doc long, hash long, start long")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last"))
-    first = first.filter("first < last").select("h1", "h2", "first")
-    later = windows.join(first, ["h1", "h2"]).filter(F.struct("doc", "start") > F.col("first"))
-    span = F.shiftleft("start", 32) + F.col("start") + length
-    return later.groupBy("doc", "hash").agg(F.collect_list(span).alias("spans"))
-
-
 def _joined(rows: DataFrame, lists: DataFrame, columns: list[str], how: str) -> DataFrame:
     """``rows`` with the lists of their id and hash: broadcast if the lists are counted small."""
-    held = lists.agg(F.sum(sum((F.size(c) for c in columns), F.lit(6)) * 8)).first()[0] or 0
+    width = {c: 4 if "int>" in lists.schema[c].dataType.simpleString() and "big" not in lists.schema[c].dataType.simpleString() else 8 for c in columns}
+    held = lists.agg(F.sum(sum((F.size(c) * w for c, w in width.items()), F.lit(64)))).first()[0] or 0
     return rows.join(F.broadcast(lists) if held <= BROADCAST_BYTES else lists, ["doc", "hash"], how)
 
 
@@ -374,13 +433,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_col: str = "
     pick = lambda hot: F.sort_array(F.collect_set(F.when(F.col("is_hot") == hot, F.col("number"))))
     flags = saved(placed.join(met, "key").groupBy("doc", "hash").agg(pick(False).alias("cold"), pick(True).alias("hot")), "repeat-flags")
     marked = _joined(texts, flags, ["cold", "hot"], "inner")
-    found = [anchors.filter(F.size("local") > 0).select("doc", "hash", F.col("local").alias("spans")),
-             _sorted_groups(_send(marked.filter(F.size("cold") > 0).drop("hot"), length, anchor), length, anchor)]
-    if not met.filter("is_hot").isEmpty():
-        found.append(_hot_windows(marked.filter(F.size("hot") > 0).drop("cold"), length, anchor))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    local = anchors.filter(F.size("local") > 0).select("doc", "hash", F.col("local").alias("spans"))
+    every = local.unionByName(_met(_send(marked, length, anchor), length, anchor))
     spans = saved(_merged_lists(every), "repeat-spans")
     dropped(anchors, met, flags)
     return rows, spans
