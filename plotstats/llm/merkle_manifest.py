@@ -5,7 +5,7 @@ ARITY, and the groups' subroots in order make the tree of the root.  All trees a
 built and proved by the same steps, so a group may hold any share of the rows and
 the groups may be any number:
 
-1. *Order.*  Rows are range partitioned by (group, id, leaf, row), so a hot group or id is
+1. *Order.*  Rows are range partitioned by (group, id, leaf as it was and as found, row), so a hot group or id is
    split.  A leaf's number in its group is its place in its leaf partition, plus the rows
    of the group in the partitions before.  Only hashes are shuffled, never texts.
 2. *Build.*  Aligned blocks of ARITY ** LEVELS nodes make the next LEVELS levels in one task
@@ -114,7 +114,7 @@ def _numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
     dealt = rows.withColumn("tie", F.monotonically_increasing_id())
-    keys = [F.col(c).asc_nulls_first() for c in ("grp", *order, "node", "tie")]
+    keys = [F.col(c).asc_nulls_first() for c in ("grp", *order, "node", "again", "tie")]
     dealt = dealt.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def places(batches):
