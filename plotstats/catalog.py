@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotstats.functions.aggregates import n_rows, standard_error
+from plotstats.functions.aggregates import n_rows
 from plotstats.functions.expr import SNAP_DIGITS, basal_area, mean_se_text, species_display_name
 from plotstats.operators import canopy, regen, sites, sizes, stand, water
 from plotstats.plans import report
 from plotstats.plans.session import remove_scratch, scratch_path
 from plotstats.sources import fixtures as fx
-from plotstats.sources import io
+from plotstats.sources import checks, io, workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,10 +117,7 @@ def q_basal_area(spark, sf):
 
 @register("standard_error")
 def q_standard_error(spark, sf):
-    return _t(spark, sf, "trees").groupBy("SY", "Site").agg(
-        F.count("DBH_cm").alias("n_dbh"),
-        standard_error("DBH_cm").alias("se_dbh"),
-        standard_error("DBH_cm", na_rm=False).alias("se_dbh_strict"))
+    return stand.diameter_error(_r(spark, sf, "trees"))
 
 
 @register("mean_basal_area")
@@ -277,7 +274,7 @@ def q_rescale_inverse(spark, sf):
 
 @register("error_bar_bounds")
 def q_error_bar_bounds(spark, sf):
-    d = q_sapling_density(spark, sf)
+    d = regen.sapling_mean_density(_t(spark, sf, "regeneration"), _t(spark, sf, "densiometer"), fx.ISLANDS)
     return regen.error_bar_bounds(d, "mean_dens", "mean_dens_SE").select(
         "SY", "Site", "Species", "ymin", "ymax")
 
@@ -360,14 +357,71 @@ def q_load_tables(spark, sf):
 def q_export_results(spark, sf):
     """The batch report: survey tables are materialised once (written to a
     fresh folder under the shared checkpoint folder and loaded back with
-    declared schemas), every result table is written by ``export_report``
-    (size frequencies one folder per Site), and the contents of every column
-    are reported from storage.  The survey tables are removed afterwards; the
-    results stay, as the returned frame reads them."""
+    declared schemas), every result table is written and published as one
+    version (size frequencies one folder per Site), and the contents of every column
+    of the version, found by its manifest, are reported from storage.  The survey tables are
+    removed afterwards; the results stay, as the returned frame reads them."""
     root = scratch_path(spark, "report")
     io.write_survey_tables(fx.survey_tables(spark, sf), f"{root}/survey")
     tables = io.load_tables(spark, f"{root}/survey")
-    written = report.export_report(spark, tables, f"{root}/results", bin_size=fx.SIZE_BIN,
-                                   island_levels=fx.ISLANDS)
+    report.publish_report(spark, tables, f"{root}/results", "fixture", bin_size=fx.SIZE_BIN, island_levels=fx.ISLANDS)
     remove_scratch(spark, f"{root}/survey")
-    return _contents(written, "result")
+    return _contents(report.read_report(spark, f"{root}/results"), "result")
+
+
+@register("row_order_on_load")
+def q_row_order_on_load(spark, sf):
+    """Coordinates written in sheet order without a row column, read back and numbered in file order: the
+    site's first forest type must be the one of the sheet's first row."""
+    root = scratch_path(spark, "plain-sheet")
+    sheet = io.conform(_t(spark, sf, "coordinates"), "coordinates").orderBy("Row").drop("Row")
+    io.write_table(sheet, f"{root}/coordinates", "csv")
+    return sites.site_coordinates(io.load_tables(spark, root, "csv", ["coordinates"])["coordinates"])
+
+
+@register("workbook_scan")
+def q_workbook_scan(spark, sf):
+    """Every survey table packed into workbooks (the coordinates in sheet order without a row column), the workbooks
+    parsed and stored, and every stored column's contents reported."""
+    root = scratch_path(spark, "workbooks")
+    for name in io.SURVEY_SCHEMAS:
+        df = io.conform(_t(spark, sf, name), name)
+        if name == "coordinates":  # the fixture's sheet rows start at the least plot, numbered ones at 1
+            df = df.orderBy("Row").drop("Row")
+        workbook.pack_workbooks(df, workbook.SHEETS[name], name).write.mode("append").parquet(f"{root}/books")
+    books = spark.read.parquet(f"{root}/books")
+    tables = {n: io.conform(df, n) for n, df in workbook.workbook_tables(books).items()}
+    io.write_survey_tables(tables, f"{root}/tables")
+    return _contents(io.load_tables(spark, f"{root}/tables"), "table_name")
+
+
+# --- sheet checks ------------------------------------------------------------------
+
+
+def _as_typed(df: DataFrame) -> DataFrame:
+    """Cells as a sheet holds them: missing diameters, heights and temperatures as text, and units typed along."""
+    for c, unit in (("DBH_cm", "cm"), ("Tree_Height_m", "m"), ("Temp", "C")):
+        if c in df.columns:
+            text = F.col(c).cast("string")
+            df = df.withColumn(c, F.when(F.col(c).isNull(), F.lit("NA")).when(F.col("Quadrat") == 7, F.concat(text, F.lit(f" {unit}"))).otherwise(text))
+    return df
+
+
+@register("coercion_report")
+def q_coercion_report(spark, sf):
+    """Cells that are no numbers, by table and column; the example is left out, as how a double prints
+    is each engine's own affair."""
+    return checks.coercion_report({n: _as_typed(_t(spark, sf, n)) for n in io.SURVEY_SCHEMAS}).drop("example")
+
+
+@register("key_report")
+def q_key_report(spark, sf):
+    """How often keys repeat in every survey table."""
+    return checks.key_report({n: _t(spark, sf, n) for n in io.SURVEY_SCHEMAS})
+
+
+@register("unfiled_keys")
+def q_unfiled_keys(spark, sf):
+    """Plots and sites of every survey table against a coordinates sheet that lacks every ninth plot."""
+    filed = _t(spark, sf, "coordinates").where("cast(Plot as bigint) % 9 <> 0")
+    return checks.unfiled_keys({n: _t(spark, sf, n) for n in io.SURVEY_SCHEMAS}, filed)

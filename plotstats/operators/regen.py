@@ -122,6 +122,15 @@ def sapling_density(regen: DataFrame, saplings: DataFrame, densio: DataFrame,
     return out.where(F.col("Species") == species) if species else out
 
 
+def sapling_mean_density(regen: DataFrame, densio: DataFrame,
+                         island_levels: Sequence[str] = DEFAULT_ISLANDS) -> DataFrame:
+    """``sapling_density`` without heights, so without a scan of the sapling sheet: SY, Site, Species,
+    mean_dens, mean_dens_SE, Island, Island_order."""
+    site = _sapling_plot_density(regen).groupBy("SY", "Site", "Species").agg(
+        F.avg("plot_dens").alias("mean_dens"), standard_error("plot_dens").alias("mean_dens_SE"))
+    return _with_island(site, densio, island_levels)
+
+
 def _species_wide(site: DataFrame, mean: str, se: str, mean_name: str, se_name: str) -> DataFrame:
     """Species → columns <SP>_<mean_name>, <SP>_<se_name>, plus text <SP>.
     Row order is the sink's business (``plans.report.SORTED``)."""

@@ -9,7 +9,10 @@ one facet sum to 1.
 Plan: class index is a codegen'd expression → partial/final count per
 (facet, status, class) → a window ``sum(n) over (partition by facet)``.
 The window runs on the aggregated rows (at most statuses × classes per
-facet), so no facet's raw readings are ever gathered in one task.
+facet), so no facet's raw readings are ever gathered in one task.  Readings that
+carry only their plot meet the broadcast plots before they are counted, so the first
+shuffle holds a row for each facet, status and class of a task; of one site only its own
+plots are broadcast, and other readings end there.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plotstats.functions.aggregates import n_rows
 from plotstats.functions.expr import size_class_index, size_class_label
-from plotstats.plans.nested import PlotReadings, plot_groups
+from plotstats.plans.nested import PlotReadings, plot_groups, sited_rows
 
 
 def size_rows(trees: DataFrame | PlotReadings, bin_size: float, keys: Sequence[str] = ("SY", "Site")) -> DataFrame:
@@ -34,12 +37,13 @@ def size_rows(trees: DataFrame | PlotReadings, bin_size: float, keys: Sequence[s
 def size_frequency(trees: DataFrame, facet: Sequence[str], bin_size: float) -> DataFrame:
     """facet…, Mortality, size_class (1-based), size_label, n, freq."""
     facet = list(facet)
-    if isinstance(trees, PlotReadings):  # per plot first, then the site of the counts
+    sited = sited_rows(trees, "Site") if isinstance(trees, PlotReadings) else trees
+    if sited is None:  # too many plots to broadcast: counts per plot first, then their site
         rows = PlotReadings(size_rows(trees, bin_size, ["SY", "Plot"]), trees.plots)
         counts = plot_groups(rows, ["SY", "Site", "Plot", "Mortality", "size_class"], n_rows().alias("n"))
         counts = counts.groupBy(*facet, "Mortality", "size_class").agg(F.sum("n").alias("n"))
     else:
-        counts = size_rows(trees, bin_size).groupBy(*facet, "Mortality", "size_class").agg(
+        counts = size_rows(sited, bin_size).groupBy(*facet, "Mortality", "size_class").agg(
             n_rows().alias("n"))
     total = F.sum("n").over(Window.partitionBy(*facet))
     return counts.select(

@@ -25,11 +25,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotstats.functions.aggregates import n_rows, standard_error, sum_skip
+from plotstats.functions.aggregates import merge_states, moment_state, n_rows, standard_error, state_error, sum_skip
 from plotstats.functions.expr import (DEAD, LIVE, PLOT_AREA_HA, SPECIES, basal_area, mean_se_text,
                                       report_round)
 from plotstats.plans.merge import merge_outer
-from plotstats.plans.nested import Measure, nested_stats, plot_groups
+from plotstats.plans.nested import Measure, PlotReadings, nested_stats, plot_groups
 
 SITE_YEAR = ["SY", "Site"]
 PLOT = ["SY", "Site", "Plot"]
@@ -67,6 +67,18 @@ def mean_basal_area_dead(trees: DataFrame) -> DataFrame:
     return _basal_area_stats(trees, DEAD).where(F.col("SY").isNotNull())
 
 
+def diameter_error(trees: DataFrame | PlotReadings) -> DataFrame:
+    """SY, Site, n_dbh, se_dbh, se_dbh_strict (NULL as soon as one diameter is missing): the standard
+    error over single diameters.  States per plot are merged by site, so readings that carry only their
+    plot never meet the site."""
+    if isinstance(trees, PlotReadings):
+        states = plot_groups(trees, PLOT, *moment_state("DBH_cm", "dbh")).groupBy(*SITE_YEAR).agg(*merge_states("dbh"))
+    else:
+        states = trees.groupBy(*SITE_YEAR).agg(*moment_state("DBH_cm", "dbh"))
+    return states.select(*SITE_YEAR, F.col("dbh_n").alias("n_dbh"), state_error("dbh").alias("se_dbh"),
+                         state_error("dbh", na_rm=False).alias("se_dbh_strict"))
+
+
 def species_share(trees: DataFrame, mortality: str = "alive") -> DataFrame:
     """Percent of site basal area per species: SY, Site, RHMA_<m>, AVGE_<m>, LARA_<m>.
 

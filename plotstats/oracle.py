@@ -613,6 +613,50 @@ reg("export_results", "WITH " + ",\n".join(f"e_{n} AS MATERIALIZED ({Q[n][0]})"
     + "\nUNION ALL ".join(_contents("result", n, f"e_{n}", columns) for n, columns in _EXPORTED.items()))
 
 
+# the sheet's row order, found again: the fixture's row numbers, 1 at the first row
+reg("row_order_on_load", Q["site_coordinates"][0], Q["site_coordinates"][1])
+_numbered = "(SELECT * REPLACE (row_number() OVER (ORDER BY Row) AS Row) FROM coordinates)"
+reg("workbook_scan", query(list(_SURVEY), [], "\nUNION ALL ".join(
+    _contents("table_name", t, _numbered if t == "coordinates" else t, columns) for t, columns in _SURVEY.items())))
+
+
+# sheet checks: rejected cells, repeated keys, keys without coordinates
+_UNITS = {"DBH_cm": "cm", "Tree_Height_m": "m", "Temp": "C"}
+
+
+def _coerced(t: str, c: str) -> str:
+    x = f'CAST("{c}" AS VARCHAR)'
+    if c in _UNITS:
+        x = f"CASE WHEN \"{c}\" IS NULL THEN 'NA' WHEN Quadrat = 7 THEN {x} || ' {_UNITS[c]}' ELSE {x} END"
+    bad = f"NOT regexp_full_match(x, '{NUM_RE}')"
+    return (f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_cells, count(*) FILTER (x IS NULL) AS n_empty, "
+            f"count(*) FILTER ({bad}) AS n_rejected FROM (SELECT {x} AS x FROM {t})")
+
+
+_PARSED = {t: [c for c, kind in columns.items() if kind == "n" or c.startswith("Calc_")] for t, columns in _SURVEY.items()}
+reg("coercion_report", query(list(_SURVEY), [], "\nUNION ALL ".join(_coerced(t, c) for t, cs in _PARSED.items() for c in cs)))
+
+
+def _profile(t: str, key: tuple[str, ...]) -> str:
+    null = " OR ".join(f"{c} IS NULL" for c in key)
+    return (f"SELECT '{t}' AS table_name, '{', '.join(key)}' AS key_columns, count(*) AS n_keys, count(*) FILTER (n > 1) AS n_repeated, max(n) AS max_rows, "
+            f"CAST(coalesce(sum(n) FILTER ({null}), 0) AS BIGINT) AS n_null FROM (SELECT {', '.join(key)}, count(*) AS n FROM {t} GROUP BY ALL)")
+
+
+_KEY_SETS = (("SY", "Site", "Plot", "Quadrat"), ("SY", "Site", "Plot"), ("Site", "Plot"), ("Island", "Site"))
+reg("key_report", query(list(_SURVEY), [], "\nUNION ALL ".join(
+    _profile(t, k) for t, columns in _SURVEY.items() for k in _KEY_SETS if set(k) <= set(columns))))
+
+
+def _unfiled(t: str, key: tuple[str, ...]) -> str:
+    on = " AND ".join(f"CAST(k.{c} AS VARCHAR) IS NOT DISTINCT FROM CAST(f.{c} AS VARCHAR)" for c in key)
+    return (f"SELECT '{t}' AS table_name, '{', '.join(key)}' AS key_columns, count(*) AS n_keys, count(*) FILTER (f.known IS NULL) AS n_unfiled "
+            f"FROM (SELECT DISTINCT {', '.join(key)} FROM {t}) k LEFT JOIN (SELECT DISTINCT {', '.join(key)}, 1 AS known FROM coordinates WHERE Plot % 9 <> 0) f ON {on}")
+
+
+reg("unfiled_keys", query(list(_SURVEY), [], "\nUNION ALL ".join(_unfiled(t, k) for t in _SURVEY for k in _KEY_SETS[2:])))
+
+
 def rounded(name: str) -> str:
     sql, doubles = Q[name]
     if not doubles:

@@ -49,6 +49,19 @@ class PlotReadings:
         return self.rows.select(*columns)
 
 
+# plots that are broadcast to their readings: a row is under 100 bytes, so 50 MB at most
+BROADCAST_PLOTS = 500_000
+
+
+def sited_rows(readings: PlotReadings, *keys: str) -> DataFrame | None:
+    """The readings with Site and / or Island of their plots (readings of other plots are left out), by a broadcast
+    of the plots; None if there are more plots than ``BROADCAST_PLOTS`` (counted, no further than that)."""
+    plots = readings.plots.select("Plot", *keys)
+    if plots.limit(BROADCAST_PLOTS + 1).count() > BROADCAST_PLOTS:
+        return None
+    return readings.rows.join(F.broadcast(plots), "Plot")
+
+
 def plot_groups(df: DataFrame | PlotReadings, keys: Sequence[str], *aggs: Column) -> DataFrame:
     """``groupBy(keys).agg(aggs)`` for keys that include Plot; of ``PlotReadings`` the
     Island and Site are joined to the groups."""
@@ -116,4 +129,4 @@ def nested_stats(df: DataFrame | PlotReadings, levels: Sequence[Sequence[str]],
     return cur.withColumns(fills) if fills else cur
 
 
-__all__ = ["Measure", "PlotReadings", "nested_stats", "plot_groups", "mean_prop"]
+__all__ = ["Measure", "PlotReadings", "nested_stats", "plot_groups", "sited_rows", "mean_prop"]

@@ -102,12 +102,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return LOCAL_FALLBACK
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path on whatever store it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _hadoop(spark, path)
+    return fs.exists(target)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none if there is no such folder."""
+    fs, target = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, which a file system does as a whole; the target must not exist."""
+    fs, a = _hadoop(spark, source)
+    _, b = _hadoop(spark, target)
+    fs.mkdirs(b.getParent())
+    if fs.exists(b) or not fs.rename(a, b):
+        raise FileExistsError(f"cannot move {source} to {target}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _hadoop(spark, path)
+    fs.delete(target, True)
+
+
 def remove_scratch(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``scratch_path``, on whatever file system it lies."""
     if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
         raise ValueError(f"{path} is not below the checkpoint folder")
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    remove_folder(spark, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
