@@ -151,3 +151,26 @@ def test_lossless_is_told_in_the_same_pass(docs_of, awkward):
     assert len(rows) == len(awkward) and all(r.same for r in rows) and "text" not in rows[0]
     both = {str(r.doc_id): r.ids for r in sp.encode(docs_of(awkward), MODEL).collect()}
     assert both[str(7)] == next(r.ids for r in rows if r.doc_id == 7)
+
+
+def test_a_draw_stays_among_its_nodes_own_edges(pieces, monkeypatch):
+    # a slice of full size, so that node numbers leave few bits for the draw
+    words = [f"word{i:06x}" for i in range(60_000)]
+    lattice = sp.Lattice([" " + w for w in words], pieces, 1.0)
+    node = np.arange(len(lattice.first) - 1)
+    node = node[lattice.first[node + 1] > lattice.first[node]]
+    assert node[-1] > 500_000
+    for u in (0.0, 1 - 2.0 ** -52, 1.0):
+        edge = lattice.draw(node, np.full(len(node), u))
+        assert (edge >= lattice.first[node]).all() and (edge < lattice.first[node + 1]).all()
+        assert u < 1 or (edge == lattice.first[node + 1] - 1).all()
+        assert (lattice.source[edge] < node).all()
+
+
+def test_the_largest_draws_end_and_stay_lossless(pieces, monkeypatch):
+    text = " ".join(f"word{i:05x}" for i in range(20_000))
+    real = sp.Lattice.draw
+    monkeypatch.setattr(sp.Lattice, "draw", lambda self, node, u: real(self, node, np.full(len(u), 1 - 2.0 ** -52)))
+    ids = sp.sample([text], np.array([7], np.uint64), pieces, 0.5, 1)[0]
+    raw = b"".join(pieces.raw[pieces.raw_start[i]:pieces.raw_start[i + 1]].tobytes() for i in ids)
+    assert raw.decode() == " " + text
