@@ -68,8 +68,8 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(57344), chr(57345))
 ), m AS ({parts}
 ), j AS (
   SELECT a.doc_id, a.s, a.r, a.e, a.k,
-         bool_or(b.k IN ('access', 'identity') AND abs(a.s - b.s) <= {s.REACH}) AS idn,
-         bool_or(b.k IN ('assign', 'hex', 'secret') AND abs(a.s - b.s) <= {s.REACH}) AS sec,
+         bool_or(b.k IN ('access', 'identity') AND b.s - a.e <= {s.REACH} AND a.s - b.e <= {s.REACH}) AS idn,
+         bool_or(b.k IN ('assign', 'hex', 'secret') AND b.s - a.e <= {s.REACH} AND a.s - b.e <= {s.REACH}) AS sec,
          bool_or(b.r < 3 AND b.s < a.e AND b.e > a.s) AS taken
   FROM m a JOIN m b USING (doc_id) GROUP BY ALL
 ), f AS (
