@@ -76,3 +76,14 @@ def test_repetitions_of_texts_without_words_stay(spark, docs_of):
     pairs = [(1, "\t\n"), (1, "\t\n"), (2, "  "), (2, "  "), (3, None), (3, None), (4, "one text of a few words"), (4, "one text of a few words")]
     kept = corpus_pipeline.near_duplicates(spark, docs_of(pairs), SF).collect()
     assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(map(str, pairs[:-1]))
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, docs_of, awkward):
+    names = ["score", "predicted", "held_out", "__text_hash", "text_hash", "_text_hash", "pii_base", "pii_added", "k", "d", "column 2", "stays"]
+    docs = docs_of([*awkward, (30, "write to bob@example.org today, please, and say hello")], extra=False).selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        after = corpus_pipeline.saved(stage(spark, docs, SF), "test-names")
+        assert after.columns == docs.columns
+        for r in after.collect():
+            assert r.doc_id is None or all(r[n] == f"{n}{r.doc_id}" for n in names)
+        assert i == 0 or after.count()

@@ -198,3 +198,49 @@ def test_rule_order_follows_rejections_per_cost():
     fast = lambda t: np.ones(t.n, bool)
     never = lambda t: np.zeros(t.n, bool)
     assert quality_rules.rule_order(["x"] * 20, {"a_slow": slow, "b_fast": fast, "c_never": never}) == ["b_fast", "a_slow", "c_never"]
+
+
+# --- many matches, wide scopes, long addresses, clashing names ----------------------------
+
+
+def test_many_matches_in_one_text(spark, docs_of):
+    import time
+
+    n = 100_000
+    text = "password=abcdefgh1 " * n
+    began = time.time()
+    r = secret_scan.digests(secret_scan.scan(docs_of([(1, text), (2, "user=bob " + "x" * 150 + " token=abcdefgh12345678")]))).collect()
+    assert time.time() - began < 60
+    got = {x.doc_id: x for x in r}
+    assert got[1].n_assign == n and got[1].spans.endswith(f"assign:{19 * (n - 1)}:{19 * n - 1}")
+    assert "identity" in got[2].spans
+
+
+def test_scope_runs_from_end_to_start(spark, docs_of):
+    secret = "pass=" + "a1B" * 300  # longer than the scope itself
+    near, far = f"{secret} {'-' * 150} user=bob", f"{secret} {'-' * 250} user=bob"
+    got = {r.doc_id: r.spans for r in secret_scan.digests(secret_scan.scan(docs_of([(1, near), (2, far), (3, f"user=bob {'-' * 150} {secret}")]))).collect()}
+    assert got[1] == f"secret:0:905,identity:{906 + 151}:{906 + 151 + 8}"
+    assert got[2] == ""
+    assert got[3].startswith("identity:0:8,secret:")
+
+
+def test_loose_addresses_are_found_whole():
+    many = "john(at)" + "(dot)".join("abcdefghijklm") + "(dot)com"
+    long = "jane @ " + ".".join(c * 40 for c in "abcdef") + ".org"
+    far = "x" * 100 + " [at] example [dot] com"
+    for text in (many, long, far):
+        assert (0, 3, 3 + len(text)) in pii.candidates(f"at {text}, and so on"), text
+    # marks side by side, and a long word before a mark, take linear time
+    import time
+
+    began = time.time()
+    pii.candidates("a@" * 200_000 + "b (at) " * 100_000 + "c" * 1_000_000 + " @ x.org")
+    assert time.time() - began < 20
+
+
+def test_redaction_keeps_every_other_column(spark, docs_of):
+    docs = docs_of([(1, "write to bob@example.org"), (2, None)]).selectExpr("*", "'a' as pii_base", "'b' as pii_added", "'c' as spans")
+    got = pii.redacted(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.pii_base, r.pii_added, r.spans) for r in got.collect()) == [(1, "write to [EMAIL]", "a", "b", "c"), (2, None, "a", "b", "c")]
