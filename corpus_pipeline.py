@@ -17,20 +17,39 @@ from plotstats.llm.components import saved
 BROADCAST_ROWS = 100_000
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not use (names differ by more than case)."""
+    used = {c.lower() for c in docs.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def _hashed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the hash of the text, under a name of its own."""
+    name = _free("text_hash", docs)
+    return docs.withColumn(name, F.xxhash64(text_column(docs))), name
+
+
+def _same(name: str):
+    return F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{name}") == F.col("k.text_hash"))
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of docs whose id and text are not among ``keys`` (doc_id, text_hash)."""
     keys = saved(keys.select("doc_id", "text_hash").distinct(), "pipeline-keys")
     if keys.count() <= BROADCAST_ROWS:  # two numbers a row; beyond that both sides are shuffled
         keys = F.broadcast(keys)
-    d, k = docs.withColumn("__text_hash", F.xxhash64(text_column(docs))).alias("d"), keys.alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__text_hash") == F.col("k.text_hash"))
-    return d.join(k, same, "left_anti").select("d.*").drop("__text_hash")
+    d, name = _hashed(docs)
+    return d.alias("d").join(keys.alias("k"), _same(name), "left_anti").select("d.*").drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    scored = quality_model.score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    # other columns wait under names that the classifier's own cannot meet
+    aside = [c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)]
+    scored = quality_model.score_documents(docs.toDF(*aside), table(spark, sf_dir, "labels")).filter("predicted = 1")
+    return scored.select(*aside).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +63,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if repeated.isEmpty():
         return kept
     single = _without(kept, repeated)
-    again = kept.withColumn("__text_hash", F.xxhash64(text_column(kept))).alias("d").join(
-        repeated.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__text_hash") == F.col("k.text_hash")), "left_semi")
-    return single.unionByName(again.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash"))
+    d, name = _hashed(kept)
+    again = d.alias("d").join(repeated.alias("k"), _same(name), "left_semi")
+    return single.unionByName(again.dropDuplicates(["doc_id", name]).drop(name))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
