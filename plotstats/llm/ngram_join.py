@@ -3,24 +3,22 @@
 A document's set is its distinct ``k``-word shingles (64-bit hashes; a text of fewer
 words is one shingle).  Documents link when ``den * |A & B| >= num * |A | B|``.
 
-1. *Token groups.*  A linked pair differs in at most r shingles, r following from the
-   sizes.  Shingles are hashed into more than r groups, so a linked pair has groups
-   with equal content; every document emits one key for each of its non-empty
-   groups.  Sizes are cut into bands, and a document also emits keys for a lower
-   band that may hold a smaller partner.  Where so many groups are empty that equal
-   groups might all be empty, on both sides, such documents also emit their shingles of
-   least hash (a prefix filter covers pairs of them).  Keys that meet join documents into
-   *cells*; every linked pair lies in one cell.  Copies within a task emit keys once.
-2. *Index.*  Inside a cell each distinct set is a point: its shingles counted by group.
-   Points of like size are dealt out to leaf pages of bounded points and shingles; page pairs whose sizes
-   can link are joined, each a group of its own, so no task holds an unbounded cell.  In it
-   an R-tree over the count vectors bounds the overlap of a point with a node, and
-   then with a point, by the sum of the coordinates' minima.
-3. *Verification.*  Surviving pairs are intersected exactly, unless links found
-   already connect them; so a group of m copies yields m - 1 links, not m * m / 2.
-
-Components of the links give the classes.  Count boxes alone cannot distribute the join:
-in many dimensions each node's box covers most points, so the groups' contents do that.
+1. *Points.*  A set's shingles are hashed into DIMENSIONS groups and counted by group: a point whose coordinates
+   add up to the set's size.  Two sets have in common what the coordinates' minima add up to, at most.
+2. *Meeting.*  Shingles are counted by bucket over all texts (a table of fixed size).  Of each distinct set of a task the
+   n - ceil(n * num / den) + 1 rarest shingles by (bucket's count, hash) go out: linked sets have one of them
+   in common, as they share the order.  Passages that many texts hold are common, so they bring no sets together unless the
+   sets hold little else.  Keys with the same members are met once.
+3. *Index.*  What meets is bounded before any set moves, by points alone: first each key's least row against its
+   others; then, where a key's rows are not connected yet, all of them, in pages of bounded size (by size of set, then hash; page
+   pairs whose sizes can link) with an R-tree of several levels over the points.  Only connections that the bound lets pass stay, and no
+   more of them than connect the rows.  Their components are *cells*: groups of texts that are alike by count.
+4. *Verification.*  Cells get their sets, once for each page pair, and the R-tree's surviving pairs are intersected exactly,
+   unless links found already connect them; so a group of m copies yields m - 1 links, not m * m / 2.
+
+Components of the links give the classes.  Count boxes alone cannot distribute the join: in many dimensions a page's box
+covers most points, whatever the order they are packed in, and the work would grow with the square of the texts.  So rare shingles
+bring texts together, and the points decide which of these need a closer look.
 
 Edge cases: null and empty texts have an empty set, link with nothing and are their own
 component; equal sets (repeated rows) form one class; a null id never becomes a component id
@@ -40,44 +38,15 @@ from pyspark.sql import DataFrame, functions as F
 from .common import in_arrow, mix, shingles, slices, text_bytes, text_column, words
 from .components import components, dropped, saved
 
-PAGE, PAGE_SHINGLES = 4096, 1 << 20  # a page holds about so many points, and shingles, at most
+PAGE, PAGE_SHINGLES = 1024, 1 << 20  # a page holds about so many points, and shingles, at most
 NODE = 16
 DIMENSIONS = 64
+BUCKETS = 1 << 18
+SMALL = 48  # groups up to this size are compared without a tree
 SEEN_LIMIT = 500_000
 BROADCAST_ROWS = 100_000
 
 
-class Bands:
-    """Size bands [edge, next edge) and the number of groups of each."""
-
-    def __init__(self, num: int, den: int, ratio: float):
-        self.num, self.den, self.ratio = num, den, max(ratio, den / num)
-        self.edges, self.groups, self.slack = [1], [], []
-
-    def grow(self, size: int) -> None:
-        while self.edges[-1] <= size:
-            low = self.edges[-1]
-            top = max(low, math.floor(low * self.ratio))
-            self.edges.append(top + 1)
-            r = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-            slack = 0
-            while True:  # room for the empty groups of nearly all documents of the band
-                groups = r + 1 + slack
-                empty = groups * (1 - 1 / groups) ** low
-                if slack >= empty + 3 * math.sqrt(empty) or slack > 2 * (r + 1):
-                    break
-                slack += 1
-            self.groups.append(groups)
-            self.slack.append(slack if r else -1)
-
-    def of(self, size: int) -> list[int]:
-        """Bands in which a set of this size looks for partners."""
-        self.grow(size)
-        own = int(np.searchsorted(self.edges, size, "right")) - 1
-        least = -(-size * self.num // self.den)
-        return [b for b in (own - 1, own) if b >= 0 and self.edges[b + 1] > least and self.slack[b] >= 0]
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; A-Z folded."""
     _, _, h, first = words(data, offsets, lower=True)
@@ -96,21 +65,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
-def group_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys of step 1 for one set."""
-    keys, prefix = [], False
-    spread = mix(s)
-    for b in bands.of(len(s)):
-        n = bands.groups[b]
-        g = (s % np.uint64(n)).astype(np.int64)
-        content = np.zeros(n, np.uint64)
-        np.add.at(content, g, spread)
-        full = np.flatnonzero(np.bincount(g, minlength=n))
-        keys.append(mix(content[full] ^ mix((np.uint64(b + 1) << np.uint64(32)) + full.astype(np.uint64))))
-        prefix |= n - len(full) > bands.slack[b]
-    if prefix:
-        keys.append(spread[:len(s) - -(-len(s) * bands.num // bands.den) + 1])
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+def buckets_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def rare_keys(s: np.ndarray, num: int, den: int, load: np.ndarray | None = None) -> np.ndarray:
+    """The shingles of step 2 for one set; ``load`` is the number of shingles in each bucket."""
+    order = np.lexsort((s, load[buckets_of(s)])) if load is not None else np.argsort(s)
+    return s[order[:len(s) - -(-len(s) * num // den) + 1]]
 
 
 def counts_of(s: np.ndarray) -> np.ndarray:
@@ -118,28 +80,53 @@ def counts_of(s: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """R-tree over count vectors, packed by size and then by coordinates."""
+    """R-tree over count vectors, packed by size and then by coordinates: NODE points to a leaf, NODE nodes to
+    the node above, each node with the largest coordinates and the sizes of what lies below."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((*counts.T[::16], sizes))
-        self.nodes = [order[i:i + NODE] for i in range(0, len(order), NODE)]
-        self.high = np.array([counts[x].max(0) for x in self.nodes])
-        self.small = np.array([sizes[x].min() for x in self.nodes])
-        self.large = np.array([sizes[x].max() for x in self.nodes])
-        self.counts, self.sizes = counts, sizes
+        self.order = np.lexsort((*counts.T[::16], sizes))
+        self.counts, self.sizes, self.levels = counts, sizes, []
+        high, small, large = counts[self.order], sizes[self.order], sizes[self.order]
+        while not self.levels or len(high) > NODE:
+            first = np.arange(0, len(high), NODE)
+            high, small, large = np.maximum.reduceat(high, first), np.minimum.reduceat(small, first), np.maximum.reduceat(large, first)
+            self.levels.append((high, small, large))
 
     def near(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
         """Points whose overlap may reach the threshold, the likeliest first."""
         least, most = -(-size * num // den), size * den // num
-        need = -(-num * (size + np.maximum(self.small, least)) // (num + den))
-        open_ = (np.minimum(self.high, point).sum(1) >= need) & (self.small <= most) & (self.large >= least)
-        if not open_.any():
-            return np.empty(0, np.int64)
-        at = np.concatenate([self.nodes[i] for i in np.flatnonzero(open_)])
-        bound = np.minimum(self.counts[at], point).sum(1)
-        ok = (bound * (num + den) >= num * (size + self.sizes[at])) & (self.sizes[at] >= least) & (self.sizes[at] <= most)
-        at, slack = at[ok], (bound * (num + den) - num * (size + self.sizes[at]))[ok]
-        return at[np.argsort(-slack, kind="stable")]
+        at = np.arange(len(self.levels[-1][1]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            high, small, large = (x[at] for x in self.levels[k])
+            need = -(-num * (size + np.maximum(small, least)) // (num + den))
+            at = at[(np.minimum(high, point).sum(1) >= need) & (small <= most) & (large >= least)]
+            at = (at[:, None] * NODE + np.arange(NODE)).ravel()
+            at = at[at < (len(self.levels[k - 1][1]) if k else len(self.order))]
+        at = self.order[at]
+        slack = np.minimum(self.counts[at], point).sum(1) * (num + den) - num * (size + self.sizes[at])
+        ok = (slack >= 0) & (self.sizes[at] >= least) & (self.sizes[at] <= most)
+        return at[ok][np.argsort(-slack[ok], kind="stable")]
+
+
+def bound_links(counts: np.ndarray, sizes: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of positions ``left`` and ``right`` that the bound lets pass, as many as connect what ``label``
+    (changed on the way) does not connect yet."""
+    links = []
+    if len(left) == len(right) <= SMALL and (left == right).all():
+        pass_ = np.minimum(counts[left][:, None], counts[left][None]).sum(2) * (num + den) >= num * (sizes[left][:, None] + sizes[left][None])
+        for i, j in np.argwhere(np.triu(pass_, 1)).tolist():
+            a, b = left[i], left[j]
+            if label[a] != label[b]:
+                links.append((a, b))
+                label[label == label[b]] = label[a]
+        return links
+    tree = CountTree(counts[right], sizes[right])
+    for a in left:
+        near = right[tree.near(counts[a], sizes[a], num, den)]
+        while len(near := near[label[near] != label[a]]):
+            links.append((a, near[0]))
+            label[label == label[near[0]]] = label[a]
+    return links
 
 
 def page_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -162,16 +149,41 @@ def page_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num:
     return links
 
 
-def _sketch(rows: DataFrame, k: int, num: int, den: int, ratio: float) -> DataFrame:
-    """doc_id, text_hash, v (number of the row), n, set_id, keys (null for a copy of a set met in the task)."""
+def _loads(rows: DataFrame, k: int) -> np.ndarray:
+    """Shingles of all texts by bucket."""
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in slices(batches, "text"):
+            for s in shingle_sets(*text_bytes(batch.column("text")), k):
+                np.add.at(total, buckets_of(s), 1)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["bucket", "n"])
+
+    table = in_arrow(rows.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS, np.int64)
+    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    return out
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * DIMENSIONS else "<u4") for x in raw], np.int64).reshape(-1, DIMENSIONS)
+
+
+def _sketch(rows: DataFrame, k: int, num: int, den: int, load: np.ndarray) -> DataFrame:
+    """doc_id, text_hash, v (number of the row), n, set_id, counts, keys (null for a copy of a set met in the task)."""
     def run(batches):
-        bands, seen, v = Bands(num, den, ratio), set(), TaskContext.get().partitionId() << 33
+        seen, v = set(), TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
-            ids, keys, sizes = [], [], []
+            ids, keys, sizes, counts = [], [], [], []
             for s in shingle_sets(*text_bytes(batch.column("text")), k):
                 sizes.append(len(s))
                 if not len(s):
-                    ids.append(None), keys.append(None)
+                    ids.append(None), keys.append(None), counts.append(None)
                     continue
                 two = [int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64)) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
                 ids.append((two[0] << 64 | two[1]).to_bytes(16, "big"))
@@ -180,14 +192,114 @@ def _sketch(rows: DataFrame, k: int, num: int, den: int, ratio: float) -> DataFr
                     if len(seen) >= SEEN_LIMIT:
                         seen.clear()
                     seen.add(ids[-1])
-                keys.append(group_keys(s, bands).view(np.int64) if new else None)
+                keys.append(rare_keys(s, num, den, load).view(np.int64) if new else None)
+                counts.append(_packed(counts_of(s)) if new else None)
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.arange(v, v + n)), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "v", "n", "set_id", "keys"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.arange(v, v + n)), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
+                 pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "v", "n", "set_id", "counts", "keys"])
             v += n
 
-    return in_arrow(rows, run, "doc_id long, text_hash long, v long, n long, set_id binary, keys array<long>")
+    return in_arrow(rows, run, "doc_id long, text_hash long, v long, n long, set_id binary, counts binary, keys array<long>")
+
+
+def _paged(points: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(points (cell, v, n, ...) with page, uses: cell, page, i, j): sizes of a cell within the threshold's ratio, dealt out by hash into
+    pages; the pairs i <= j of pages whose sizes can link, a page's own pair among them, each with the pages that it reads."""
+    points = points.withColumn("band", F.floor(F.log("n") / math.log(den / num)).cast("long"))
+    bands = points.groupBy("cell", "band").agg(F.count("*").alias("points"), F.sum("n").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    several = bands.groupBy("cell").agg(F.sum("points").alias("all")).filter("all > 1").select("cell")
+    parts = F.ceil(F.greatest(F.col("points") / PAGE, F.col("size") / PAGE_SHINGLES))
+    bands = saved(bands.join(several, "cell").select("cell", "band", "low", "high", parts.alias("parts")), "jaccard-bands")
+    page = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("v"), F.col("parts"))
+    dealt = points.join(bands.select("cell", "band", "parts"), ["cell", "band"]).withColumn("page", page).drop("band", "parts")
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    pages = bands.select("cell", "low", "high", "band", number.alias("part")).select("cell", "low", "high", (F.col("band") * (1 << 32) + F.col("part")).alias("page"))
+    other = pages.select("cell", F.col("page").alias("to"), F.col("low").alias("to_low"))
+    pairs = pages.join(other, "cell").filter("page <= to").filter(F.col("to_low") * num <= F.col("high") * den)
+    pairs = pairs.select("cell", F.col("page").alias("i"), F.col("to").alias("j"))
+    uses = pairs.select("cell", F.col("i").alias("page"), "i", "j").unionByName(pairs.filter("i <> j").select("cell", F.col("j").alias("page"), "i", "j"))
+    return dealt, uses
+
+
+def _bounded_edges(edges: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of edges (a, b) that the bound on their points lets pass."""
+    def run(batches):
+        for batch in batches:
+            x, y = _unpacked(batch.column("x")), _unpacked(batch.column("y"))
+            sizes = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            ok = np.flatnonzero(np.minimum(x, y).sum(1) * (num + den) >= num * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+
+    first = points.select(F.col("v").alias("a"), F.col("n").alias("m"), F.col("counts").alias("x"))
+    second = points.select(F.col("v").alias("b"), "n", F.col("counts").alias("y"))
+    near = F.col("m") * num <= F.col("n") * den, F.col("n") * num <= F.col("m") * den
+    return in_arrow(edges.join(first, "a").join(second, "b").filter(near[0] & near[1]), run, "a long, b long")
+
+
+def _bounded_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges that connect the rows (cell, page, i, j, v, label, n, counts) of each page pair as far as the bound lets pass."""
+    def settle(table: pa.Table) -> list[tuple[int, int]]:
+        table = table.combine_chunks()
+        v, label, n, page, i, j = (table[c].to_numpy() for c in ("v", "label", "n", "page", "i", "j"))
+        counts = _unpacked(table["counts"])
+        label = np.unique(label, return_inverse=True)[1]
+        out = []
+        cuts = np.flatnonzero((table["cell"].to_numpy()[1:] != table["cell"].to_numpy()[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(v)]):
+            own = label[a:b].copy()
+            if b - a > 1 and (own != own[0]).any():
+                left, right = np.flatnonzero(page[a:b] == i[a]), np.flatnonzero(page[a:b] == j[a])
+                out += [(v[a + x], v[a + y]) for x, y in bound_links(counts[a:b], n[a:b], own, left, right, num, den)]
+        return out
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy() for c in ("cell", "i", "j")]
+            last = np.logical_and.reduce([k == k[-1] for k in keys])
+            cut = len(last) - int(last[::-1].argmin()) if not last.all() else 0  # the last group may go on
+            if cut:
+                found = settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield _edge_batch(found)
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield _edge_batch(settle(pa.Table.from_batches(held)))
+
+    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return in_arrow(dealt, run, "a long, b long")
+
+
+def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _alike(sketch: DataFrame, num: int, den: int) -> DataFrame:
+    """(v, root): the cells of rows that keys bring together and the bound does not part."""
+    spark = sketch.sparkSession
+    keyed = sketch.filter("keys is not null").select(F.explode("keys").alias("key"), "v").repartition("key")
+    # keys with the same rows are one: least and greatest row, number and two sums of hashes
+    same = [F.min("v").alias("a"), F.max("v").alias("z"), F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "v")).alias(f"x{i}") for i in (1, 2))]
+    met = keyed.groupBy("key").agg(*same).filter("a < z")
+    met = met.groupBy("a", "z", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "a")
+    members = saved(keyed.join(met, "key").select("key", "a", "v"), "jaccard-keys")
+    points = sketch.filter("keys is not null").select("v", "n", "counts")
+
+    stars = saved(_bounded_edges(members.filter("a <> v").select("a", F.col("v").alias("b")).distinct(), points, num, den), "jaccard-stars")
+    near = components(spark, stars)
+    labelled = saved(members.join(near, "v", "left").select(F.col("key").alias("cell"), "v", F.coalesce("root", "v").alias("label")), "jaccard-labelled")
+    # of two rows the star has told all; of more, only if they are one component
+    open_ = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).filter("low < high and rows > 2").select("cell")
+    rest = saved(labelled.join(open_, "cell").join(points, "v").select("cell", "v", "label", "n", "counts"), "jaccard-open")
+    dealt, uses = _paged(rest, num, den)
+    more = saved(_bounded_groups(dealt.join(uses, ["cell", "page"]), num, den), "jaccard-more")
+    cells = components(spark, stars.unionByName(more))
+    dropped(members, stars, labelled, rest, more)
+    return cells
 
 
 def _page_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -201,38 +313,20 @@ def _page_sets(rows: DataFrame, k: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_column: str = "doc_id",
-                    text_col: str = "text", band_ratio: float | None = None) -> DataFrame:
+                    text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, component_id, component_v and
     v; the row with v = component_v represents its class."""
     spark = docs.sparkSession
-    ratio = band_ratio or 1.3
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sketch = saved(_sketch(rows, k, num, den, ratio), "jaccard-sketch")
+    sketch = saved(_sketch(rows, k, num, den, _loads(rows, k)), "jaccard-sketch")
     sets = sketch.filter("set_id is not null").groupBy("set_id").agg(F.min("v").alias("rep"), F.min("doc_id").alias("least_id"))
     sets = saved(sets, "jaccard-sets")
 
-    # cells: documents joined by keys that meet
-    keyed = sketch.filter("keys is not null").select(F.explode("keys").alias("key"), "v")
-    # the least row of a key is aggregated and joined back, so no task has to hold a key's rows together
-    leaders = keyed.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("last")).filter("a < last").select("key", "a")
-    meets = keyed.join(leaders, "key").select("a", F.col("v").alias("b")).filter("a <> b").distinct()
-    cells = components(spark, meets)
+    cells = _alike(sketch, num, den)
     members = cells.join(sketch.select("v", "set_id", "n", "doc_id", "text_hash"), "v").select("set_id", F.col("root").alias("cell"), "n", "doc_id", "text_hash", "v")
     members = members.join(sets.select("set_id", F.col("rep").alias("v")), ["set_id", "v"])
-    # pages: sizes of a cell within the threshold's ratio, dealt out by hash into pages
-    members = members.withColumn("band", F.floor(F.log("n") / math.log(den / num)).cast("long"))
-    bands = members.groupBy("cell", "band").agg(F.count("*").alias("points"), F.sum("n").alias("size"))
-    several = bands.groupBy("cell").agg(F.sum("points").alias("all")).filter("all > 1").select("cell")
-    bands = bands.join(several, "cell").select("cell", "band", F.ceil(F.greatest(F.col("points") / PAGE, F.col("size") / PAGE_SHINGLES)).alias("parts"))
-    page = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("v"), F.col("parts"))
-    members = saved(members.join(bands, ["cell", "band"]).withColumn("page", page).drop("band", "parts"), "jaccard-members")
-
-    # pairs of pages whose sizes can link; a page's own pair among them
-    pages = members.groupBy("cell", "page").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = pages.select("cell", F.col("page").alias("to"), F.col("low").alias("to_low"), F.col("high").alias("to_high"))
-    pairs = pages.join(other, "cell").filter("page <= to").filter(F.col("to_low") * num <= F.col("high") * den)
-    pairs = pairs.select("cell", F.col("page").alias("i"), F.col("to").alias("j"))
-    uses = pairs.select("cell", F.col("i").alias("page"), "i", "j").unionByName(pairs.filter("i <> j").select("cell", F.col("j").alias("page"), "i", "j"))
+    dealt, uses = _paged(members, num, den)
+    members = saved(dealt, "jaccard-members")
 
     wanted = members.select("cell", "page", "v", "doc_id", "text_hash")
     if wanted.count() <= BROADCAST_ROWS:  # a row is under 100 bytes; beyond that the texts are shuffled

@@ -85,7 +85,7 @@ def test_classes_of_awkward_rows(docs_of, awkward):
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5), (1, 2)])
 def test_linked_pairs_share_a_key(num, den):
     random.seed(num)
-    bands, linked = nj.Bands(num, den, 1.3), 0
+    load, linked = np.random.default_rng(num).integers(0, 5, nj.BUCKETS), 0
     for _ in range(1500):
         a = {random.getrandbits(64) for _ in range(random.choice([random.randint(1, 40), random.randint(10, 300)]))}
         b = set(a)
@@ -96,7 +96,7 @@ def test_linked_pairs_share_a_key(num, den):
                 b.add(random.getrandbits(64))
         if a != b and den * len(a & b) >= num * len(a | b):
             linked += 1
-            keys = [set(nj.group_keys(np.array(sorted(x), np.uint64), bands).tolist()) for x in (a, b)]
+            keys = [set(nj.rare_keys(np.array(sorted(x), np.uint64), num, den, load).tolist()) for x in (a, b)]
             assert keys[0] & keys[1], (len(a), len(b), len(a & b))
     assert linked > 300
 
