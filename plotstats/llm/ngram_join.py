@@ -40,7 +40,7 @@ from .components import components, dropped, saved
 
 PAGE, PAGE_SHINGLES = 1024, 1 << 20  # a page holds about so many points, and shingles, at most
 NODE = 16
-DIMENSIONS = 64
+DIMENSIONS = ((512, 64), (4096, 512), (1 << 62, 4096))  # sets below a size have so many coordinates
 BUCKETS = 1 << 18
 SMALL = 48  # groups up to this size are compared without a tree
 SEEN_LIMIT = 500_000
@@ -76,7 +76,15 @@ def rare_keys(s: np.ndarray, num: int, den: int, load: np.ndarray | None = None)
 
 
 def counts_of(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(17)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS)
+    """A set's point.  Larger sets have more coordinates, a multiple, so that points fold onto fewer ones."""
+    d = next(d for below, d in DIMENSIONS if len(s) < below)
+    return np.bincount((s >> np.uint64(17)).astype(np.int64) % d, minlength=d)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points of as many coordinates as the one of fewest."""
+    d = min(map(len, points), default=DIMENSIONS[0][1])
+    return np.array([x if len(x) == d else x.reshape(-1, d).sum(0) for x in points], np.int64).reshape(-1, d)
 
 
 class CountTree:
@@ -132,7 +140,7 @@ def bound_links(counts: np.ndarray, sizes: np.ndarray, label: np.ndarray, left:
 def page_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links between positions ``left`` and ``right`` (equal arrays: within one page) that
     connect what no earlier link connects."""
-    counts, sizes = np.array([counts_of(s) for s in sets]), np.array([len(s) for s in sets])
+    counts, sizes = folded([counts_of(s) for s in sets]), np.array([len(s) for s in sets])
     tree, label, links = CountTree(counts[right], sizes[right]), np.arange(len(sets)), []
     for a in left:
         near = right[tree.near(counts[a], sizes[a], num, den)]
@@ -166,12 +174,13 @@ def _loads(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4").tobytes()
+    """The coordinates in 1, 2 or 4 bytes each, after a byte that tells which."""
+    width = 1 if (most := counts.max(initial=0)) < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def _unpacked(column: pa.Array) -> np.ndarray:
-    raw = column.to_pylist()
-    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * DIMENSIONS else "<u4") for x in raw], np.int64).reshape(-1, DIMENSIONS)
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64) for x in column.to_pylist()]
 
 
 def _sketch(rows: DataFrame, k: int, num: int, den: int, load: np.ndarray) -> DataFrame:
@@ -211,47 +220,49 @@ def _paged(points: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
     bands = points.groupBy("cell", "band").agg(F.count("*").alias("points"), F.sum("n").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     several = bands.groupBy("cell").agg(F.sum("points").alias("all")).filter("all > 1").select("cell")
     parts = F.ceil(F.greatest(F.col("points") / PAGE, F.col("size") / PAGE_SHINGLES))
-    bands = saved(bands.join(several, "cell").select("cell", "band", "low", "high", parts.alias("parts")), "jaccard-bands")
+    bands = saved(bands.join(several, "cell").select("cell", "band", "low", "high", (F.col("points") > 1).alias("several"), parts.alias("parts")), "jaccard-bands")
     page = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("v"), F.col("parts"))
     dealt = points.join(bands.select("cell", "band", "parts"), ["cell", "band"]).withColumn("page", page).drop("band", "parts")
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    pages = bands.select("cell", "low", "high", "band", number.alias("part")).select("cell", "low", "high", (F.col("band") * (1 << 32) + F.col("part")).alias("page"))
+    # a page's own pair needs two points in its band
+    pages = bands.select("cell", "low", "high", "band", "several", number.alias("part")).select("cell", "low", "high", "several", (F.col("band") * (1 << 32) + F.col("part")).alias("page"))
     other = pages.select("cell", F.col("page").alias("to"), F.col("low").alias("to_low"))
-    pairs = pages.join(other, "cell").filter("page <= to").filter(F.col("to_low") * num <= F.col("high") * den)
+    pairs = pages.join(other, "cell").filter("page < to or page = to and several").filter(F.col("to_low") * num <= F.col("high") * den)
     pairs = pairs.select("cell", F.col("page").alias("i"), F.col("to").alias("j"))
     uses = pairs.select("cell", F.col("i").alias("page"), "i", "j").unionByName(pairs.filter("i <> j").select("cell", F.col("j").alias("page"), "i", "j"))
     return dealt, uses
 
 
 def _bounded_edges(edges: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of edges (a, b) that the bound on their points lets pass."""
+    """Those of edges (a, b, and their sizes m, n) that the bound on their points lets pass."""
     def run(batches):
         for batch in batches:
             x, y = _unpacked(batch.column("x")), _unpacked(batch.column("y"))
+            shared = np.array([np.minimum(*folded([p, q])).sum() for p, q in zip(x, y)], np.int64)
             sizes = batch.column("m").to_numpy() + batch.column("n").to_numpy()
-            ok = np.flatnonzero(np.minimum(x, y).sum(1) * (num + den) >= num * sizes)
+            ok = np.flatnonzero(shared * (num + den) >= num * sizes)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
-    first = points.select(F.col("v").alias("a"), F.col("n").alias("m"), F.col("counts").alias("x"))
-    second = points.select(F.col("v").alias("b"), "n", F.col("counts").alias("y"))
-    near = F.col("m") * num <= F.col("n") * den, F.col("n") * num <= F.col("m") * den
-    return in_arrow(edges.join(first, "a").join(second, "b").filter(near[0] & near[1]), run, "a long, b long")
+    first = points.select(F.col("v").alias("a"), F.col("counts").alias("x"))
+    second = points.select(F.col("v").alias("b"), F.col("counts").alias("y"))
+    return in_arrow(edges.join(first, "a").join(second, "b"), run, "a long, b long")
 
 
 def _bounded_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges that connect the rows (cell, page, i, j, v, label, n, counts) of each page pair as far as the bound lets pass."""
+    """Edges of labels that connect the rows (cell, page, i, j, v, label, n, counts) of each page pair as far as the bound lets pass."""
     def settle(table: pa.Table) -> list[tuple[int, int]]:
         table = table.combine_chunks()
-        v, label, n, page, i, j = (table[c].to_numpy() for c in ("v", "label", "n", "page", "i", "j"))
+        label, n, page, i, j = (table[c].to_numpy() for c in ("label", "n", "page", "i", "j"))
         counts = _unpacked(table["counts"])
-        label = np.unique(label, return_inverse=True)[1]
+        names, label = np.unique(label, return_inverse=True)
         out = []
         cuts = np.flatnonzero((table["cell"].to_numpy()[1:] != table["cell"].to_numpy()[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(v)]):
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)]):
             own = label[a:b].copy()
             if b - a > 1 and (own != own[0]).any():
                 left, right = np.flatnonzero(page[a:b] == i[a]), np.flatnonzero(page[a:b] == j[a])
-                out += [(v[a + x], v[a + y]) for x, y in bound_links(counts[a:b], n[a:b], own, left, right, num, den)]
+                before = label[a:b]
+                out += [(names[before[x]], names[before[y]]) for x, y in bound_links(folded(counts[a:b]), n[a:b], own, left, right, num, den)]
         return out
 
     def run(batches):
@@ -281,24 +292,29 @@ def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def _alike(sketch: DataFrame, num: int, den: int) -> DataFrame:
     """(v, root): the cells of rows that keys bring together and the bound does not part."""
     spark = sketch.sparkSession
-    keyed = sketch.filter("keys is not null").select(F.explode("keys").alias("key"), "v").repartition("key")
+    keyed = sketch.filter("keys is not null").select(F.explode("keys").alias("key"), "v", "n").filter("key is not null").repartition("key")  # one exchange for both uses
     # keys with the same rows are one: least and greatest row, number and two sums of hashes
-    same = [F.min("v").alias("a"), F.max("v").alias("z"), F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "v")).alias(f"x{i}") for i in (1, 2))]
-    met = keyed.groupBy("key").agg(*same).filter("a < z")
-    met = met.groupBy("a", "z", "n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "a")
-    members = saved(keyed.join(met, "key").select("key", "a", "v"), "jaccard-keys")
-    points = sketch.filter("keys is not null").select("v", "n", "counts")
-
-    stars = saved(_bounded_edges(members.filter("a <> v").select("a", F.col("v").alias("b")).distinct(), points, num, den), "jaccard-stars")
+    same = [F.min(F.struct("v", "n")).alias("least"), F.max("v").alias("z"), F.count("*").alias("rows"), *(F.bit_xor(F.xxhash64(F.lit(i), "v")).alias(f"x{i}") for i in (1, 2))]
+    met = keyed.groupBy("key").agg(*same).filter("least.v < z")
+    met = met.groupBy("least", "z", "rows", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.col("least.v").alias("a"), F.col("least.n").alias("m"))
+    members = saved(keyed.join(met, "key").select("key", "a", "m", "v", "n"), "jaccard-keys")
+    points = sketch.filter("keys is not null").select("v", "counts")
+
+    alike = (F.col("m") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("m") * den)
+    edges = members.filter("a <> v").filter(alike).select("a", "m", F.col("v").alias("b"), "n").distinct()
+    stars = saved(_bounded_edges(edges, points, num, den), "jaccard-stars")
     near = components(spark, stars)
-    labelled = saved(members.join(near, "v", "left").select(F.col("key").alias("cell"), "v", F.coalesce("root", "v").alias("label")), "jaccard-labelled")
+    labelled = saved(members.join(near, "v", "left").select(F.col("key").alias("cell"), "v", "n", F.coalesce("root", "v").alias("label")), "jaccard-labelled")
     # of two rows the star has told all; of more, only if they are one component
     open_ = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).filter("low < high and rows > 2").select("cell")
-    rest = saved(labelled.join(open_, "cell").join(points, "v").select("cell", "v", "label", "n", "counts"), "jaccard-open")
-    dealt, uses = _paged(rest, num, den)
-    more = saved(_bounded_groups(dealt.join(uses, ["cell", "page"]), num, den), "jaccard-more")
-    cells = components(spark, stars.unionByName(more))
-    dropped(members, stars, labelled, rest, more)
+    dealt, uses = _paged(labelled.join(open_, "cell"), num, den)
+    rest = saved(dealt.join(uses, ["cell", "page"]).join(points, "v"), "jaccard-open")
+    more = components(spark, _bounded_groups(rest, num, den))
+    # components of components: labels that the groups connect
+    up = more.select(F.col("v").alias("root"), F.col("root").alias("top"))
+    cells = near.join(up, "root", "left").select("v", F.coalesce("top", "root").alias("root")).unionByName(more.join(near.select("v"), "v", "left_anti"))
+    cells = saved(cells, "jaccard-cells")
+    dropped(members, stars, labelled, rest)
     return cells
 
 
