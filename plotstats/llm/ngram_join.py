@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import in_arrow, mix, shingles, slices, text_bytes, text_column, words
 from .components import components, dropped, saved
 
-PAGE, PAGE_SHINGLES = 1024, 1 << 20  # a page holds about so many points, and shingles, at most
+PAGE, PAGE_SHINGLES = 4096, 1 << 21  # a page holds about so many points, and shingles, at most
 NODE = 16
 DIMENSIONS = ((512, 64), (4096, 512), (1 << 62, 4096))  # sets below a size have so many coordinates
 BUCKETS = 1 << 18
