@@ -30,7 +30,7 @@ from plotstats.plans.report import (drop_versions, export_report, publish_report
 from plotstats.sources.checks import (coercion_counts, coercion_report, key_profile, key_report, observed,
                                       rejected_cells, unfiled_keys)
 from plotstats.sources.io import export_results, load_tables, load_workbooks, write_survey_tables
-from plotstats.sources.workbook import pack_workbooks, read_workbooks, workbook_bytes
+from plotstats.sources.workbook import pack_workbooks, read_workbooks, workbook_bytes, workbook_tables
 
 
 def species_share_alive(trees):
@@ -58,5 +58,5 @@ __all__ = [
     "species_share", "species_share_alive", "species_share_dead", "standard_error",
     "stem_density_change", "tree_height_change", "tree_site_change", "tree_site_stats",
     "tree_summary", "tree_summary_display", "unfiled_keys", "water_quality_table", "water_table",
-    "workbook_bytes", "write_survey_tables",
+    "workbook_bytes", "workbook_tables", "write_survey_tables",
 ]
