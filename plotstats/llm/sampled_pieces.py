@@ -126,21 +126,16 @@ class Lattice:
         for a, b in zip(cuts[:-1], cuts[1:]):
             part = _Part(units[a:b], lens[a:b], p, alpha)
             base = int(self.start[a])
-            parts.append((part.inside, (part.source + base).astype(np.int32), part.piece, part.edges))
-        self.inside, self.source, self.piece, edges = (np.concatenate(x) for x in zip(*parts))
+            parts.append((part.key + base, (part.source + base).astype(np.int32), part.piece, part.edges))
+        self.key, self.source, self.piece, edges = (np.concatenate(x) for x in zip(*parts))
         self.first = np.concatenate(([0], np.cumsum(edges, dtype=np.int32)))  # first edge into each node
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge into each node, drawn with its posterior probability: the first whose running share
-        exceeds u, searched among the node's own edges only; its last where none does."""
-        low, high = self.first[node], self.first[node + 1] - 1
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            middle = (low + high) >> 1
-            past = open_ & (self.inside[middle] <= u)
-            low, high = np.where(past, middle + 1, low), np.where(open_ & ~past, middle, high)
+        exceeds u.  Node and share add up to one number to search, which rounds for large nodes, so what is
+        found is kept among the node's own edges."""
+        at = np.searchsorted(self.key, node + u, "right")
+        return np.clip(at, self.first[node], self.first[node + 1] - 1)
 
 
 class _Part:
@@ -186,10 +181,10 @@ class _Part:
             whole = np.add.reduceat(part, heads)
             total[nodes[group]] = top + np.log(whole)
             share[edge] = part / np.repeat(whole, n)
-        # running shares inside each node, and the number of edges into each of the part's nodes
+        # running shares inside each node, offset by the node, and the number of edges into each of the part's nodes
         run = np.cumsum(share)
         before = np.concatenate(([0.0], run[ends[:-1] - 1])) if len(first) else np.zeros(0)
-        self.inside = np.minimum(run - np.repeat(before, ends - first), 1.0)
+        self.key = self.node + np.minimum(run - np.repeat(before, ends - first), 1.0)
         self.edges = np.zeros(int(self.end[-1]) + 1, np.int32)  # nodes up to the last unit's end
         self.edges[nodes] = ends - first
 
