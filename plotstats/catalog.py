@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotstats.functions.aggregates import n_rows
-from plotstats.functions.expr import SNAP_DIGITS, basal_area, mean_se_text, species_display_name
+from plotstats.functions.expr import SNAP_DIGITS, basal_area, binary_round, mean_se_text, species_display_name
 from plotstats.operators import canopy, regen, sites, sizes, stand, water
 from plotstats.plans import report
+from plotstats.plans.levels import factor_levels
 from plotstats.plans.session import remove_scratch, scratch_path
 from plotstats.sources import fixtures as fx
 from plotstats.sources import checks, io, workbook
@@ -208,6 +209,11 @@ def q_canopy_cover_series(spark, sf):
     return canopy.canopy_cover_series(_t(spark, sf, "densiometer"))
 
 
+@register("canopy_cover_open")
+def q_canopy_cover_open(spark, sf):
+    return canopy.open_cover_text(canopy.canopy_cover_open(_t(spark, sf, "densiometer")))
+
+
 # --- regeneration -------------------------------------------------------------------
 
 
@@ -279,6 +285,16 @@ def q_error_bar_bounds(spark, sf):
         "SY", "Site", "Species", "ymin", "ymax")
 
 
+AXIS_GAPS = ((2.0123, 2.1317),)  # lies among the fixture's seedling means
+
+
+@register("error_bar_panels")
+def q_error_bar_panels(spark, sf):
+    """Seedling bars and error bars as an axis with a gap shows them."""
+    return regen.bars_across_breaks(q_seedling_density(spark, sf), "mean_site", "count_SE", AXIS_GAPS).select(
+        "SY", "Site", "panel", "bar_from", "bar_to", "err_from", "err_to", "shift")
+
+
 # --- water, sites, map -------------------------------------------------------------
 
 
@@ -324,6 +340,26 @@ def q_species_display_name(spark, sf):
         "Species", species_display_name("Species").alias("display_name"), "n_trees")
 
 
+@register("binary_round")
+def q_binary_round(spark, sf):
+    """Every sapling height rounded to 3 decimals as the binary number it is: how many, how many of them
+    upwards, and their sum in thousandths."""
+    h = F.col("Height_cm")
+    near = binary_round(h, 3)
+    return _t(spark, sf, "saplings").groupBy("SY", "Site").agg(
+        F.count(h).alias("n_values"), F.count(F.when(near > h, 1)).alias("n_up"),
+        F.sum(F.rint(near * 1000.0).cast("long")).alias("total_milli"))
+
+
+@register("factor_levels")
+def q_factor_levels(spark, sf):
+    """Levels of every year, site, plot and species of the tree sheet."""
+    trees = _t(spark, sf, "trees").withColumn("Plot", F.col("Plot").cast("string"))
+    parts = [factor_levels(trees, c).select(F.lit(c).alias("column_name"), F.col("value").cast("string").alias("value"), "level")
+             for c in ("SY", "Site", "Plot", "Species")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _contents(frames: dict[str, DataFrame], label: str) -> DataFrame:
     """Per table and column: rows, non-null values, the exact sum of numbers (6 decimals)
     and the least and greatest text."""

@@ -96,6 +96,26 @@ def report_round(c: Column | str, digits: int) -> Column:
     return F.bround(F.round(col(c), SNAP_DIGITS), digits)
 
 
+def binary_round(c: Column | str, digits: int) -> Column:
+    """Rounding of the number that a double really is, half to even: 0.15 is a little less than 15/100 and
+    gives 0.1, where the decimal rendering gives 0.2; 0.25 is a tie and gives 0.2.
+
+    The product with 10^digits is taken with its rounding error (the factors' halves multiply exactly), so a product that only
+    looks like a tie is told from one.  Exact while ``|c| * 10**digits`` is below 2^52 and for 0 to 7 digits; larger numbers,
+    NaN and infinities come back as they are, NULL stays NULL."""
+    if not 0 <= digits <= 7:
+        raise ValueError("digits must be between 0 and 7")
+    x, scale = col(c).cast("double"), F.lit(float(10 ** digits))
+    product = x * scale
+    wide = x * F.lit(float(2 ** 27 + 1))
+    high = wide - (wide - x)
+    error = (high * scale - product) + (x - high) * scale
+    nearest = F.rint(product)
+    off = product - nearest
+    step = F.when((off == 0.5) & (error > 0), 1.0).when((off == -0.5) & (error < 0), -1.0).otherwise(0.0)
+    return F.when(F.abs(product) < float(2 ** 52), (nearest + step) / scale + F.lit(0.0)).otherwise(x)
+
+
 def _fixed_text(v: Column, digits: int) -> Column:
     s = v.cast(f"decimal(38,{digits})").cast("string")
     if digits > 0:  # the text always has a '.', so trimming zeros stops there

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from plotstats.functions.aggregates import standard_error
 from plotstats.functions.expr import COVER_TYPES, mean_se_text, safe_number
-from plotstats.plans.reshape import pattern_columns, pivot_fixed, unpivot_by_pattern
+from plotstats.plans.reshape import open_cell, pattern_columns, pivot_fixed, pivot_open, unpivot_by_pattern
 from plotstats.sources.schemas import CANOPY_PREFIX
 
 # --- fixed values of the densiometer sheet and canopy report -----------------
@@ -70,6 +70,25 @@ def cover_table(cover: DataFrame) -> DataFrame:
                for t in COVER_TYPES])
 
 
+def canopy_cover_open(densio: DataFrame) -> DataFrame:
+    """SY, Site, cells: a map from every Type of the sheet to its struct (perc, perc_SE)."""
+    return pivot_open(canopy_cover(densio), ["SY", "Site"], "Type", ["perc", "perc_SE"])
+
+
+def open_cover_table(wide: DataFrame) -> DataFrame:
+    """The report table's columns (see ``canopy_cover_table``) of a ``canopy_cover_open`` result."""
+    cells = [open_cell(F.col("cells"), t, v, 0.0).alias(f"{t}_{v}") for t in COVER_TYPES for v in ("perc", "perc_SE")]
+    return wide.select("SY", "Site", *cells).select(
+        "*", *[mean_se_text(f"{t}_perc", f"{t}_perc_SE", 1).alias(COVER_LABELS[t]) for t in COVER_TYPES])
+
+
+def open_cover_text(wide: DataFrame) -> DataFrame:
+    """SY, Site, n_types, cover: "Type=mean ± SE" of every type of a ``canopy_cover_open`` result, by type."""
+    texts = F.transform(F.map_entries("cells"), lambda e: F.concat(
+        e["key"], F.lit("="), mean_se_text(e["value"]["perc"], e["value"]["perc_SE"], 1)))
+    return wide.select("SY", "Site", F.size("cells").alias("n_types"), F.array_join(texts, "; ").alias("cover"))
+
+
 def cover_series(cover: DataFrame) -> DataFrame:
     """Plot series from a ``canopy_cover`` result (see ``canopy_cover_series``)."""
     cover = cover.where(F.col("Type").isin(*COVER_TYPES))

@@ -191,3 +191,39 @@ def rescale_inverse(df: DataFrame, p: str, y: str, mean: str, se: str, out: str,
 def error_bar_bounds(df: DataFrame, mean: str, se: str) -> DataFrame:
     """One-sided bars: ymin = mean, ymax = mean + SE."""
     return df.withColumns({"ymin": F.col(mean), "ymax": F.col(mean) + F.col(se)})
+
+
+def axis_panels(gaps: Sequence[tuple[float, float]]) -> list[tuple[float | None, float | None, float]]:
+    """(low, high, shift) of the panels that an axis with these gaps shows, from below; None is an open
+    side, and a panel moves down by ``shift`` to stand on the one below."""
+    gaps = sorted((float(a), float(b)) for a, b in gaps)
+    if any(a > b for a, b in gaps) or any(x[1] > y[0] for x, y in zip(gaps, gaps[1:])):
+        raise ValueError("a gap must run upwards and gaps must not overlap")
+    out, low, shift = [], None, 0.0
+    for a, b in gaps:
+        out.append((low, a, shift))
+        low, shift = b, shift + (b - a)
+    return [*out, (low, None, shift)]
+
+
+def bars_across_breaks(df: DataFrame, mean: str, se: str, gaps: Sequence[tuple[float, float]]) -> DataFrame:
+    """``df`` with a row for each panel of a broken axis that shows something of the bar (0 to mean) or of
+    its error bar (mean to mean + SE): panel (1 is the lowest), bar_from, bar_to, err_from, err_to
+    (clipped to the panel, NULL where it shows nothing) and shift (see ``axis_panels``).  The lowest
+    panel is always there, so that a bar without a mean keeps its place on the axis.  One narrow
+    projection, no shuffle."""
+    m = F.col(mean)
+    bar = (F.when(m.isNotNull(), F.least(m, F.lit(0.0))), F.when(m.isNotNull(), F.greatest(m, F.lit(0.0))))
+    err = (m, m + F.col(se))
+    panels = []
+    for i, (low, high, shift) in enumerate(axis_panels(gaps), start=1):
+        cells = []
+        for what, (a, b) in (("bar", bar), ("err", err)):
+            known = a.isNotNull() & b.isNotNull()
+            start = a if low is None else F.greatest(a, F.lit(low))
+            end = b if high is None else F.least(b, F.lit(high))
+            shown = known & (start <= end)
+            cells += [F.when(shown, start).alias(f"{what}_from"), F.when(shown, end).alias(f"{what}_to")]
+        panels.append(F.struct(F.lit(i).alias("panel"), *cells, F.lit(shift).alias("shift")))
+    shown = F.filter(F.array(*panels), lambda p: (p["panel"] == 1) | p["bar_from"].isNotNull() | p["err_from"].isNotNull())
+    return df.select("*", F.inline(shown))

@@ -562,6 +562,40 @@ reg("species_display_name", query(["trees"], [],
     "SELECT Species, CASE Species WHEN 'RHMA' THEN 'R. mangle' WHEN 'AVGE' THEN 'A. germinians' "
     "WHEN 'LARA' THEN 'L. racemosa' END AS display_name, count(*) AS n_trees FROM trees GROUP BY Species"))
 
+# rounding by the exact decimal expansion of a double, as text: what is kept, and whether the rest is above, at or below a half
+_TEXT = "format('{:.80f}', abs(Height_cm))"
+_HALF = f"'5{'0' * 76}'"
+reg("binary_round", query(["saplings"], [
+    f"""br0 AS (SELECT SY, Site, Height_cm, CAST(replace(left({_TEXT}, -77), '.', '') AS BIGINT) AS kept,
+  right({_TEXT}, 77) AS rest FROM saplings)""",
+    f"""br AS (SELECT SY, Site, Height_cm, kept + CASE WHEN rest > {_HALF} OR rest = {_HALF} AND kept % 2 = 1 THEN 1 ELSE 0 END AS near FROM br0)"""],
+    "SELECT SY, Site, count(Height_cm) AS n_values, count(*) FILTER (CAST(near AS DOUBLE) / 1000.0::DOUBLE > Height_cm) AS n_up, CAST(sum(near) AS BIGINT) AS total_milli "
+    "FROM br GROUP BY SY, Site"))
+reg("factor_levels", query(["trees"], [], "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(v AS VARCHAR) AS value, row_number() OVER (ORDER BY v) AS level FROM "
+    f"(SELECT DISTINCT {x} AS v FROM trees WHERE {c} IS NOT NULL)"
+    for c, x in (("SY", "SY"), ("Site", "Site"), ("Plot", "CAST(Plot AS VARCHAR)"), ("Species", "Species")))))
+reg("canopy_cover_open", query(["densiometer"], _CC,
+    f"SELECT SY, Site, CAST(count(*) AS INTEGER) AS n_types, string_agg(Type || '=' || {txt('perc', 'perc_SE', 1)}, '; ' ORDER BY Type) AS cover "
+    "FROM cc GROUP BY SY, Site"))
+
+
+def _clipped(what: str, a: str, b: str) -> str:
+    start, end = f"greatest({a}, lo)", f"least({b}, hi)"
+    shown = f"{a} IS NOT NULL AND {b} IS NOT NULL AND {start} <= {end}"
+    return f"CASE WHEN {shown} THEN {start} END AS {what}_from, CASE WHEN {shown} THEN {end} END AS {what}_to"
+
+
+_ZERO = "CASE WHEN mean_site IS NOT NULL THEN {}(mean_site, 0.0::DOUBLE) END"
+reg("error_bar_panels", query(["regeneration", "densiometer"], _SEED + [
+    """pn AS (SELECT * FROM (VALUES (1, '-inf'::DOUBLE, 2.0123::DOUBLE, 0.0::DOUBLE),
+  (2, 2.1317::DOUBLE, 'inf'::DOUBLE, 2.1317::DOUBLE - 2.0123::DOUBLE)) AS p(panel, lo, hi, shift))""",
+    f"""pb AS (SELECT SY, Site, panel, shift, {_clipped('bar', _ZERO.format('least'), _ZERO.format('greatest'))},
+  {_clipped('err', 'mean_site', '(mean_site + count_SE)')} FROM seed, pn)"""],
+    "SELECT SY, Site, panel, bar_from, bar_to, err_from, err_to, shift FROM pb "
+    "WHERE panel = 1 OR bar_from IS NOT NULL OR err_from IS NOT NULL"),
+    ("bar_from", "bar_to", "err_from", "err_to", "shift"))
+
 # column contents of the survey tables (Plot is text once stored) and of the written results
 _KEYS = {"SY": "n", "Island": "t", "Site": "t", "Plot": "t", "Quadrat": "n"}
 _CELLS = {f"Calc_{d}_{t}": "t" for d in "NSEW" for t in _COVER}

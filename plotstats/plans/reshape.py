@@ -8,6 +8,9 @@
 * ``pivot_fixed`` – long → wide with the pivot values passed explicitly
   (no discovery job; a stable schema), optionally telling an *absent* cell
   apart from a present NULL so that only absent cells get a fill value.
+* ``pivot_open`` – long → wide for whatever values the data hold: the cells of a row
+  are a map, so there is no discovery job and the schema stays the same when a
+  value comes up that no one listed.  ``open_cell`` reads one of them.
 """
 
 from __future__ import annotations
@@ -76,3 +79,22 @@ def pivot_fixed(df: DataFrame, keys: Sequence[str], pivot_col: str, values: Sequ
                 cell = F.when(absent, F.lit(float(fill_absent))).otherwise(cell)
             out.append(cell.alias(name.format(value=v, col=c)))
     return wide.select(*out)
+
+
+def pivot_open(df: DataFrame, keys: Sequence[str], pivot_col: str, value_cols: Sequence[str],
+               name: str = "cells", missing: str = "NA") -> DataFrame:
+    """One row per ``keys`` with a map ``name`` from each pivot value that the data hold to a struct of
+    ``value_cols``; a NULL pivot value is filed under ``missing``.  An absent cell has no entry, a present
+    NULL has one.  The input must hold at most one row per (keys, pivot value): a second one raises, and
+    a row's map is as long as the pivot values are many."""
+    key = F.coalesce(F.col(pivot_col).cast("string"), F.lit(missing)).alias("key")
+    entry = F.struct(key, F.struct(*value_cols).alias("value"))
+    return df.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+
+
+def open_cell(cells: Column, key: str, value_col: str, fill_absent: float | None = None) -> Column:
+    """One value of a ``pivot_open`` map; with ``fill_absent`` an absent cell becomes that value."""
+    cell = F.try_element_at(cells, F.lit(key))[value_col]
+    if fill_absent is None:
+        return cell
+    return F.when(F.map_contains_key(cells, key), cell).otherwise(F.lit(float(fill_absent)))
