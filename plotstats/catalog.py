@@ -29,6 +29,7 @@ from plotstats.functions.expr import SNAP_DIGITS, basal_area, binary_round, mean
 from plotstats.operators import canopy, regen, sites, sizes, stand, water
 from plotstats.plans import report
 from plotstats.plans.levels import factor_levels
+from plotstats.plans.nested import plot_groups
 from plotstats.plans.session import remove_scratch, scratch_path
 from plotstats.sources import fixtures as fx
 from plotstats.sources import checks, io, workbook
@@ -346,9 +347,9 @@ def q_binary_round(spark, sf):
     upwards, and their sum in thousandths."""
     h = F.col("Height_cm")
     near = binary_round(h, 3)
-    return _t(spark, sf, "saplings").groupBy("SY", "Site").agg(
-        F.count(h).alias("n_values"), F.count(F.when(near > h, 1)).alias("n_up"),
-        F.sum(F.rint(near * 1000.0).cast("long")).alias("total_milli"))
+    plot = plot_groups(_r(spark, sf, "saplings"), ["SY", "Site", "Plot"], F.count(h).alias("n_values"), F.count(F.when(near > h, 1)).alias("n_up"),
+                       F.sum(F.rint(near * 1000.0).cast("long")).alias("total_milli"))
+    return plot.groupBy("SY", "Site").agg(*[F.sum(c).alias(c) for c in ("n_values", "n_up", "total_milli")])
 
 
 @register("factor_levels")
