@@ -40,7 +40,7 @@ from .components import components, dropped, saved
 
 PAGE, PAGE_SHINGLES = 4096, 1 << 21  # a page holds about so many points, and shingles, at most
 NODE = 16
-DIMENSIONS = ((512, 64), (4096, 512), (1 << 62, 4096))  # sets below a size have so many coordinates
+DIMENSIONS, PER_COORDINATE = (64, 4096), 6  # least and most coordinates; between them so many shingles to each, at most
 BUCKETS = 1 << 18
 SMALL = 48  # groups up to this size are compared without a tree
 SEEN_LIMIT = 500_000
@@ -76,14 +76,16 @@ def rare_keys(s: np.ndarray, num: int, den: int, load: np.ndarray | None = None)
 
 
 def counts_of(s: np.ndarray) -> np.ndarray:
-    """A set's point.  Larger sets have more coordinates, a multiple, so that points fold onto fewer ones."""
-    d = next(d for below, d in DIMENSIONS if len(s) < below)
+    """A set's point.  Its coordinates, a power of two, grow with the set, so that the bound stays sharp; points fold onto fewer."""
+    d = DIMENSIONS[0]
+    while d < DIMENSIONS[1] and d * PER_COORDINATE < len(s):
+        d *= 2
     return np.bincount((s >> np.uint64(17)).astype(np.int64) % d, minlength=d)
 
 
 def folded(points: list[np.ndarray]) -> np.ndarray:
     """Points of as many coordinates as the one of fewest."""
-    d = min(map(len, points), default=DIMENSIONS[0][1])
+    d = min(map(len, points), default=DIMENSIONS[0])
     return np.array([x if len(x) == d else x.reshape(-1, d).sum(0) for x in points], np.int64).reshape(-1, d)
 
 
@@ -213,6 +215,11 @@ def _sketch(rows: DataFrame, k: int, num: int, den: int, load: np.ndarray) -> Da
     return in_arrow(rows, run, "doc_id long, text_hash long, v long, n long, set_id binary, counts binary, keys array<long>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _paged(points: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(points (cell, v, n, ...) with page, uses: cell, page, i, j): sizes of a cell within the threshold's ratio, dealt out by hash into
     pages; the pairs i <= j of pages whose sizes can link, a page's own pair among them, each with the pages that it reads."""
@@ -230,7 +237,7 @@ def _paged(points: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
     pairs = pages.join(other, "cell").filter("page < to or page = to and several").filter(F.col("to_low") * num <= F.col("high") * den)
     pairs = pairs.select("cell", F.col("page").alias("i"), F.col("to").alias("j"))
     uses = pairs.select("cell", F.col("i").alias("page"), "i", "j").unionByName(pairs.filter("i <> j").select("cell", F.col("j").alias("page"), "i", "j"))
-    return dealt, uses
+    return dealt, saved(uses, "jaccard-uses")
 
 
 def _bounded_edges(edges: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -308,13 +315,13 @@ def _alike(sketch: DataFrame, num: int, den: int) -> DataFrame:
     # of two rows the star has told all; of more, only if they are one component
     open_ = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).filter("low < high and rows > 2").select("cell")
     dealt, uses = _paged(labelled.join(open_, "cell"), num, den)
-    rest = saved(dealt.join(uses, ["cell", "page"]).join(points, "v"), "jaccard-open")
+    rest = saved(dealt.join(_small(uses), ["cell", "page"]).join(points, "v"), "jaccard-open")
     more = components(spark, _bounded_groups(rest, num, den))
     # components of components: labels that the groups connect
     up = more.select(F.col("v").alias("root"), F.col("root").alias("top"))
     cells = near.join(up, "root", "left").select("v", F.coalesce("top", "root").alias("root")).unionByName(more.join(near.select("v"), "v", "left_anti"))
     cells = saved(cells, "jaccard-cells")
-    dropped(members, stars, labelled, rest)
+    dropped(members, stars, labelled, rest, uses)
     return cells
 
 
@@ -344,11 +351,9 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     dealt, uses = _paged(members, num, den)
     members = saved(dealt, "jaccard-members")
 
-    wanted = members.select("cell", "page", "v", "doc_id", "text_hash")
-    if wanted.count() <= BROADCAST_ROWS:  # a row is under 100 bytes; beyond that the texts are shuffled
-        wanted = F.broadcast(wanted)
+    wanted = _small(members.select("cell", "page", "v", "doc_id", "text_hash"))  # a row is under 100 bytes; beyond the bound the texts are shuffled
     picked = rows.alias("r").join(wanted.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.text_hash") == F.col("w.text_hash")))
-    points = _page_sets(picked.select("cell", "page", "v", "text"), k).join(uses, ["cell", "page"])
+    points = _page_sets(picked.select("cell", "page", "v", "text"), k).join(_small(uses), ["cell", "page"])
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -363,7 +368,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
 
     links = points.groupBy("cell", "i", "j").applyInArrow(verify, "a long, b long")
     classes = components(spark, links)
-    dropped(members)
+    dropped(members, uses)
     sets = sets.join(classes.withColumnRenamed("v", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = sets.groupBy("root").agg(F.min("least_id").alias("component_id"))
     sets = sets.join(least, "root").select("set_id", "component_id", F.col("root").alias("component_v"))
