@@ -2,9 +2,10 @@
 
 Every document gets its base counts; a document that fails the base rule is rejected
 with no further work.  The other rules run one after the other on what the rules before
-them left, ordered by rejections per second as measured on a bounded sample
-(``SAMPLE_ROWS`` documents at most).  The verdict is that of all rules together, so it does not depend
-on the order, only the time does.
+them left, ordered greedily by rejections per second: each next rule is the one that rejects most, for its time,
+of what the base rule and the rules before it leave.  Times and rejections are measured on a sample of about
+``SAMPLE_ROWS`` whole documents, in the tasks that read them; the driver gets one number for each rule and each set
+of rejecting rules.  The verdict is that of all rules together, so it does not depend on the order, only the time does.
 
 Words are separated by ASCII white space.  Base: word_chars (code points in words),
 n_symbols, n_dup_lines (lines with a word that equal an earlier line of the document),
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WHITE, bounded_sample, flags, in_arrow, runs, shingles, slices, span_hashes, sums, text_bytes, text_column
+from .common import WHITE, flags, in_arrow, runs, shingles, slices, span_hashes, sums, text_bytes, text_column
 
 SYMBOLS = flags(b"#*$%&|<>")
 UPPER, LOWER, DIGIT = flags(bytes(range(65, 91))), flags(bytes(range(97, 123))), flags(bytes(range(48, 58)))
@@ -155,16 +156,59 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {f.__name__: f for f in (
     odd_word_length, many_symbols, many_duplicate_lines, mostly_upper, few_letter_words, one_word)}
 
 
-def rule_order(sample: list[str], rules: dict = RULES) -> list[str]:
-    """Rule names by rejections per second on a sample, the best first; ties by name."""
-    t = Texts(*text_bytes(pa.array(sample, pa.string())))
-    rate = {}
-    for name, rule in rules.items():
-        fresh = Texts(t.data, t.offsets)
+def greedy_order(seconds: dict[str, float], rejected: dict[int, int]) -> list[str]:
+    """Rule names, each the one with most rejections per second of what those before it leave; ties by name.
+    ``rejected`` counts texts by the set of rules (bits in the order of ``seconds``) that reject them."""
+    bit, order = {name: 1 << i for i, name in enumerate(seconds)}, []
+    while len(order) < len(bit):
+        rate = {name: sum(n for m, n in rejected.items() if m & bit[name]) / max(seconds[name], 1e-9) for name in bit if name not in order}
+        order.append(min(rate, key=lambda name: (-rate[name], name)))
+        rejected = {m: n for m, n in rejected.items() if not m & bit[order[-1]]}
+    return order
+
+
+def measured(t: Texts, rules: dict = RULES) -> tuple[np.ndarray, np.ndarray]:
+    """(seconds of each rule, set of rejecting rules of each text), every rule on all texts."""
+    seconds, sets = np.zeros(len(rules)), np.zeros(t.n, np.int64)
+    for i, rule in enumerate(rules.values()):
+        fresh = Texts(t.data, t.offsets)  # a rule pays for the hashes it needs
         began = time.perf_counter()
-        rejected = int(rule(fresh).sum()) if t.n else 0
-        rate[name] = rejected / max(time.perf_counter() - began, 1e-9)
-    return sorted(rules, key=lambda n: (-rate[n], n))
+        if t.n:
+            sets |= rule(fresh).astype(np.int64) << i
+        seconds[i] = time.perf_counter() - began
+    return seconds, sets
+
+
+def rule_order(sample: list[str], rules: dict = RULES) -> list[str]:
+    """The order for texts at hand."""
+    seconds, sets = measured(Texts(*text_bytes(pa.array(sample, pa.string()))), rules)
+    found, n = np.unique(sets, return_counts=True)
+    return greedy_order(dict(zip(rules, seconds.tolist())), dict(zip(found.tolist(), n.tolist())))
+
+
+def base_rule(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(words in repeated windows, texts that fail)."""
+    repeat = repeated_words(t)
+    return repeat, (t.n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PCT * t.n_words)
+
+
+def rule_facts(rows: DataFrame, rules: dict = RULES) -> tuple[dict[str, float], dict[int, int]]:
+    """What :func:`greedy_order` takes, measured by Spark tasks on those of ``rows`` (text) that pass the base rule."""
+    def run(batches):
+        seconds, counts = np.zeros(len(rules)), {}
+        for batch in slices(batches, "text"):
+            t = Texts(*text_bytes(batch.column("text")))
+            spent, sets = measured(t.take(~base_rule(t)[1]), rules)
+            seconds += spent
+            for m, n in zip(*np.unique(sets, return_counts=True)):
+                counts[int(m)] = counts.get(int(m), 0) + int(n)
+        facts = [(i, None, x) for i, x in enumerate(seconds.tolist())] + [(None, m, float(n)) for m, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*facts), (pa.int32(), pa.int64(), pa.float64()))], names=["rule", "rejecting", "amount"])
+
+    facts = in_arrow(rows.select("text"), run, "rule int, rejecting long, amount double").groupBy("rule", "rejecting").agg(F.sum("amount").alias("amount"))
+    got = facts.collect()  # a row for each rule, and for each set of rules met in the sample
+    spent = {r.rule: r.amount for r in got if r.rule is not None}
+    return {name: spent.get(i, 0.0) for i, name in enumerate(rules)}, {r.rejecting: int(r.amount) for r in got if r.rule is None}
 
 
 def cascade(t: Texts, order: list[str], rules: dict = RULES) -> tuple[np.ndarray, dict[str, int]]:
@@ -183,15 +227,13 @@ def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_col: str = "tex
     """Per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    sample = bounded_sample(rows, "doc_id", sample_rows)
-    # a row's share of the sample's bytes is bounded as well: costs are a matter of pace
-    order = rule_order([r.text for r in sample.select(F.substring("text", 1, 1 << 16).alias("text")).collect()])
+    total = rows.count()
+    order = greedy_order(*rule_facts(rows.sample(sample_rows / total, seed=7) if total > sample_rows else rows))
 
     def judge(batches):
         for batch in slices(batches, "text"):
             t = Texts(*text_bytes(batch.column("text")))
-            repeat = repeated_words(t)
-            failed = (t.n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PCT * t.n_words)
+            repeat, failed = base_rule(t)
             kept = np.zeros(t.n, bool)
             left = np.flatnonzero(~failed)
             if len(left):

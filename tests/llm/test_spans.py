@@ -191,6 +191,30 @@ def test_verdict_does_not_depend_on_the_order_and_work_is_saved():
     assert judged[0] == t.n and judged == sorted(judged, reverse=True) and judged[-1] < t.n
 
 
+def test_rule_order_counts_what_earlier_rules_leave():
+    same = {"a": 1.0, "b": 1.0, "c": 1.0}
+    # b rejects nine, but only texts that a rejects too
+    assert quality_rules.greedy_order(same, {0b011: 9, 0b001: 1, 0b100: 3, 0: 5}) == ["a", "c", "b"]
+    assert quality_rules.greedy_order({**same, "a": 9.0}, {0b011: 9, 0b001: 1, 0b100: 3, 0: 5}) == ["b", "c", "a"]
+    assert quality_rules.greedy_order(same, {}) == ["a", "b", "c"]
+
+
+def test_rules_are_measured_on_base_survivors(docs_of):
+    texts = rule_texts() + ["", "a few words", "again " * 50, "clean words in a plain sentence that nobody would reject today at all"] * 3
+    t = quality_rules.Texts(*text_bytes(pa.array(texts)))
+    t = t.take(~quality_rules.base_rule(t)[1])
+    assert 0 < t.n < len(texts)
+    each = [f(t) for f in quality_rules.RULES.values()]
+    expected = {}
+    for r in range(t.n):
+        m = sum(1 << i for i, bad in enumerate(each) if bad[r])
+        expected[m] = expected.get(m, 0) + 1
+    seconds, rejected = quality_rules.rule_facts(docs_of(list(enumerate(texts))).repartition(3))
+    assert rejected == expected
+    assert list(seconds) == list(quality_rules.RULES) and min(seconds.values()) > 0
+    assert quality_rules.rule_facts(docs_of([]))[1] == {}
+
+
 def test_rule_order_follows_rejections_per_cost():
     import time
 
