@@ -3,7 +3,9 @@
 
 Writing.  A first pass takes only each payload's digest, length and id; of records with
 equal payloads of at least ``MIN_REVISIT`` bytes the smallest id stays a ``response`` and
-the others become ``revisit`` records without payload.  Records are lines of Spark's text
+the others become ``revisit`` records without payload.  The digests met more than once are written down and
+counted: ``BROADCAST_ROWS`` at most are broadcast, so that payloads stay where they are read; beyond that
+rows are joined by digest.  Records are lines of Spark's text
 writer with ``CRLF CRLF`` as line end, which is just the end of a WARC record, so
 Spark's committer makes the files on any file system and repeats lost tasks.
 
@@ -33,6 +35,7 @@ from .components import dropped, saved
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 MIN_REVISIT = 100
+BROADCAST_ROWS = 200_000  # digests, about 100 bytes each
 
 
 def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url",
@@ -43,8 +46,9 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
                         F.coalesce(F.col(payload_column).cast("binary"), F.lit(b"")).alias("payload"))
     facts = rows.select("id", F.length("payload").alias("bytes"), F.sha2("payload", 256).alias("digest"))
     first = facts.filter(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    first = first.filter((F.col("n") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id")
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(first, "digest", "left")
+    first = saved(first.filter((F.col("n") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id"), "warc-repeated")
+    small = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(small, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     clean = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
 
@@ -65,6 +69,7 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
     body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
     record = F.concat(head.cast("binary"), body).cast("string")
     rows.select(record).write.option("lineSep", END).option("compression", compression).text(path)
+    dropped(first)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:

@@ -162,3 +162,12 @@ def test_long_urls_keep_the_records_behind_them(spark):
     assert read_back(spark, path) == expected_pages(rows)
     urls = {r.record_id: r.target_uri for r in warc.read_warc(spark, path).collect()}
     assert all(urls[f"<urn:page:{i}>"] == url for i, url, _ in rows)
+
+
+def test_warc_repeats_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    path, body = scratch_path(spark, "test-warc"), "z" * 200
+    warc.write_warc(pages_of(spark, [(3, "u", body), (1, "u", body), (2, "u", "short"), (4, "u", "short"), (5, "u", None)]), path)
+    got = warc.page_records(warc.read_warc(spark, path, payload=False)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == [
+        (1, "response", None, 200), (2, "response", None, 5), (3, "revisit", 1, 200), (4, "response", None, 5), (5, "response", None, 0)]
