@@ -1,5 +1,6 @@
 """Row order on load, workbooks, report versions, sheet checks, merged states."""
 
+import io as io_
 import os
 import random
 import zipfile
@@ -7,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from plotstats import catalog
 from plotstats.functions import aggregates as ag
 from plotstats.operators import sites, sizes, stand
 from plotstats.plans import nested, report
@@ -110,6 +112,59 @@ def test_cells_of_every_kind(tmp_path):
     assert cells(content, "S", ["Far", "Name"]) == [[5, "1.50E-2", "rich text"], [6, None, None], [9, "TRUE", "formula"]]
 
 
+def test_plain_rows_need_no_xml_parser(monkeypatch):
+    """Rows in the usual form cost a pattern each; the parser reads the header, and on from the first other row."""
+    closed, seen = workbook._closed, []
+
+    def counted(book, part, tag):
+        for e in closed(book, part, tag):
+            seen.append(tag)
+            yield e
+
+    columns, table = ["n", "text", "d", "flag"], [[i, f"t{i % 7}", i / 3 if i % 2 else None, bool(i % 2)] for i in range(500)]
+    content = book({"S": (columns, table)})
+    monkeypatch.setattr(workbook, "_closed", counted)
+    monkeypatch.setattr(workbook, "READ_BYTES", 1000)
+    plain = cells(content, "S", ["flag", "text", "none", "d"])
+    assert plain == [[i + 2, "TRUE" if f else "FALSE", t, None, None if d is None else repr(d)] for i, (_, t, d, f) in enumerate(table)]
+    assert seen.count("row") == 1
+    monkeypatch.setattr(workbook, "STRING_BYTES", 0)  # strings in use only
+    assert cells(content, "S", ["flag", "text", "none", "d"]) == plain
+
+    def changed(old, new, encoding="utf-8"):
+        out = io_.BytesIO()
+        with zipfile.ZipFile(io_.BytesIO(content)) as a, zipfile.ZipFile(out, "w") as b:
+            for part in a.namelist():
+                x = a.read(part).decode()
+                b.writestr(part, x.replace(old, new).encode(encoding) if part.endswith("sheet1.xml") else x.encode())
+        return cells(out.getvalue(), "S", ["flag", "text", "none", "d"])
+
+    row = '<row r="300"><c r="A300"><v>298</v></c>'
+    assert changed(row, row.replace("300", "300", 1) + "<!-- <c r=\"C300\"><v>7</v></c> -->") == plain
+    assert changed(row, row.replace("298", "&#50;98")) == plain
+    assert changed(row, '<row spans="1:4"><c><v>298</v></c>') == plain
+    assert changed(row, "<row r='299' hidden='1'/>" + row) == plain
+    assert changed(row, row.replace("><c", ' spans="1:4" ht="15.5"><c s="3"', 1).replace('c s="3" r="A300"', 'c r="A300" s="3"')) == plain
+    assert changed('encoding="UTF-8"', 'encoding="UTF-16"', "utf-16") == plain
+    assert changed('<sheetData>', '<!-- <sheetData><row r="1"><c r="A1"><v>1</v></c></row> --><sheetData>') == plain
+    missing = changed('<c r="A300"><v>298</v></c><c r="B300" t="s"', '<c r="A300" s="2"/><c r="B300" t="e"')
+    assert missing[298] == [300, "FALSE", None, None, None]
+    assert missing[:298] + missing[299:] == plain[:298] + plain[299:]
+
+
+def test_workbook_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    """The rows of one input part are packed by many tasks, and every workbook is a file of its own."""
+    written = []
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    pack = workbook.pack_workbooks
+    monkeypatch.setattr(workbook, "pack_workbooks", lambda df, sheet, prefix: written.append((prefix, df)) or pack(df, sheet, prefix, 500))
+    catalog.QUERIES["workbook_scan"](spark, SF)
+    books = spark.read.parquet(f"{tmp_path}/workbooks/books")
+    files = [f for f in os.listdir(tmp_path / "workbooks/books") if f.endswith(".parquet")]
+    assert books.count() > 9 and len(files) >= books.count()
+    assert all("Exchange hashpartitioning(SY" in df._jdf.queryExecution().toString() for n, df in written if n != "coordinates")
+
+
 def test_folder_of_workbooks_equals_csv(spark, tmp_path):
     names = ["trees", "densiometer", "coordinates"]
     tables = {n: io.conform(fx.BUILDERS[n](spark, SF), n) for n in names}
