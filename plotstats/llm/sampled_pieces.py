@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import in_arrow, mix, slices, with_fields, worker_memo
 
-SLICE = 1 << 20
+SLICE = 1 << 19  # bytes of text sampled at a time
 IDS = 1 << 18  # ids decoded at a time, unless one row has more
-CHUNK = 1 << 17  # characters of units whose lattices are built at a time
+CHUNK = 1 << 16  # characters of units whose lattices are built at a time
 SPACE = "▁"
 UNIT = re.compile(r" +[^ ]*")
 GAP = "\0"  # between units when they are matched; no piece holds it
@@ -69,39 +69,71 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 raw[i] = names[i].replace(SPACE, " ").encode()
         self.byte_weight = float(self.weight[ordinary].min())
-        # a trie of the pieces: edges (node, character class) -> node, sorted to be searched
+        # a trie of the pieces: edges (node, character class) -> node
         chars = sorted({c for i in ordinary for c in names[i].replace(SPACE, " ")} - {GAP})
-        self.classes = np.zeros(0x110000, np.int64)  # 0: in no piece
+        self.classes = np.zeros(0x110000, np.int32)  # 0: in no piece
         self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.width, edges, ends = len(chars) + 1, {}, {}
+        width, edges, ends = len(chars) + 1, {}, {}
         for i in ordinary:
             if SPACE in names[i].lstrip(SPACE):
                 raise ValueError("a piece holds a space behind another character")
             node = 0
             for c in names[i].replace(SPACE, " "):
-                node = edges.setdefault(node * self.width + int(self.classes[ord(c)]), len(edges) + 1)
+                node = edges.setdefault(node * width + int(self.classes[ord(c)]), len(edges) + 1)
             ends[node] = i
-        self.edge_key = np.array(sorted(edges), np.int64)
-        self.edge_to = np.array([edges[k] for k in sorted(edges)], np.int64)
+        self._lay_out(edges, width)
         self.ends = np.full(len(edges) + 1, -1, np.int32)
         self.ends[list(ends)] = list(ends.values())
         self.raw_length = np.array([len(x) for x in raw])
         self.raw_start = np.concatenate(([0], np.cumsum(self.raw_length)))
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    def _lay_out(self, edges: dict[int, int], width: int) -> None:
+        """The trie as a table: the edge of class ``c`` out of a node lies in slot ``base[node] + c`` if ``owner``
+        names the node there.  Nodes of many edges are laid down first, those of one take the slots left."""
+        keys = np.array(sorted(edges), np.int64)
+        to = np.array([edges[k] for k in keys.tolist()], np.int32)
+        nodes, kinds = np.divmod(keys, width)
+        owners, first, n = np.unique(nodes, return_index=True, return_counts=True)
+        free, low, bases = np.ones(len(keys) + 4 * width, bool), width, np.zeros(len(owners), np.int64)
+        for i in np.argsort(-n, kind="stable")[:int((n > 1).sum())].tolist():
+            kind, at = kinds[first[i]:first[i] + n[i]], low
+            kind = kind - kind[0]
+            while True:
+                if at + 256 + width > len(free):
+                    free = np.concatenate((free, np.ones(len(free), bool)))
+                places = at + np.flatnonzero(free[at:at + 256])
+                fits = free[places[:, None] + kind].all(1)
+                if fits.any():
+                    break
+                at += 256
+            place = int(places[fits.argmax()])
+            free[place + kind] = False
+            bases[i] = place - kinds[first[i]]
+            if free[low:low + 256].sum() < 128:  # the rest is for nodes of one edge
+                low += 256
+        alone = np.flatnonzero(n == 1)
+        left = width + np.flatnonzero(np.concatenate((free[width:], np.ones(len(alone), bool))))[:len(alone)]
+        bases[alone] = left - kinds[first[alone]]
+        slots = int(bases.max(initial=0)) + width
+        self.base = np.full(len(edges) + 1, slots, np.int32)  # a node without edges: slots of nobody
+        self.base[owners] = bases
+        self.owner, self.edge_to = np.full(slots + width, -1, np.int32), np.zeros(slots + width, np.int32)
+        slot = self.base[nodes] + kinds
+        self.owner[slot], self.edge_to[slot] = nodes, to
+
     def find(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id) of every piece at every place, all places walking the trie at once."""
-        kinds = np.append(self.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)], 0)
-        start, node, length, out = np.arange(len(text)), np.zeros(len(text), np.int64), 0, []
+        kinds = np.append(self.classes[np.frombuffer(text.encode("utf-32-le"), np.uint32)], np.int32(0))
+        start, node, length, out = np.arange(len(text), dtype=np.int32), np.zeros(len(text), np.int32), 0, []
         while len(start):
-            kind = kinds[start + length]
-            key = node * self.width + kind
-            at = np.minimum(np.searchsorted(self.edge_key, key), len(self.edge_key) - 1)
-            go = (self.edge_key[at] == key) & (kind > 0)
-            start, node, length = start[go], self.edge_to[at[go]], length + 1
+            slot = self.base[node] + kinds[start + length]
+            go = np.flatnonzero(self.owner[slot] == node)
+            start, node, length = start[go], self.edge_to[slot[go]], length + 1
             piece = self.ends[node]
-            hit = piece >= 0
-            out.append((start[hit], start[hit] + length, piece[hit]))
+            hit = np.flatnonzero(piece >= 0)
+            at = start[hit]
+            out.append((at, at + np.int32(length), piece[hit]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -122,20 +154,32 @@ class Lattice:
         self.text = GAP.join(units) + GAP
         chunk = self.start // CHUNK
         cuts = [*np.flatnonzero(np.diff(chunk, prepend=-1)).tolist(), len(units)]
-        parts = []
+        keys, sources, ids, edges = [], [], [], []
         for a, b in zip(cuts[:-1], cuts[1:]):
             part = _Part(units[a:b], lens[a:b], p, alpha)
             base = int(self.start[a])
-            parts.append((part.key + base, (part.source + base).astype(np.int32), part.piece, part.edges))
-        self.key, self.source, self.piece, edges = (np.concatenate(x) for x in zip(*parts))
+            keys.append(part.key + base)
+            sources.append(part.source + np.int32(base))
+            ids.append(part.piece)
+            edges.append(part.edges)
+        # one after another, as they are the most of a task's memory
+        self.key = np.concatenate(keys)
+        del keys, part
+        self.source = np.concatenate(sources)
+        del sources
+        self.piece, edges = np.concatenate(ids), np.concatenate(edges)
         self.first = np.concatenate(([0], np.cumsum(edges, dtype=np.int32)))  # first edge into each node
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge into each node, drawn with its posterior probability: the first whose running share
-        exceeds u.  Node and share add up to one number to search, which rounds for large nodes, so what is
-        found is kept among the node's own edges."""
-        at = np.searchsorted(self.key, node + u, "right")
-        return np.clip(at, self.first[node], self.first[node + 1] - 1)
+        exceeds u, else the last.  Longer pieces come last and are mostly drawn, so the search runs backwards."""
+        at, low, high = self.first[node + 1] - 1, self.first[node], node + u
+        live = np.flatnonzero(at > low)
+        while len(live):
+            live = live[self.key[at[live] - 1] > high[live]]
+            at[live] -= 1
+            live = live[at[live] > low[live]]
+        return at
 
 
 class _Part:
@@ -150,7 +194,7 @@ class _Part:
         single = np.ones(len(text), bool)
         single[source[node - source == 1]] = False
         single[self.end] = False
-        alone = np.flatnonzero(single)
+        alone = np.flatnonzero(single).astype(np.int32)
         size = np.array([len(text[i].encode()) for i in alone], np.int64)
         node = np.concatenate((node, alone + 1))
         source = np.concatenate((source, alone))
@@ -167,20 +211,25 @@ class _Part:
         # nodes at one distance from their unit's start are filtered together
         nodes = self.node[first]
         distance = nodes - self.start[np.searchsorted(self.start, nodes - 1, "right") - 1]
-        share = np.empty(len(self.node))
         by = np.argsort(distance, kind="stable")
         cuts = np.flatnonzero(np.diff(distance[by], prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            group = by[a:b]
-            n = ends[group] - first[group]
-            heads = np.concatenate(([0], np.cumsum(n)[:-1]))
-            edge = np.arange(int(n.sum())) - np.repeat(heads - first[group], n)
-            value = total[self.source[edge]] + weight[edge]
+        n = (ends - first)[by]
+        head = np.concatenate(([0], np.cumsum(n)))
+        edge = np.arange(len(self.node)) - np.repeat(head[:-1] - first[by], n)  # edges in this order of their nodes
+        source, weight, nodes_by, part = self.source[edge], weight[edge], nodes[by], np.empty(len(edge))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            to = slice(int(head[a]), int(head[b]))
+            heads, many = head[a:b] - head[a], n[a:b]
+            value = total[source[to]]
+            value += weight[to]
             top = np.maximum.reduceat(value, heads)
-            part = np.exp(value - np.repeat(top, n))
-            whole = np.add.reduceat(part, heads)
-            total[nodes[group]] = top + np.log(whole)
-            share[edge] = part / np.repeat(whole, n)
+            value -= np.repeat(top, many)
+            np.exp(value, out=value)
+            whole = np.add.reduceat(value, heads)
+            total[nodes_by[a:b]] = top + np.log(whole)
+            part[to] = value / np.repeat(whole, many)
+        share = np.empty(len(edge))
+        share[edge] = part
         # running shares inside each node, offset by the node, and the number of edges into each of the part's nodes
         run = np.cumsum(share)
         before = np.concatenate(([0.0], run[ends[:-1] - 1])) if len(first) else np.zeros(0)
@@ -198,6 +247,7 @@ def sample(texts: list[str], keys: np.ndarray, p: Pieces, alpha: float, seed: in
     unit = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n_units.sum()))
     if not len(unit):
         return [np.empty(0, np.int32) for _ in texts]
+    del split  # every unit's own string; the distinct ones stay
     lattice = Lattice(list(index), p, alpha)
     row = np.repeat(np.arange(len(texts)), n_units)
     lens = (lattice.end - lattice.start)[unit]
@@ -251,11 +301,13 @@ def encode(docs: DataFrame, model_path: str, key_column: str = "doc_id", text_co
             texts = batch.column(text_col).to_pylist()
             got = sample([t or "" for t in texts], batch.column(key).to_numpy(zero_copy_only=False).view(np.uint64), p, alpha, seed)
             stops = np.concatenate(([0], np.cumsum([len(x) for x in got], dtype=np.int64)))
+            flat = np.concatenate(got)
+            del got
             offsets = pa.array(stops, pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
             same = []
             if lossless:
-                data, bounds = decode_ids(np.concatenate(got), stops, p)
+                data, bounds = decode_ids(flat, stops, p)
                 back = data.tobytes()
                 same.append(pa.array([back[a:b] == (t or "").encode() for a, b, t in zip(bounds[:-1], bounds[1:], texts)], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids, *same], names=[*names, out, *([lossless] if lossless else [])])

@@ -174,3 +174,31 @@ def test_the_largest_draws_end_and_stay_lossless(pieces, monkeypatch):
     ids = sp.sample([text], np.array([7], np.uint64), pieces, 0.5, 1)[0]
     raw = b"".join(pieces.raw[pieces.raw_start[i]:pieces.raw_start[i + 1]].tobytes() for i in ids)
     assert raw.decode() == " " + text
+
+
+def test_the_table_of_the_trie_finds_every_piece(pieces):
+    """Every ordinary piece is found where it stands, and nothing else; a search of the text costs no bisection."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    names = {m.id_to_piece(i).replace(sp.SPACE, " "): i for i in range(m.get_piece_size())
+             if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
+    longest = max(map(len, names))
+    for text in (sp.GAP.join(names), " the \U0001f642 caf\u00e9 \u6f22\u5b57\0 in\ud7ff\uffff", "x"):
+        got = sorted(zip(*(x.tolist() for x in pieces.find(text))))
+        assert got == sorted((a, b, names[text[a:b]]) for a in range(len(text)) for b in range(a + 1, min(a + longest, len(text)) + 1) if text[a:b] in names)
+    assert not hasattr(pieces, "edge_key")
+
+
+def test_a_sample_of_a_slice_holds_little(pieces):
+    """Peak of the arrays and strings for one slice of varied text: two workers share an executor with the JVM."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(200)) for _ in range(sp.SLICE // 1100)]
+    sp.sample(texts[:2], np.arange(2), pieces, 1.0, 0)
+    tracemalloc.start()
+    sp.sample(texts, np.arange(len(texts)), pieces, 1.0, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
