@@ -28,6 +28,7 @@ table gives no file and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -145,7 +146,8 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
         probes = ("The cat, that SAT's ÉTÉ. \"q.\" 12,5 a_b... x.y né** ab|| l'été!? x_ y<", "The J\u030c, SAT. T\u0308 H\u0331! W\u030a Y\u030a")
-        self.splits = all(b"".join(self._ids(w.decode()) for w in self._words(probe)) == self._ids(probe) for probe in probes)
+        words = [self._words(probe) for probe in probes]
+        self.splits = all(b"".join(self._each(w)) == self._ids(probe) and self._each(w) == [self._ids(x.decode()) for x in w] for w, probe in zip(words, probes))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -155,22 +157,37 @@ class WordEncoder:
         return self.STOP.sub(rb" \1", raw if not text.isascii() and self.PAIR.search(raw) else raw.lower()).split()
 
     def __call__(self, text: str) -> np.ndarray:
-        if not self.splits or "<|" in text:
-            return np.frombuffer(self._ids(text), "<u4")
-        known, words = self.known, self._words(text)
-        missing = [w for w in set(words) if w not in known]
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the words that are new in all of them are encoded together."""
+        split = [self._words(t) if self.splits and "<|" not in t else None for t in texts]
+        known = self.known
+        got = [None if words is None else list(map(known.get, words)) for words in split]
+        late = [i for i, ids in enumerate(got) if ids is not None and None in ids]
+        missing = {w for i in late for w, ids in zip(split[i], got[i]) if ids is None}
         if missing:
             if len(known) + len(missing) > self.limit // 2:
                 self.older, self.known = known, {}
-                known, missing = self.known, list(set(words))
+                known, missing = self.known, {w for i in late for w in split[i]}
             old = self.older
             known.update((w, old[w]) for w in missing if w in old)
             new = [w for w in missing if w not in old]
             for i in range(0, len(new), 1000):
-                part = new[i:i + 1000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+                known.update(zip(new[i:i + 1000], self._each(new[i:i + 1000])))
+            for i in late:
+                got[i] = map(known.__getitem__, split[i])
+        return [np.frombuffer(self._ids(t) if ids is None else b"".join(ids), "<u4") for t, ids in zip(texts, got)]
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word: all are encoded as one text and told apart by where the tokens begin in it."""
+        text = b" ".join(words).decode()
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        starts = np.fromiter(itertools.chain((0,), itertools.accumulate(len(w.decode()) + 1 for w in words)), np.int64, len(words) + 1)
+        begin = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        cuts = (4 * np.searchsorted(begin, starts)).tolist()
+        raw = np.array(found.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_column: str = "doc_id",
@@ -192,8 +209,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_column
             return pa.RecordBatch.from_pydict({"shard": pa.array([pack_shard(part, ordinal, docs_in, counts, np.concatenate(ids))], pa.binary())})
 
         for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                got = encode(text)
+            for doc_id, got in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text").to_pylist())):
                 if docs_in and held + len(got) + 1 > tokens_per_shard:
                     yield close()
                     ids, docs_in, counts, held, ordinal = [], [], [], 0, ordinal + 1

@@ -60,6 +60,29 @@ def test_word_memory_keeps_capitals_that_compose_in_lower_case_only():
         assert [*encode(text), 1] == ids_of(text), repr(text)
 
 
+def test_new_words_of_many_texts_are_encoded_together():
+    """One call of the tokenizer for a thousand new words, with the ids of each text as a whole."""
+    encode = tf.WordEncoder(BPE)
+    assert encode.splits
+    whole, calls = encode.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **options):
+            calls.append(text)
+            return whole.encode(text, **options)
+
+    odd = ["J\u030c, SAT. T\u0308", "", " \u00a0 \u2028 x\u00a0", "\u0301 alone e\u0301\u0323x", "\u6f22\u5b57 \U0001f642\u200d\U0001f525 \u1100\u1161", "it's 12,5 \x00\x1c \ufffd", "<|endoftext|> A b", "\u0130 \u1e9e \ufb01"]
+    texts = [f"w{i} common n{i * 7}x, {odd[i % len(odd)]} q{i % 13}!" for i in range(300)] + odd
+    encode.tokenizer = Counted()
+    got = encode.batch(texts)
+    assert len(calls) <= 3 + sum("<|" in t for t in texts)
+    for t, ids in zip(texts, got):
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    small = tf.WordEncoder(BPE, limit=20)
+    assert [x.tolist() for x in small.batch(texts[:50])] == [x.tolist() for x in got[:50]]
+    assert [x.tolist() for x in small.batch(texts[40:])] == [x.tolist() for x in got[40:]]
+
+
 @pytest.mark.parametrize("shard", [1, 40, 1 << 20])
 def test_token_files_round_trip(spark, docs_of, awkward, shard):
     path = scratch_path(spark, "test-tokens")
