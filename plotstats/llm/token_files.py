@@ -164,19 +164,19 @@ class WordEncoder:
         split = [self._words(t) if self.splits and "<|" not in t else None for t in texts]
         known = self.known
         got = [None if words is None else list(map(known.get, words)) for words in split]
-        late = [i for i, ids in enumerate(got) if ids is not None and None in ids]
-        missing = {w for i in late for w, ids in zip(split[i], got[i]) if ids is None}
+        holes = [(i, k) for i, found in enumerate(got) if found is not None for k, ids in enumerate(found) if ids is None]
+        missing = {split[i][k] for i, k in holes}
         if missing:
             if len(known) + len(missing) > self.limit // 2:
                 self.older, self.known = known, {}
-                known, missing = self.known, {w for i in late for w in split[i]}
+                known, missing = self.known, set().union(*(words for words in split if words))
             old = self.older
             known.update((w, old[w]) for w in missing if w in old)
             new = [w for w in missing if w not in old]
             for i in range(0, len(new), 1000):
                 known.update(zip(new[i:i + 1000], self._each(new[i:i + 1000])))
-            for i in late:
-                got[i] = map(known.__getitem__, split[i])
+            for i, k in holes:
+                got[i][k] = known[split[i][k]]
         return [np.frombuffer(self._ids(t) if ids is None else b"".join(ids), "<u4") for t, ids in zip(texts, got)]
 
     def _each(self, words: list[bytes]) -> list[bytes]:
