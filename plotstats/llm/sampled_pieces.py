@@ -245,6 +245,7 @@ def sample(texts: list[str], keys: np.ndarray, p: Pieces, alpha: float, seed: in
     index.default_factory = index.__len__
     n_units = np.array([len(x) for x in split], np.int64)
     unit = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n_units.sum()))
+    index.default_factory = None  # it holds the index, which would outlive this call until a garbage collection
     if not len(unit):
         return [np.empty(0, np.int32) for _ in texts]
     del split  # every unit's own string; the distinct ones stay

@@ -1,6 +1,8 @@
 """Sampled pieces (1), language (2) and quality (3)."""
 
+import gc
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -66,6 +68,25 @@ def test_round_trip_and_reproducible_samples(spark, docs_of, awkward):
     assert sp.encode(docs_of([]), MODEL).count() == 0
 
 
+def test_slices_do_not_add_up_in_memory(pieces):
+    """What a slice held is free when it has been sampled, without a run of the garbage collector."""
+    def slice_of(k):
+        texts = [" ".join(f"w{(k * 20 + i) * 500 + j}x" for j in range(500)) for i in range(20)]
+        return sum(len(ids) for ids in sp.sample(texts, np.arange(20), pieces, 1.0, 0))
+
+    slice_of(0)
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        assert all(slice_of(k) for k in range(1, 6))
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert held < 200_000
+
+
 EN = "the of and to in is that for it was on are as with his they at be this have from or had by"
 FR = "le de un être et à il avoir ne je son que se qui ce dans en du elle au pour pas que vous"
 
