@@ -32,6 +32,7 @@ import itertools
 import os
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -121,6 +122,11 @@ def unpack_shard(raw: bytes):
 
 # ---- encoding ------------------------------------------------------------
 
+def _is_folded(word: str) -> bool:
+    """Whether composing and lower case leave the word as it is; only words of one kind share a text."""
+    return unicodedata.normalize("NFC", word.lower()) == word
+
+
 class WordEncoder:
     """Ids of whole texts by a memory of word encodings.
 
@@ -145,6 +151,12 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
+        self.normalizer, bare = self.tokenizer.normalizer, Tokenizer.from_file(path)
+        bare.normalizer = None
+        self.bare = bare.encode_batch_fast  # of text that is normalized already, without looking for where tokens begin
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "", self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token, one a character as in a byte-level vocabulary
+        self.sizes[list(vocab.values())] = [len(name.removesuffix(suffix)) for name in vocab]
         probes = ("The cat, that SAT's ÉTÉ. \"q.\" 12,5 a_b... x.y né** ab|| l'été!? x_ y<", "The J\u030c, SAT. T\u0308 H\u0331! W\u030a Y\u030a")
         words = [self._words(probe) for probe in probes]
         self.splits = all(b"".join(self._each(w)) == self._ids(probe) and self._each(w) == [self._ids(x.decode()) for x in w] for w, probe in zip(words, probes))
@@ -164,30 +176,49 @@ class WordEncoder:
         split = [self._words(t) if self.splits and "<|" not in t else None for t in texts]
         known = self.known
         got = [None if words is None else list(map(known.get, words)) for words in split]
-        holes = [(i, k) for i, found in enumerate(got) if found is not None for k, ids in enumerate(found) if ids is None]
-        missing = {split[i][k] for i, k in holes}
+        holes = [(i, [k for k, ids in enumerate(found) if ids is None]) for i, found in enumerate(got) if found is not None and None in found]
+        missing = {split[i][k] for i, ks in holes for k in ks}
         if missing:
             if len(known) + len(missing) > self.limit // 2:
                 self.older, self.known = known, {}
                 known, missing = self.known, set().union(*(words for words in split if words))
             old = self.older
             known.update((w, old[w]) for w in missing if w in old)
-            new = [w for w in missing if w not in old]
-            for i in range(0, len(new), 1000):
-                known.update(zip(new[i:i + 1000], self._each(new[i:i + 1000])))
-            for i, k in holes:
-                got[i][k] = known[split[i][k]]
+            folded, other = [], []
+            for w in missing:
+                if w not in old:
+                    (folded if w.isascii() or _is_folded(w.decode()) else other).append(w)
+            for group in (folded, other):
+                for i in range(0, len(group), 1000):
+                    known.update(zip(group[i:i + 1000], self._each(group[i:i + 1000])))
+            for i, ks in holes:
+                found, words = got[i], split[i]
+                for k in ks:
+                    found[k] = known[words[k]]
         return [np.frombuffer(self._ids(t) if ids is None else b"".join(ids), "<u4") for t, ids in zip(texts, got)]
 
     def _each(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word: all are encoded as one text and told apart by where the tokens begin in it."""
+        """The ids of each word: all are encoded as one text and told apart by the bytes of their tokens.  Words for
+        which those don't add up, as with white space beyond ASCII inside, are told apart by where the tokens begin."""
         text = b" ".join(words).decode()
+        alone, shown = words, text if self.normalizer is None else self.normalizer.normalize_str(text)
+        if shown != text:  # each by itself, as white space that is put in or taken out would shift the words
+            alone = [self.normalizer.normalize_str(w.decode()).encode() for w in words]
+            shown = b" ".join(alone).decode()
+        ids = np.array(self.bare([shown], add_special_tokens=False)[0].ids, "<u4")
+        ends, stops = np.cumsum(self.sizes[ids]), np.cumsum([len(w) for w in alone])
+        cuts = np.searchsorted(ends, stops)  # the last token of each word
+        if len(ends) and ends[-1] == stops[-1] and (ends[cuts] == stops).all():
+            return self._cut(ids, [0, *(cuts + 1).tolist()])
         found = self.tokenizer.encode(text, add_special_tokens=False)
         starts = np.fromiter(itertools.chain((0,), itertools.accumulate(len(w.decode()) + 1 for w in words)), np.int64, len(words) + 1)
         begin = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-        cuts = (4 * np.searchsorted(begin, starts)).tolist()
-        raw = np.array(found.ids, "<u4").tobytes()
-        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return self._cut(np.array(found.ids, "<u4"), np.searchsorted(begin, starts).tolist())
+
+    @staticmethod
+    def _cut(ids: np.ndarray, cuts: list[int]) -> list[bytes]:
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_column: str = "doc_id",

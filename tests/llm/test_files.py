@@ -83,6 +83,33 @@ def test_new_words_of_many_texts_are_encoded_together():
     assert [x.tolist() for x in small.batch(texts[40:])] == [x.tolist() for x in got[40:]]
 
 
+def test_new_words_are_told_apart_by_the_bytes_of_their_tokens():
+    """Offsets, which cost as much as the ids, are asked for only where bytes don't tell the words apart."""
+    encode = tf.WordEncoder(BPE)
+    whole, asked = encode.tokenizer, []
+
+    class Offsets:
+        def encode(self, text, **options):
+            asked.append(text)
+            return whole.encode(text, **options)
+
+    encode.tokenizer = Offsets()
+    random.seed(5)
+    letters = [*"abcdeghorstuyzAEK019", "'", "-", "_", ".", "é", "É", "ß", "漢", "🙂", "J\u030c", "e\u0301", "\u0130", "\u1e9e", "\x00", "\x1c", "\ufffd"]
+    texts = [" ".join("".join(random.choices(letters, k=random.randint(1, 12))) for _ in range(40)) for _ in range(100)]
+    got = encode.batch(texts)
+    assert not asked
+    odd = ["x\u00a0y \u00a0 \u2028z", "Prix\u00a0: 12\u00a0€, l\u2019été\u202f!", "\u0085 a\u3000b"]
+    got += encode.batch(odd)
+    assert asked
+    shifted = [x.encode() for x in ("é", "\u00a0", "x\u00a0y", "É", "\u2003\u2003")]
+    assert encode._each(shifted) == [encode._ids(w.decode()) for w in shifted]
+    off = tf.WordEncoder(BPE)
+    off.sizes[:] = 0  # as if the vocabulary were not byte-level
+    for t, ids, other in zip(texts + odd, got, off.batch(texts + odd), strict=True):
+        assert ids.tolist() == other.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("shard", [1, 40, 1 << 20])
 def test_token_files_round_trip(spark, docs_of, awkward, shard):
     path = scratch_path(spark, "test-tokens")
