@@ -68,6 +68,48 @@ def test_byte_repeats_without_broadcasts(spark, docs_of, monkeypatch):
     assert removed(spark, docs_of, pairs) == expected(pairs)
 
 
+def counted_sends(spark, monkeypatch):
+    """(rows, bytes of strings) that each round sends, filled in as rounds run; no batch settles repeats between texts."""
+    sends, met = [], br._met
+
+    def counted(sent, *rest):
+        sends.append(tuple(x or 0 for x in sent.agg(F.count("*"), F.sum(F.octet_length("raw"))).first()))
+        return met(sent, *rest)
+
+    monkeypatch.setattr(br, "_met", counted)
+    monkeypatch.setattr(br, "slices", lambda batches, column: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    return sends
+
+
+@pytest.mark.parametrize("hot, times", [(16_384, 1.5), (2, 40)])
+def test_bytes_sent_at_once_keep_to_the_texts(spark, docs_of, monkeypatch, hot, times):
+    monkeypatch.setattr(br, "HOT", hot)
+    monkeypatch.setattr(br, "ROUND_X", times)
+    sends = counted_sends(spark, monkeypatch)
+    random.seed(8)
+    texts = ["".join(random.choice("abcdefgh ") for _ in range(1500)) for _ in range(12)]
+    pairs = [(12 * copy + i, t) for copy in range(5) for i, t in enumerate(texts)]  # every stretch meets others
+    assert removed(spark, docs_of, pairs) == expected(pairs)
+    assert len(sends) > 1 and max(n for _, n in sends) < times * sum(len(t) for _, t in pairs)
+
+
+def test_a_passage_of_many_texts_is_not_sent_window_by_window(spark, docs_of, monkeypatch):
+    sends = counted_sends(spark, monkeypatch)
+    random.seed(9)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage = word(300)
+    pairs = [(i, word(60) + passage + word(60)) for i in range(1100)]
+    assert removed(spark, docs_of, pairs) == expected(pairs)
+    assert sum(n for n, _ in sends) < 20 * len(pairs)
+
+
+def test_shuffle_files_go_with_each_step(spark, docs_of):
+    shuffles = lambda: {i for i in range(10_000) if spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().containsShuffle(i)}
+    before = shuffles()
+    br.repeated_spans(docs_of(repeated_texts(6, 40)))
+    assert not shuffles() - before
+
+
 def test_byte_repeats_of_awkward_rows(spark, docs_of, awkward):
     awkward = [*awkward, (9, "y" * 99), (10, "y" * 100), (11, "y" * 101), (11, "y" * 101)]
     assert removed(spark, docs_of, awkward) == expected(awkward)
