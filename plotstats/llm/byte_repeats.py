@@ -33,12 +33,12 @@ empty table gives no rows; texts of any length are cut into overlapping parts; o
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from plotstats.plans.session import released
 
 from .common import in_arrow, mix, slices, text_bytes, text_column
 from .components import dropped, saved
@@ -56,18 +56,6 @@ NULL_ID = -(1 << 63)
 _SEED, _BASE = 0x9FB21C651E98DF25, 0xD1342543DE82EF95
 
 
-@contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside go as soon as it ends, not when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 class Grams:
     """64-bit hashes of the bytes from any place on: stretches of 1, 2, 4, ... bytes by doubling, others put together
     from those (hash(a + b) = hash(a) * base ** len(b) + hash(b))."""

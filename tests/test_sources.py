@@ -5,6 +5,7 @@ import os
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,78 @@ def test_plain_rows_need_no_xml_parser(monkeypatch):
     assert missing[:298] + missing[299:] == plain[:298] + plain[299:]
 
 
+def test_plain_workbooks_are_read_and_packed_as_arrays(spark, monkeypatch):
+    """No step for each row: neither the two patterns nor lists of cells are used, and the bytes stay the same."""
+    random.seed(3)
+    columns = ["n", "text", "d", "flag", "none", "f"]
+    table = [[i, random.choice(["NA", "a & b", "_x0041_", "é漢🙂", None]), random.choice([None, i / 3, -0.0, 0.0, 1e300, 5.0]), bool(i % 2), None, None] for i in range(400)]
+    arrays = pa.table({c: pa.array([r[i] for r in table], kind) for i, (c, kind) in enumerate(zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.null(), pa.float32())))})
+    assert workbook.table_workbook("S", arrays) == book({"S": (columns, table)})
+    assert workbook.table_workbook("S", arrays.slice(0, 0)) == book({"S": (columns, [])})
+    df = spark.createDataFrame([r[:4] for r in table], "n long, text string, d double, flag boolean").coalesce(1)
+    monkeypatch.setattr(workbook, "workbook_bytes", None)
+    monkeypatch.setattr(workbook, "_rows", None)
+    monkeypatch.setattr(workbook, "READ_BYTES", 3000)
+    packed = sorted(workbook.pack_workbooks(df, "S", "p", 150).collect())
+    assert [len(cells(r.content, "S", ["n"])) for r in packed] == [150, 150, 100]
+    got = [row for r in packed for row in cells(r.content, "S", columns[:4])]
+    assert [g[1:] for g in got] == [[str(n), t, None if d is None else repr(d), "TRUE" if f else "FALSE"] for n, t, d, f, *_ in table]
+
+
+def odd_sheet(seed):
+    """A sheet of random cells, some of them in forms that are rarely seen or wrong, and a workbook around it."""
+    random.seed(seed)
+    strange = [0, 0, 0.002, 0.02][seed % 4]
+    value = lambda: random.choice(["1", "2.50", "x > y", "é漢", " 7 ", "-1E-3", "_x0041_", "12345678901", ""])
+
+    def cell(r, c):
+        at = f"{workbook._letters(c)}{r}"
+        if random.random() < strange:
+            return random.choice([f'<c r="{at}"></c>', f"<c r='{at}'><v>3</v></c>", f'<c r="{at}" t="inlineStr"><is><t>in</t></is></c>', f'<c r="{at}"><f>A1</f><v>4</v></c>', f'<c r="{at}"><v>&lt;&#65;</v></c>',
+                                  f'<c r="{at}" t="s" s="1"><v>1</v></c>', f'<c r="{at}"> <v>5</v></c>', "<!-- <c> -->", f'<c r="{at}"><v>a\r\nb</v></c>', f'<c r="{at}"><v>1</v><v>2</v></c>', f'<c r="{at}" t="b"><v> 1 </v></c>'])
+        style = random.choice(["", "", ' s="3"', ' s="12"'])
+        return random.choice([f'<c r="{at}"{style}><v>{value()}</v></c>', f'<c r="{at}"{style} t="s"><v>{random.randrange(6)}</v></c>', f'<c r="{at}"{style} t="b"><v>{random.randrange(2)}</v></c>',
+                              f'<c r="{at}"{style} t="str"><v>{random.choice(["text", "a_b"])}</v></c>', f'<c r="{at}"{style} t="e"><v>#N/A</v></c>', f'<c r="{at}"{style}/>', "", ""])
+
+    lines, r = [], 1
+    for _ in range(200):
+        r += random.choice([1, 1, 1, 3])
+        order = sorted(random.sample(range(34), random.randrange(9)), key=None if random.random() < 0.9 else lambda c: -c)
+        order += order[:1] * (random.random() < 0.05)  # a column twice
+        tag = random.choice([f'<row r="{r}">', f'<row r="{r}" spans="1:34" ht="15.5" x14ac:dyDescent="0.25">'])
+        if random.random() < strange:
+            tag = random.choice([f"<row r='{r}'>", "<row>", f'<row spans="1:2" r="{r}">', f'<row r="{r}"  ht="2">'])
+        lines.append(tag + "".join(cell(r, c) for c in order) + "</row>" + random.choice(["", "", "\n", "\n  "]))
+    header = '<row r="1">' + "".join(f'<c r="{workbook._letters(c)}1" t="str"><v>c{c}</v></c>' for c in range(34)) + "</row>"
+    content, out = book({"S": (["a", "b"], [[f"s{i} &amp; <{i}>", None] for i in range(6)])}), io_.BytesIO()
+    with zipfile.ZipFile(io_.BytesIO(content)) as a, zipfile.ZipFile(out, "w") as b:
+        for part in a.namelist():
+            x = a.read(part).decode()
+            if part.endswith("sheet1.xml"):
+                x = x[:x.index("<sheetData>") + 11] + header + "".join(lines) + "</sheetData><mergeCells/></worksheet>"
+                x = x.replace("<worksheet ", '<worksheet xmlns:x14ac="http://schemas.microsoft.com/office/spreadsheetml/2009/9/ac" ')
+            b.writestr(part, x)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("read_bytes", [500, 1 << 19])
+def test_arrays_equal_the_xml_parser_on_odd_sheets(monkeypatch, read_bytes):
+    columns = [f"c{c}" for c in range(34)]
+    found = []
+    for seed in range(24):
+        content = odd_sheet(seed)
+        with monkeypatch.context() as m:
+            m.setattr(workbook, "READ_BYTES", read_bytes)
+            got = cells(content, "S", columns)
+        with monkeypatch.context() as m:  # the XML parser alone
+            for name in ("plain_blocks", "plain_rows"):
+                m.setattr(workbook, name, lambda *_: iter(()))
+            m.setattr(workbook, "plain_strings", lambda _: None)
+            assert got == cells(content, "S", columns), seed
+        found.append(len(got))
+    assert min(found) > 50
+
+
 def test_workbook_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     """The rows of one input part are packed by many tasks, and every workbook is a file of its own."""
     written = []
